@@ -9,10 +9,13 @@ A reader needs the footer and only the chunks that a range of ids touches.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ MAGIC = b"QTOKENS1"
 BLOCK, SHARD_IDS = 1 << 16, 1 << 22
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Most remembered pieces of text and their bytes; beyond, the memory starts anew.
-CACHE_ROWS, CACHE_LONGEST = 400_000, 64
+#: Most remembered pieces of text in each of two generations, and the longest kept.
+CACHE_ROWS, CACHE_LONGEST = 350_000, 64
+#: Lower-case Latin words without anything that normalization could change.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -102,27 +107,84 @@ class Shard:
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
-    This tokenizer drops white space and nothing in it joins across ASCII white space,
-    so the pieces between are encoded once and remembered.
+    This tokenizer drops white space, lowers case and joins nothing across ASCII white space,
+    so the pieces between are encoded once and remembered, in two generations of bounded size
+    that live as long as the worker. Plain words are one token of its pre-tokenizer each, so many are
+    encoded in one call and told apart by the end-of-word mark of their last ids; a full stop
+    or comma after a letter is a token of its own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.signs = {x: self.one(chr(x)) for x in b".,"}
+
+    def one(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def encode_new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that aren't remembered."""
+        out, bare = {}, {}
+        for p in pieces:
+            if p[-1] in self.signs and len(p) > 1 and (97 <= p[-2] <= 122):
+                bare.setdefault(p[:-1], []).append(p)
+            else:
+                bare.setdefault(p, [])
+        todo = []
+        for core in bare:
+            v = self.new.get(core) or self.old.get(core)
+            if v is None:
+                todo.append(core)
+            else:
+                out[core] = v
+        spelled = [(p, p.decode()) for p in todo]
+        plain = [(p, w) for p, w in spelled if PLAIN.fullmatch(w)]
+        for s in range(0, len(plain), 2000):
+            part = plain[s : s + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(w for _, w in part)], add_special_tokens=False)[0].ids, "<u4")
+            at = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(at) == len(part):
+                raw = ids.tobytes()
+                out.update((p, raw[i:j]) for (p, _), i, j in zip(part, [0, *at], at))
+            else:
+                out.update((p, self.one(w)) for p, w in part)
+        odd = [(p, w) for p, w in spelled if p not in out]
+        out.update((p, array("I", e.ids).tobytes()) for (p, _), e in zip(odd, self.tokenizer.encode_batch_fast([w for _, w in odd], add_special_tokens=False)))
+        for core, signed in bare.items():
+            for p in signed:
+                out[p] = out[core] + self.signs[p[-1]]
+        return out
 
     def __call__(self, batch: list[bytes]) -> list[bytes]:
-        if len(self.cache) > CACHE_ROWS:
-            self.cache = {}
-        pieces = [t.split() for t in batch]
-        cache = self.cache
-        new = sorted({p for ps in pieces for p in ps if p not in cache})
-        extra = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)))) if new else {}
-        cache.update((p, v) for p, v in extra.items() if len(p) <= CACHE_LONGEST)
-        if len(extra) and any(len(p) > CACHE_LONGEST for p in new):
-            return [b"".join([cache[p] if p in cache else extra[p] for p in ps]) for ps in pieces]
-        return [b"".join(map(cache.__getitem__, ps)) for ps in pieces]
+        # A mark of a special token may be written in capitals, when it isn't one.
+        pieces = [t.split() if b"<|" in t else t.lower().split() for t in batch]
+        if len(self.new) > CACHE_ROWS:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        wanted, miss = {p for ps in pieces for p in ps}.difference(new), []
+        for p in wanted:
+            v = old.get(p)
+            if v is None:
+                miss.append(p)
+            else:
+                new[p] = v
+        extra = {}
+        for p, v in self.encode_new(miss).items() if miss else ():
+            (new if len(p) <= CACHE_LONGEST else extra)[p] = v
+        if extra:
+            return [b"".join([new[p] if p in new else extra[p] for p in ps]) for ps in pieces]
+        return [b"".join([new[p] for p in ps]) for ps in pieces]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for a worker process, kept over its tasks."""
+    return Encoder(path)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -161,7 +223,7 @@ def write_token_files(docs: DataFrame, out_dir: str, end_id: int = END_ID, kind:
         from pyspark import TaskContext
 
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-        encode = Encoder(tokenizer_path(tokenizer))
+        encode = encoder(tokenizer_path(tokenizer))
 
         def flush():
             nonlocal seq, held, size
