@@ -96,9 +96,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("range")
     last = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.withColumn("for_range", F.coalesce(F.lag("range").over(order), F.max("range").over(last))).select("for_range", F.col("doc_id").alias("first_id"))
-    heads = rows.join(firsts, rows.doc_id.eqNullSafe(firsts.first_id)).groupBy("for_range").agg(F.min("text").alias("head"))
+    firsts = F.broadcast(firsts)  # MOST_RANGES + 1 rows at most
+    heads = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("for_range").agg(F.min("text").alias("head"))
     heads = with_sketch(heads, "head", "head_sk").withColumnRenamed("for_range", "hr")
-    main = ids_in(with_sketch(rows, "text", "sk"))
+    main = with_sketch(ids_in(rows).repartition("range"), "text", "sk")  # texts move alone, sketches are made after
     w = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_last(), "text")
     main = main.withColumn("nx", F.lead(F.struct("text", "sk", "sk_tag")).over(w))
     main = main.join(heads, main.range == heads.hr, "left")
