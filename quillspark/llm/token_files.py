@@ -129,35 +129,33 @@ class Encoder:
 
     def encode_new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces that aren't remembered."""
-        out, bare = {}, {}
+        out, signed, plain, odd = {}, [], set(), []
         for p in pieces:
-            if p[-1] in self.signs and len(p) > 1 and (97 <= p[-2] <= 122):
-                bare.setdefault(p[:-1], []).append(p)
+            core = p
+            if p[-1] in self.signs and len(p) > 1 and 97 <= p[-2] <= 122:
+                core = p[:-1]
+                signed.append(p)
+                v = self.new.get(core) or self.old.get(core)
+                if v is not None:
+                    out[core] = v
+                    continue
+            if (core.isalpha() and core.islower()) or PLAIN.fullmatch(core.decode()):
+                plain.add(core)
             else:
-                bare.setdefault(p, [])
-        todo = []
-        for core in bare:
-            v = self.new.get(core) or self.old.get(core)
-            if v is None:
-                todo.append(core)
-            else:
-                out[core] = v
-        spelled = [(p, p.decode()) for p in todo]
-        plain = [(p, w) for p, w in spelled if PLAIN.fullmatch(w)]
+                odd.append(core)
+        plain = list(plain)
         for s in range(0, len(plain), 2000):
             part = plain[s : s + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(w for _, w in part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             at = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(at) == len(part):
                 raw = ids.tobytes()
-                out.update((p, raw[i:j]) for (p, _), i, j in zip(part, [0, *at], at))
+                out.update(zip(part, [raw[i:j] for i, j in zip([0, *at], at)]))
             else:
-                out.update((p, self.one(w)) for p, w in part)
-        odd = [(p, w) for p, w in spelled if p not in out]
-        out.update((p, array("I", e.ids).tobytes()) for (p, _), e in zip(odd, self.tokenizer.encode_batch_fast([w for _, w in odd], add_special_tokens=False)))
-        for core, signed in bare.items():
-            for p in signed:
-                out[p] = out[core] + self.signs[p[-1]]
+                odd += part
+        out.update(zip(odd, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)]))
+        for p in signed:
+            out[p] = out[p[:-1]] + self.signs[p[-1]]
         return out
 
     def __call__(self, batch: list[bytes]) -> list[bytes]:
@@ -165,20 +163,22 @@ class Encoder:
         pieces = [t.split() if b"<|" in t else t.lower().split() for t in batch]
         if len(self.new) > CACHE_ROWS:
             self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        wanted, miss = {p for ps in pieces for p in ps}.difference(new), []
-        for p in wanted:
-            v = old.get(p)
-            if v is None:
-                miss.append(p)
-            else:
-                new[p] = v
-        extra = {}
-        for p, v in self.encode_new(miss).items() if miss else ():
-            (new if len(p) <= CACHE_LONGEST else extra)[p] = v
-        if extra:
-            return [b"".join([new[p] if p in new else extra[p] for p in ps]) for ps in pieces]
-        return [b"".join([new[p] for p in ps]) for ps in pieces]
+        out, gaps, get = [], {}, self.new.get
+        for i, ps in enumerate(pieces):
+            found = list(map(get, ps))
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # some piece isn't known
+                gaps[i] = found
+                out.append(b"")
+        if gaps:
+            wanted = {p for i, found in gaps.items() for p, v in zip(pieces[i], found) if v is None}
+            fill = {p: v for p in wanted if (v := self.old.get(p)) is not None}
+            fill |= self.encode_new([p for p in wanted if p not in fill])
+            self.new.update((p, v) for p, v in fill.items() if len(p) <= CACHE_LONGEST)
+            for i, found in gaps.items():
+                out[i] = b"".join([fill[p] if v is None else v for p, v in zip(pieces[i], found)])
+        return out
 
 
 @lru_cache(maxsize=2)
