@@ -28,7 +28,7 @@ class Shingler:
         try:
             raw = b"".join([cache[w] for w in ws])
         except KeyError:
-            new = {w: xxhash.xxh64_digest(w) for w in set(ws) - cache.keys()}
+            new = {w: xxhash.xxh64_digest(w) for w in {w for w in ws if w not in cache}}
             cache.update((w, h) for w, h in new.items() if len(w) <= 64)
             raw = b"".join([cache[w] if w in cache else new[w] for w in ws])
         return np.frombuffer(raw, np.uint64)

@@ -104,6 +104,16 @@ class Shard:
         return np.concatenate([self.chunk(k) for k in range(a, b + 1)])[start - a * self.block : stop - a * self.block]
 
 
+def _gaps(found: list) -> list[int]:
+    """Places of None."""
+    out, k = [], -1
+    try:
+        while True:
+            out.append(k := found.index(None, k + 1))
+    except ValueError:
+        return out
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
@@ -172,12 +182,18 @@ class Encoder:
                 gaps[i] = found
                 out.append(b"")
         if gaps:
-            wanted = {p for i, found in gaps.items() for p, v in zip(pieces[i], found) if v is None}
+            places = {i: _gaps(found) for i, found in gaps.items()}
+            wanted = {pieces[i][k] for i, at in places.items() for k in at}
             fill = {p: v for p in wanted if (v := self.old.get(p)) is not None}
             fill |= self.encode_new([p for p in wanted if p not in fill])
-            self.new.update((p, v) for p, v in fill.items() if len(p) <= CACHE_LONGEST)
+            self.new.update(fill)
+            for p in [p for p in fill if len(p) > CACHE_LONGEST]:
+                del self.new[p]
             for i, found in gaps.items():
-                out[i] = b"".join([fill[p] if v is None else v for p, v in zip(pieces[i], found)])
+                ps = pieces[i]
+                for k in places[i]:
+                    found[k] = fill[ps[k]]
+                out[i] = b"".join(found)
         return out
 
 
