@@ -29,12 +29,18 @@ from quillspark.llm.common import map_rows, prepare, save, table, texts
 MODEL = "piece_bpe_32k.model"
 GIANT, CHUNK = 1 << 16, 1 << 14
 SPACE = "▁"
-WORDS_KEPT, PAIRS_KEPT = 250_000, 600_000
+WORDS_KEPT, PAIRS_KEPT = 300_000, 500_000
 #: States before the first piece and after the last.
 FIRST, LAST = (0, 0, None), "end"
 State = tuple
 
 
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """One for a worker process, kept over its tasks."""
+    return Pieces(path)
+
+
 def model_path(name: str = MODEL) -> str:
     import public_tokenizers
 
@@ -62,7 +68,10 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("pieces with white space inside")
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # stretches after a white space, without it, in two generations
+        self.old: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.adjacent = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
 
     def merge(self, s: str) -> list[str]:
         """BPE by its definition: join the best-scored neighbours, leftmost first, until none is a piece."""
@@ -151,30 +160,49 @@ class Pieces:
         ids = self.spell(self.trace(got, len(w), 0))
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def begin(self, part: str) -> bytes:
+        """Ids of a white space and the unbroken stretch after it. A last sign that no piece holds after the character before it is cut off: a state of its own."""
+        if len(part) > 1 and part[-1] in ".,;:!?|" and part[-2:] not in self.adjacent:
+            core = part[:-1]
+            v = self.words.get(core) or self.old.get(core)
+            if v is None:
+                v = self.words[core] = self.word(SPACE + core)
+            return v + self.sign(part[-1])
+        return self.word(SPACE + part)
+
+    def sign(self, c: str) -> bytes:
+        if c not in self.signs:
+            self.signs[c] = self.word(c)
+        return self.signs[c]
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian u32 bytes: each stretch between white space is traced on its own."""
         if not text:
             return b""
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        words, parts = self.words, text.split(" ")
+        parts = text.split(" ")
         if "" in parts or SPACE in text:
-            parts = stretches(normalized(text))
-            mark = ""
-        else:
-            mark = SPACE
+            return b"".join(map(self.word, stretches(normalized(text))))
+        if len(self.words) > WORDS_KEPT:
+            self.words, self.old = {}, self.words
+        words = self.words
+        found = list(map(words.get, parts))
         try:
-            return b"".join([words[mark + p] for p in parts])
-        except KeyError:
-            new = {}
-            for p in set(parts):
-                if (w := mark + p) not in words:
-                    new[w] = self.word(w)
-            words.update((w, v) for w, v in new.items() if len(w) <= 64)
-            return b"".join([words[mark + p] if mark + p in words else new[mark + p] for p in parts])
+            return b"".join(found)
+        except TypeError:  # some stretch isn't known
+            k = -1
+            try:
+                while True:
+                    k = found.index(None, k + 1)
+                    p = parts[k]
+                    v = words.get(p) or self.old.get(p) or self.begin(p)
+                    found[k] = v
+                    if len(p) <= 64:
+                        words[p] = v
+            except ValueError:
+                return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        raw = b"".join(map(self.surface.__getitem__, memoryview(ids).cast("I")))
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
     # Giant texts: chunks of the normalized text. `text` has up to `longest` characters before place p and after place q.
@@ -335,7 +363,7 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     fields = "n_tokens bigint, ids_crc32 bigint, round_trip boolean" + ", token_ids array<int>" * with_ids
 
     def small():
-        pieces = Pieces(model_path(model))
+        pieces = pieces_of(model_path(model))
 
         def fn(batch):
             own = texts(batch)
@@ -353,7 +381,7 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces, n, part = Pieces(model_path(model)), 0, TaskContext.get().partitionId()
+        pieces, n, part = pieces_of(model_path(model)), 0, TaskContext.get().partitionId()
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 uid = (part << 32) + n
@@ -368,7 +396,7 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     chunks = chunks.repartition("uid", "k")
 
     def scan():
-        pieces = Pieces(model_path(model))
+        pieces = pieces_of(model_path(model))
 
         def fn(batch):
             c = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("chunk", "p", "q", "first", "last")]
@@ -387,7 +415,7 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     ready = chunks.join(states, ["uid", "k"])
 
     def back():
-        pieces = Pieces(model_path(model))
+        pieces = pieces_of(model_path(model))
 
         def fn(batch):
             c = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("chunk", "p", "q", "states", "plain")]
