@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import save, table
 from quillspark.llm.mixing import mixed_rows
-from quillspark.llm.near_dups import near_duplicates
+from quillspark.llm.near_dups import near_duplicates, row_id
 from quillspark.llm.quality import kept
 from quillspark.llm.secrets import masked
 from quillspark.llm.sentencepieces import encode
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the least id (then the least hash of its text) of each class; one of equal rows; docs' columns."""
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    rid = row_id()
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     flags = near_duplicates(docs.select("doc_id", "text", rid.alias("__r"), text_hash.alias("__h")), keep=["__r", "__h"])
     # Rows without words are classes of their own, though their ids may be those of others.

@@ -156,6 +156,11 @@ def _verify(similarity: float):
     return run
 
 
+def row_id() -> F.Column:
+    """doc_id, or for a null one a hash of the text that is larger than any usual id."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(2**62))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, *keep, class_id, n_links, n_text_links) for each row.
 
@@ -170,7 +175,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     spark = docs.sparkSession
     prepare(spark)
     bands, per_band = choose_bands(similarity, recall)
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("rid")
+    rid = row_id().alias("rid")
     keep = keep or []
     rows = docs.select("doc_id", rid, *[c for c in keep if c != "text"], "text")
 
