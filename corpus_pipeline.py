@@ -56,7 +56,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates_out), ("secrets", secrets), ("mixture", mixture), ("pieces", pieces)]
 
-#: Neither the language model nor the n-gram join can be put in SQL; tests hold run() against brute force.
+#: Neither the language model nor the n-gram join can be put in SQL; the stages' operators are tested one by one.
 ORACLE_SQL = None
 
 
