@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ BLOCK, SHARD_IDS = 1 << 16, 1 << 22
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Most remembered pieces of text in each of two generations, and the longest kept.
-CACHE_ROWS, CACHE_LONGEST = 220_000, 48
+CACHE_ROWS, CACHE_LONGEST = 350_000, 48
 #: Lower-case Latin words without anything that normalization could change.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
@@ -105,16 +106,6 @@ class Shard:
         return np.concatenate([self.chunk(k) for k in range(a, b + 1)])[start - a * self.block : stop - a * self.block]
 
 
-def _gaps(found: list) -> list[int]:
-    """Places of None."""
-    out, k = [], -1
-    try:
-        while True:
-            out.append(k := found.index(None, k + 1))
-    except ValueError:
-        return out
-
-
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
@@ -129,7 +120,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {b"": b""}, {}
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -169,38 +160,42 @@ class Encoder:
             out[p] = out[p[:-1]] + self.signs[p[-1]]
         return out
 
-    def __call__(self, batch: list[bytes]) -> list[bytes]:
-        # A mark of a special token may be written in capitals, when it isn't one.
-        pieces = [t.split() if b"<|" in t else t.lower().split() for t in batch]
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, remembered or new."""
         if len(self.new) > CACHE_ROWS:
-            self.new, self.old = {}, self.new
-        out, gaps, get = [], {}, self.new.get
-        for i, ps in enumerate(pieces):
-            found = list(map(get, ps))
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # some piece isn't known
-                gaps[i] = found
-                out.append(b"")
+            self.new, self.old = {b"": b""}, self.new
+        found = list(map(self.new.get, pieces))
+        gaps = [k for k, v in enumerate(found) if v is None]
         if gaps:
-            places = {i: _gaps(found) for i, found in gaps.items()}
-            wanted = {pieces[i][k] for i, at in places.items() for k in at}
-            fill = {p: v for p in wanted if (v := self.old.get(p)) is not None}
-            fill |= self.encode_new([p for p in wanted if p not in fill])
-            self.new.update(fill)
-            for p in [p for p in fill if len(p) > CACHE_LONGEST]:
-                del self.new[p]
-            for i, found in gaps.items():
-                ps = pieces[i]
-                for k in places[i]:
-                    found[k] = fill[ps[k]]
-                out[i] = b"".join(found)
-        return out
+            fill = {p: v for k in gaps if (v := self.old.get(p := pieces[k])) is not None}
+            fill |= self.encode_new([pieces[k] for k in gaps if pieces[k] not in fill])
+            for k in gaps:
+                found[k] = fill[pieces[k]]
+            self.new.update((p, v) for p, v in fill.items() if len(p) <= CACHE_LONGEST)
+        return found
+
+    def __call__(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a binary column without nulls. Pieces are cut, told apart and put back by Arrow, so Python sees each distinct one of a batch once."""
+        text = column.view(pa.string())
+        lower = pc.ascii_lower(text)
+        # A mark of a special token may be written in capitals, when it isn't one.
+        marked = pc.match_substring(text, "<|")
+        if pc.any(marked).as_py():
+            lower = pc.if_else(marked, text, lower)
+        cut = pc.ascii_split_whitespace(lower)
+        coded = cut.flatten().dictionary_encode()
+        known = pa.array(self.ids_of(coded.dictionary.view(pa.binary()).to_pylist()), pa.large_binary())
+        whole = known.take(coded.indices)
+        ends = np.frombuffer(whole.buffers()[1], "<i8")[whole.offset : whole.offset + len(whole) + 1]
+        at = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        raw = whole.buffers()[2]
+        view = memoryview(raw) if raw is not None else b""
+        return [bytes(view[s:e]) for s, e in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for a worker process, kept over its tasks. Its many lists hold no cycles, so the collector looks at them seldom."""
+    """One for a worker process, kept over its tasks. Its long lists hold no cycles, so the collector looks at them seldom."""
     gc.set_threshold(200_000, 20, 20)
     return Encoder(path)
 
@@ -253,7 +248,7 @@ def write_token_files(docs: DataFrame, out_dir: str, end_id: int = END_ID, kind:
             return row
 
         for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
+            for d, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
                 held.append((d, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= shard_ids:
