@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import line_range
 from quillspark.operators import query
 from quillspark.operators.audit import AuditLog
-from quillspark.operators.snippets import best_fragments, preview, window_lines
+from quillspark.operators.snippets import best_fragments, preview, preview_lines, window_lines
 from quillspark.plans.search import search
 from quillspark.plans.store import Store
 from quillspark.sources import config as C
@@ -45,13 +47,25 @@ class Engine:
         return self.store.update(files, gone)
 
     def search(self, text: str, limit: int | None = None, most: int = C.DEFAULT_LIMIT, max_tokens: int | None = None, snippets: bool = True, surface: str = "api") -> list[dict]:
+        """Hits, best first, with a snippet and its lines: the best stretch for the words, else a preview, else the summary (no lines)."""
         if not text.strip():
             raise ValueError("query must not be empty")
+        if len(text.encode()) > C.QUERY_BYTES:
+            raise ValueError("query is too long")
         c = self.store.corpus()
         hits = search(c, text, C.resolve_limit(surface, limit, most), max_tokens=max_tokens)
-        top = hits.orderBy(F.desc("score"), "doc_id").select("doc_id", "rel_path", "score", "summary", "token_estimate", preview(F.col("body")).alias("preview")).collect()
+        top = hits.orderBy(F.desc("score"), "doc_id").select("doc_id", "rel_path", "score", "summary", "token_estimate", preview(F.col("body")).alias("preview"), preview_lines(F.col("body")).alias("preview_lines")).collect()
         found = self._snippets([r.doc_id for r in top], text) if snippets else {}
-        return [{**r.asDict(), "snippet": (found.get(r.doc_id, {}).get("snippet") or r.preview or r.summary) if snippets else ""} for r in top]
+        out = []
+        for r in top:
+            hit, own = r.asDict(), found.get(r.doc_id)
+            shown, at = hit.pop("preview"), hit.pop("preview_lines")
+            if own:
+                shown, start, end = own["snippet"], own["line_start"], own["line_end"]
+            else:
+                start, end = (at.line_start, at.line_end) if shown else (None, None)
+            out.append({**hit, "snippet": (shown or r.summary) if snippets else "", "line_start": start, "line_end": end})
+        return out
 
     def _snippets(self, ids: list[str], text: str) -> dict[str, dict]:
         terms = _terms(query.understand(text))
@@ -59,19 +73,21 @@ class Engine:
             return {}
         c = self.store.corpus()
         df = {r.term: r.n for r in c.postings.where((F.col("field") == "body") & F.col("term").isin(list(terms))).groupBy("term").agg(F.count("*").alias("n")).collect()}
-        rows = best_fragments(c.docs.where(F.col("doc_id").isin(ids)), {t: df.get(t, 0) for t in terms}).collect()
-        return {r.doc_id: {"snippet": r.snippet, "html": r.html, "origin": "query", "truncated": False} for r in rows}
+        few = c.docs.where(F.col("doc_id").isin(ids))
+        best = best_fragments(few, {t: df.get(t, 0) for t in terms}).join(few.select("doc_id", "body"), "doc_id")
+        rows = best.select("doc_id", "snippet", "html", line_range(F.col("body"), F.col("snippet")).alias("at")).collect()
+        return {r.doc_id: {"snippet": r.snippet, "html": r.html, "origin": "query", "truncated": False, "line_start": r.at and r.at.line_start, "line_end": r.at and r.at.line_end} for r in rows}
 
     def snippet(self, doc_id: str, text: str | None = None, window: int = C.WINDOW_DEFAULT, max_tokens: int | None = None, html: bool = True) -> dict:
-        row = self.store.corpus().docs.where(F.col("doc_id") == doc_id).select("doc_id", "rel_path", "summary", "token_estimate", preview(F.col("body"), window_lines(window)).alias("p")).limit(1).collect()
+        row = self.store.corpus().docs.where(F.col("doc_id") == doc_id).select("doc_id", "rel_path", "summary", "token_estimate", preview(F.col("body"), window_lines(window)).alias("p"), preview_lines(F.col("body"), window_lines(window)).alias("at")).limit(1).collect()
         if not row:
             return {"doc": None, "snippet": None}
         doc = row[0].asDict()
-        shown = doc.pop("p")
+        shown, at = doc.pop("p"), doc.pop("at")
         if max_tokens is not None and doc["token_estimate"] > max_tokens:
             return {"doc": doc, "snippet": None}
         found = self._snippets([doc_id], text).get(doc_id) if text else None
-        out = dict(found or {"snippet": shown, "html": None, "origin": "preview", "truncated": shown.endswith("…")})
+        out = dict({**found, "line_start": None, "line_end": None} if found else {"snippet": shown, "html": None, "origin": "preview", "truncated": shown.endswith("…"), "line_start": at["line_start"], "line_end": at["line_end"]})
         if not html:
             out["html"] = None
         return {"doc": doc, "snippet": out}
@@ -98,6 +114,13 @@ class Engine:
                 raise ValueError(say)
         return {"path": rel, "start_line": s, "end_line": e, "total_lines": len(ls), "content": "\n".join(ls[s - 1 : e])}
 
+    def resource(self, uri: str) -> dict:
+        """open() by scheme://path."""
+        scheme, _, path = uri.partition("://")
+        if not scheme or not path:
+            raise ValueError("not a resource URI")
+        return self.open(path)
+
     def stats(self) -> dict:
         return self.store.stats()
 
@@ -110,9 +133,6 @@ class Engine:
             paths = [r.doc_id for r in search(c, t, limit + 1, with_docs=False).orderBy(F.desc("score"), "doc_id").collect()]
             if paths:
                 findings.append({"term": t, "paths": paths[:limit], "more": len(paths) > limit})
-        (self.state / "self_check_report.json").write_text(json.dumps({"repo": str(self.root), "findings": findings}))
+        (self.state / "self_check_report.json").write_text(json.dumps({"repo": str(self.root), "checked_at": datetime.now(timezone.utc).isoformat(), "findings": findings}))
         self.audit.append("self_check", "fail" if findings else "pass")
         return findings
-
-
-

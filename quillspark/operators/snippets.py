@@ -9,6 +9,7 @@ from quillspark.functions.text import SNIPPET_CHARS, condense, lines
 from quillspark.sources.config import PREVIEW_LINES, WINDOW_LEAST, WINDOW_MOST
 
 SPLIT = r"[\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+"
+WORD = r"^[\p{IsAlphabetic}\p{N}]"
 
 
 def window_lines(asked: int) -> int:
@@ -19,6 +20,12 @@ def preview(body: Column, n: int = PREVIEW_LINES) -> Column:
     return condense(F.slice(lines(body), 1, n))
 
 
+def preview_lines(body: Column, n: int = PREVIEW_LINES) -> Column:
+    """struct(line_start, line_end): the first and the last line of the preview's window that isn't blank; nulls without one."""
+    at = F.filter(F.transform(F.slice(lines(body), 1, n), lambda x, i: F.when(x.rlike(r"(?U)\S"), i + 1)), lambda i: i.isNotNull())
+    return F.struct(F.array_min(at).alias("line_start"), F.array_max(at).alias("line_end"))
+
+
 def fragments(docs: DataFrame, most: int = SNIPPET_CHARS) -> DataFrame:
     """(doc_id, frag, place, run): the runs of words and of what is between, dealt greedily into stretches of at most `most` bytes that begin with a word."""
     runs = F.regexp_extract_all(F.col("body"), F.lit(SPLIT), F.lit(0))
@@ -26,7 +33,7 @@ def fragments(docs: DataFrame, most: int = SNIPPET_CHARS) -> DataFrame:
 
     def step(a, run):
         n = F.octet_length(run)
-        new = run.rlike(r"^[\p{IsAlphabetic}\p{N}]") & (a["used"] > 0) & (a["used"] + n > most)
+        new = run.rlike(WORD) & (a["used"] > 0) & (a["used"] + n > most)
         frag = a["frag"] + new.cast("int")
         return F.struct(F.when(new, n).otherwise(a["used"] + n).alias("used"), frag.alias("frag"), F.concat(a["of"], F.array(frag)).alias("of"))
 
@@ -45,7 +52,13 @@ def best_fragments(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     weight = F.coalesce(F.create_map(*[x for t, df in terms.items() for x in (F.lit(t), F.lit(1.0 / (1 + df)))])[F.lower("run")], F.lit(0.0))
     runs = fragments(docs).withColumn("w", weight)
     marked = F.when(F.col("w") > 0, F.concat(F.lit("<b>"), escape(F.col("run")), F.lit("</b>"))).otherwise(escape(F.col("run")))
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", c.alias("t")))), lambda x: x["t"]), "")
+    def text(c: Column) -> Column:
+        """The stretch up to its last word."""
+        all_ = F.array_sort(F.collect_list(F.struct("place", c.alias("t"), F.col("run").rlike(WORD).alias("word"))))
+        upto = F.when(F.element_at(all_, -1)["word"], all_).otherwise(F.slice(all_, 1, F.size(all_) - 1))
+        return F.array_join(F.transform(upto, lambda x: x["t"]), "")
+
     per = runs.groupBy("doc_id", "frag").agg(F.sum("w").alias("score"), text(F.col("run")).alias("snippet"), text(marked).alias("html")).where("score > 0")
     best = per.groupBy("doc_id").agg(F.max_by(F.struct("snippet", "html"), F.struct("score", -F.col("frag"))).alias("b"))
-    return best.select("doc_id", F.trim(F.col("b.snippet")).alias("snippet"), F.trim(F.col("b.html")).alias("html"))
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return best.select("doc_id", trimmed("b.snippet").alias("snippet"), trimmed("b.html").alias("html"))

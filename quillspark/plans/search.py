@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import index, query
@@ -46,16 +46,41 @@ def _phrase(c: Corpus, t: query.Term, f: str) -> DataFrame:
     return rows.withColumn("tf", F.size(hits)).where("tf > 0").select("doc_id", "tf")
 
 
-def _scored(c: Corpus, hits: DataFrame, f: str, boost: float) -> DataFrame:
-    """BM25 of (doc_id, tf), with df = the hits' number."""
-    st = c.stats.where(F.col("field") == f).select("n_docs", "avgdl")
-    df = hits.agg(F.count("*").alias("df"))
-    one = F.broadcast(st.join(F.broadcast(df)))  # one row
+def _bm25() -> Column:
+    """From tf, df, dl, n_docs, avgdl and boost."""
     d = lambda x: F.col(x).cast("double")
     idf = F.log(F.lit(1.0).cast("double") + (d("n_docs") - d("df") + F.lit(0.5).cast("double")) / (d("df") + F.lit(0.5).cast("double")))
     norm = F.lit(K1).cast("double") * (F.lit(1 - B).cast("double") + F.lit(B).cast("double") * d("dl") / d("avgdl"))
-    s = idf * d("tf") * F.lit(K1 + 1).cast("double") / (d("tf") + norm) * F.lit(float(boost))
-    return hits.join(c.lengths.where(F.col("field") == f).select("doc_id", "dl"), "doc_id").join(one).select("doc_id", s.alias("score"))
+    return idf * d("tf") * F.lit(K1 + 1).cast("double") / (d("tf") + norm) * F.col("boost")
+
+
+def _scored(c: Corpus, hits: DataFrame, f: str, boost: float) -> DataFrame:
+    """BM25 of (doc_id, tf), with df = the hits' number."""
+    st = c.stats.where(F.col("field") == f).select("n_docs", "avgdl", F.lit(float(boost)).alias("boost"))
+    one = F.broadcast(st.join(F.broadcast(hits.agg(F.count("*").alias("df")))))  # one row
+    return hits.join(c.lengths.where(F.col("field") == f).select("doc_id", "dl"), "doc_id").join(one).select("doc_id", _bm25().alias("score"))
+
+
+def _plain(tree) -> bool:
+    return isinstance(tree, query.Term) and len(tree.words) <= 1
+
+
+def _plain_scores(c: Corpus, terms: list[query.Term]) -> DataFrame:
+    """(doc_id, clause, score) for terms of one word, all in one pass over the postings and one over the lengths; clause is the term's place in the list."""
+    asked = [(i, f, t.raw if f == "rel_path" else t.words[0], t.boost) for i, t in enumerate(terms) for f in t.fields if f == "rel_path" or t.words]
+    if not asked:
+        return c.docs.select("doc_id", F.lit(0).alias("clause"), F.lit(0.0).alias("score")).where(F.lit(False))
+    fields = sorted({f for _, f, _, _ in asked})
+    wanted = reduce(lambda a, b: a | b, ((F.col("field") == f) & F.col("term").isin(sorted({w for _, g, w, _ in asked if g == f})) for f in fields))
+    hits = c.postings.where(wanted).select("field", "term", "doc_id", "tf")
+    rows = F.inline(F.array(*(F.struct(F.lit(i).alias("clause"), F.lit(f).alias("field"), F.lit(w).alias("term"), F.lit(float(x)).alias("boost")) for i, f, w, x in asked)))
+    facts = c.docs.sparkSession.range(1).select(rows).join(hits.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
+    facts = F.broadcast(facts.join(c.stats.select("field", "n_docs", "avgdl"), "field"))  # a row for each word asked
+    lengths = c.lengths.where(F.col("field").isin(fields)).select("field", "doc_id", "dl")
+    out = hits.join(facts, ["field", "term"]).join(lengths, ["field", "doc_id"]).select("doc_id", "clause", _bm25().alias("score"))
+    if any(len(t.fields) > 1 for t in terms):
+        out = out.groupBy("doc_id", "clause").agg(F.sum("score").alias("score"))
+    return out
 
 
 def _sum(parts: list[DataFrame]) -> DataFrame:
@@ -64,24 +89,27 @@ def _sum(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score"))
 
 
+def _clauses(c: Corpus, must: tuple, should: tuple) -> DataFrame:
+    """(doc_id, score) of documents that fit every must clause, or with none of those any should clause: one aggregation over all clauses' rows."""
+    every = [(t, 1) for t in must] + [(t, 0) for t in should]
+    plain = [(t, n) for t, n in every if _plain(t)]
+    parts = [matches(c, t).select("doc_id", "score", F.lit(n).alias("must")) for t, n in every if not _plain(t)]
+    if plain:
+        n_must = sum(n for _, n in plain)  # they come first
+        parts.append(_plain_scores(c, [t for t, _ in plain]).select("doc_id", "score", (F.col("clause") < n_must).cast("int").alias("must")))
+    out = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("must").alias("n"))
+    return (out.where(F.col("n") == len(must)) if must else out).select("doc_id", "score")
+
+
 def matches(c: Corpus, tree) -> DataFrame:
     """(doc_id, score) of the documents that the tree fits, one row each."""
     if isinstance(tree, query.All):
         return c.docs.select("doc_id", F.lit(1.0).cast("double").alias("score"))
+    if _plain(tree):
+        return _plain_scores(c, [tree]).select("doc_id", "score")
     if isinstance(tree, query.Term):
-        parts = []
-        for f in tree.fields:
-            p = c.postings.where(F.col("field") == f)
-            if f == "rel_path":
-                hits = p.where(F.col("term") == tree.raw).select("doc_id", "tf")
-            elif len(tree.words) == 1:
-                hits = p.where(F.col("term") == tree.words[0]).select("doc_id", "tf")
-            elif tree.words:
-                hits = _phrase(c, tree, f)
-            else:
-                continue
-            parts.append(_scored(c, hits, f, tree.boost))
-        return _sum(parts)
+        path = [_plain_scores(c, [replace(tree, words=(), fields=("rel_path",))]).select("doc_id", "score")] if "rel_path" in tree.fields else []
+        return _sum(path + [_scored(c, _phrase(c, tree, f), f, tree.boost) for f in tree.fields if f != "rel_path"])
     if isinstance(tree, (query.Range, query.Among)):
         t = F.col("term")
         if isinstance(tree, query.Among):
@@ -93,15 +121,7 @@ def matches(c: Corpus, tree) -> DataFrame:
             if tree.high is not None:
                 test = test & (t <= tree.high if tree.high_in else t < tree.high)
         return c.postings.where((F.col("field") == tree.field) & test).select("doc_id").distinct().select("doc_id", F.lit(1.0).cast("double").alias("score"))
-    must = [matches(c, x) for x in tree.must]
-    should = [matches(c, x) for x in tree.should]
-    if must:
-        all_of = reduce(DataFrame.unionByName, must).groupBy("doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == len(must)).select("doc_id", "score")
-        if should:
-            more = _sum(should).withColumnRenamed("score", "more")
-            all_of = all_of.join(more, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    else:
-        all_of = _sum(should)
+    all_of = _clauses(c, tree.must, tree.should)
     for x in tree.never:
         all_of = all_of.join(matches(c, x).select("doc_id"), "doc_id", "left_anti")
     return all_of

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import time
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,10 @@ class MissingIndex(FileNotFoundError):
     pass
 
 
+class IndexBusy(RuntimeError):
+    """Another writer holds the index; reading goes on."""
+
+
 class Store:
     """Documents as versions (seq, deleted), with the tables derived from the live ones."""
 
@@ -32,6 +38,17 @@ class Store:
             raise MissingIndex(f"index not found in {self.dir}")
         return json.loads(p.read_text())
 
+    @contextmanager
+    def writing(self):
+        """One writer at a time, by a lock on a file of the state folder that ends with its process."""
+        self.dir.mkdir(mode=0o700, parents=True, exist_ok=True)
+        with (self.dir / "writer.lock").open("w") as f:
+            try:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError:
+                raise IndexBusy(f"another process writes to {self.dir}") from None
+            yield
+
     def _commit(self, docs: DataFrame, seq: int) -> dict:
         self.dir.mkdir(mode=0o700, parents=True, exist_ok=True)
         os.chmod(self.dir, 0o700)
@@ -49,24 +66,26 @@ class Store:
         return m
 
     def reindex(self, files: DataFrame) -> dict:
-        try:
-            seq = self.manifest()["version"] + 1
-        except MissingIndex:
-            seq = 1
-        return self._commit(index.docs_table(files, summarize("body")), seq)
+        with self.writing():
+            try:
+                seq = self.manifest()["version"] + 1
+            except MissingIndex:
+                seq = 1
+            return self._commit(index.docs_table(files, summarize("body")), seq)
 
     def update(self, files: DataFrame | None, deleted: list[str] = ()) -> dict:
         """Upserts and deletions in one commit; a key that isn't there is no error."""
-        m = self.manifest()
-        seq = m["version"] + 1
-        old = self.corpus().docs.withColumns({"seq": F.lit(0).cast("long"), "deleted": F.lit(False)})
-        new = old
-        if files is not None:
-            new = new.unionByName(index.docs_table(files, summarize("body")).withColumns({"seq": F.lit(1).cast("long"), "deleted": F.lit(False)}))
-        if deleted:
-            gone = self.spark.createDataFrame([(d,) for d in deleted], "doc_id string")
-            new = new.unionByName(gone.withColumns({"seq": F.lit(2).cast("long"), "deleted": F.lit(True)}), allowMissingColumns=True)
-        return self._commit(resolve(new).drop("seq", "deleted"), seq)
+        with self.writing():
+            m = self.manifest()
+            seq = m["version"] + 1
+            old = self.corpus().docs.withColumns({"seq": F.lit(0).cast("long"), "deleted": F.lit(False)})
+            new = old
+            if files is not None:
+                new = new.unionByName(index.docs_table(files, summarize("body")).withColumns({"seq": F.lit(1).cast("long"), "deleted": F.lit(False)}))
+            if deleted:
+                gone = self.spark.createDataFrame([(d,) for d in deleted], "doc_id string")
+                new = new.unionByName(gone.withColumns({"seq": F.lit(2).cast("long"), "deleted": F.lit(True)}), allowMissingColumns=True)
+            return self._commit(resolve(new).drop("seq", "deleted"), seq)
 
     def corpus(self) -> Corpus:
         base = f"{self.dir}/{self.manifest()['path']}"

@@ -7,10 +7,22 @@ from pathlib import PurePosixPath
 
 #: File kinds that are indexed.
 EXTENSIONS = (".md", ".markdown", ".mdx", ".txt")
-#: Folder or file names left out by default. A choice of common tool, build and cache folders; more are given as settings.
-EXCLUDED_NAMES = (".cache", ".git", ".gradle", ".hg", ".idea", ".mypy_cache", ".next", ".nox", ".pytest_cache", ".svn", ".terraform", ".tox", ".venv", ".vscode", "__pycache__", "bin", "build", "coverage", "dist", "env", "node_modules", "obj", "out", "target", "tmp", "vendor", "venv")
+#: Folder or file names left out by default, and path prefixes. More are given as settings; the state folder is a prefix too.
+EXCLUDED_NAMES = (
+    ".git", ".idea", ".vscode", ".cache", "tmp", "temp", ".hg", ".svn",
+    "node_modules", ".pnpm-store", ".yarn", ".yarn-cache", ".npm", "dist", "build", "coverage", ".vite", ".turbo", ".nx", ".parcel-cache", ".rollup-cache", ".webpack-cache", ".tsbuildinfo", ".next", ".nuxt", ".svelte-kit", ".angular", ".expo",
+    "__pycache__", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".ipynb_checkpoints",
+    "target", ".cargo", "bin", "pkg", "go-build", ".gradle", ".mvn", "out", "obj", ".vs", "deriveddata", "vendor", ".bundle",
+    ".dart_tool", ".flutter-plugins", ".flutter-plugins-dependencies", ".pub-cache", ".android", "pods",
+    "debug", "release", "cmake-build-debug", "cmake-build-release", "cmakefiles", ".conan", "vcpkg_installed",
+    ".stack-work", "dist-newstyle", "cabal-dev", "_build", "deps", ".elixir_ls", ".bloop", ".metals", ".cpcache", "elm-stuff", "nimcache", "_opam", ".rproj.user",
+    "library", "logs", "binaries", "deriveddatacache", "intermediate", ".godot",
+    ".docker", "docker-data", ".terraform", ".serverless", ".vercel", ".netlify",
+)
+EXCLUDED_PREFIXES = ("logs/", "docker/.data/", "docker-data/", ".docker/")
 DEFAULT_LIMIT, FILES_DEFAULT, FILES_MOST, OFFSET_MOST = 8, 200, 1000, 50_000
 OPEN_BYTES = 512 * 1024
+QUERY_BYTES = 4096
 WINDOW_DEFAULT, WINDOW_LEAST, WINDOW_MOST, PREVIEW_LINES = 40, 10, 400, 60
 SENSITIVE_TERMS = ("SECRET_TOKEN", "API_KEY", "PRIVATE KEY", "-----BEGIN PRIVATE KEY-----", "PASSWORD", "ACCESS_TOKEN")
 
@@ -37,13 +49,13 @@ def resolve_limit(surface: str, asked: int | None, most: int) -> int:
 @dataclass(frozen=True)
 class Config:
     names: tuple[str, ...] = EXCLUDED_NAMES
-    prefixes: tuple[str, ...] = ()
+    prefixes: tuple[str, ...] = (*EXCLUDED_PREFIXES, ".quillspark/")
     state_dir: str = ".quillspark"
 
     @classmethod
     def of(cls, names=(), prefixes=(), state_dir=".quillspark") -> Config:
         more = tuple(x.strip().lower() for x in names if x.strip())
-        return cls(tuple(dict.fromkeys(EXCLUDED_NAMES + more)), tuple(dict.fromkeys(p for p in map(normalize_prefix, (*prefixes, state_dir)) if p)), state_dir)
+        return cls(tuple(dict.fromkeys(EXCLUDED_NAMES + more)), tuple(dict.fromkeys(p for p in map(normalize_prefix, (*EXCLUDED_PREFIXES, *prefixes, state_dir)) if p)), state_dir)
 
     def wanted(self, rel_path: str) -> bool:
         """Order: prefixes, then any component, then the kind of file."""

@@ -8,6 +8,8 @@ from quillspark.api import Engine
 from quillspark.functions import text as X
 from quillspark.operators import query as Q
 from quillspark.operators.audit import AuditLog
+from quillspark.plans.search import Corpus, matches
+from quillspark.plans.store import IndexBusy
 from quillspark.sources.config import Config, normalize_prefix
 from quillspark.sources.tree import changes
 from quillspark.streaming.upserts import apply_changes, rate_limited, resolve
@@ -50,10 +52,22 @@ def test_parser_ladder():
         Q.parse("nofield:x")
 
 
+def test_clauses(spark):
+    rows = [(f"{i}", f"{i}", b, b.split()[0]) for i, b in enumerate(("a b c", "a b", "b c a-b", "c", "x a b y"))]
+    c = Corpus.of(spark.createDataFrame(rows, "doc_id string, rel_path string, body string, summary string"))
+    hits = lambda q, fields=("body",): {r.doc_id for r in matches(c, Q.understand(q, fields)).collect()}
+    assert hits("a c") == set("01234") and hits("a AND c") == set("02") and hits("+c x") == set("023") and hits("b -c") == set("14")
+    assert hits("+c +a-b") == set("02") and hits('"a b" AND (x OR c)') == set("024") and hits("+a +a") == set("0124")
+    assert hits("+a +3", Q.FIELDS) == set() and hits("+c +3", Q.FIELDS) == {"3"} and hits("zzz AND a") == set()
+    one = {r.doc_id: r.score for r in matches(c, Q.understand("a c^2", Q.FIELDS)).collect()}
+    parts = [{r.doc_id: r.score for r in matches(c, Q.understand(q, Q.FIELDS)).collect()} for q in ("a", "c^2")]
+    assert one.keys() == parts[0].keys() | parts[1].keys() and all(abs(one[k] - sum(p.get(k, 0) for p in parts)) < 1e-9 for k in one)
+
+
 def test_config():
     c = Config.of(prefixes=["\\Secret"])
     assert normalize_prefix("/a") == "a/"
-    assert [c.wanted(p) for p in ("a/B.MD", "secret/x.md", "secrets/x.md", "a/VENDOR/x.md", ".md", "x.rs")] == [True, False, True, False, False, False]
+    assert [c.wanted(p) for p in ("a/B.MD", "secret/x.md", "secrets/x.md", "a/VENDOR/x.md", ".md", "x.rs", "logs/a.md", "docker/.data/a.md", "a/Temp/b.md", "env/a.md")] == [True, False, True, False, False, False, False, False, False, True]
 
 
 def test_engine(spark, repo):
@@ -74,6 +88,14 @@ def test_engine(spark, repo):
             e.open(*bad)
     with pytest.raises(ValueError):
         e.search(" ")
+    with pytest.raises(ValueError):
+        e.search("x" * 5000)
+    at = {h["doc_id"]: (h["line_start"], h["line_end"]) for h in hits}
+    assert at == {"docs/overview.md": (2, 8), "readme.md": (2, 4)}
+    assert [(h["line_start"], h["line_end"]) for h in e.search("rel_path:docs/overview.md")] == [(2, 8)]
+    assert e.resource("any://lines.md")["total_lines"] == 5
+    with e.store.writing(), pytest.raises(IndexBusy):
+        e.index()
     assert e.self_check(["NOT_PRESENT"], defaults=False) == []
     (repo / "leak.md").write_text("company SECRET_TOKEN leak")
     (repo / "readme.md").unlink()
