@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import count
 from pathlib import Path
 
 import pyarrow as pa
@@ -110,29 +111,31 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
-def components(nodes_edges: DataFrame, name: str = "components", most_rounds: int = 40) -> DataFrame:
+def components(nodes_edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b) as (node, component), component = the least node.
 
-    Each round links every node's neighbours to its least neighbour (small star) and
-    short-cuts labels; rounds are written to the shared folder, and only a count of
-    changes reaches the driver. Self edges keep a node; null ends are not expected.
+    A round hooks each node, and the node it is labelled with, to the least label of a
+    label among its neighbours, and short-cuts labels to their own labels, so whole trees
+    merge and rounds grow with the logarithm of a component's size, not with its diameter.
+    Labels only fall, and rounds go on until none does; they are written to the shared
+    folder, and only whether one changed reaches the driver. Self edges keep a node; null
+    ends are not expected.
     """
     sym = nodes_edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
     sym = save(sym.union(sym.select(F.col("y"), F.col("x"))).distinct(), f"{name}-edges")
     labels = save(sym.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("component")), f"{name}-0")
-    for i in range(most_rounds):
-        near = sym.join(labels, sym.y == labels.node).groupBy("x").agg(F.min("component").alias("low"))
-        up = labels.alias("l").join(labels.select(F.col("node").alias("n2"), F.col("component").alias("jump")), F.col("l.component") == F.col("n2"), "left")
-        new = up.join(near, F.col("l.node") == near.x, "left").select(
-            "l.node", F.least(F.col("l.component"), F.coalesce("jump", F.col("l.component")), F.coalesce("low", F.col("l.component"))).alias("component"), F.col("l.component").alias("was"))
-        new = save(new, f"{name}-{i + 1}")
+    for i in count(1):
+        up = labels.join(labels.select(F.col("node").alias("n2"), F.col("component").alias("jump")), F.col("component") == F.col("n2")).drop("n2")
+        near = sym.join(up, sym.y == up.node).groupBy("x").agg(F.min("jump").alias("low"))
+        met = save(up.join(near, up.node == near.x).select("node", "component", "jump", "low"), f"{name}-met-{i}")
+        hooks = met.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("hook"))
+        new = met.join(hooks, met.node == hooks.root, "left").select("node", F.least("component", "jump", "low", "hook").alias("component"), F.col("component").alias("was"))
+        new = save(new, f"{name}-{i}")
         changed = new.where("component <> was").limit(1).count()
-        drop(labels)
+        drop(labels, met)
         labels = new.drop("was")
         labels._quillspark_path = new._quillspark_path
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle")
     drop(sym)
     return labels

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import ann, lm_scores, mixing, near_dups, quality, secrets, sentencepieces, sketches, token_files, toxicity
-from quillspark.llm.common import scratch
+from quillspark.llm.common import components, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, key string, weight long"
 random.seed(4)
@@ -220,6 +220,15 @@ def test_near_duplicates(spark, none):
     assert near_dups.near_duplicates(none).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    """Two chains whose ids are in no order; the labels move along them in few rounds."""
+    ids = list(range(1200))
+    random.Random(1).shuffle(ids)
+    edges = [(ids[i], ids[i + 1]) for i in range(1199) if i != 699] + [(5000, 5000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "chain").collect()}
+    assert got == {n: min(part) for part in (ids[:700], ids[700:], [5000]) for n in part}
+
+
 def test_blocks_find_every_link(spark, monkeypatch):
     base, rows = text(100).split(), []
     for k in range(60):
