@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
+from collections import Counter
+from functools import lru_cache
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -15,13 +20,20 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Candidates of the novelty scan: unbroken strings of at least this length that hold a digit.
+#: Candidates of the novelty scan: unbroken strings of at least this length.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"(?i:secret|token|passw|passphrase|pwd|credential|auth|bearer|api|key|private|signature|session|cookie|access)", re.A)
 #: Code points before a candidate in which a sensitive word must stand, and around it that count as its surroundings.
 BEFORE, AROUND = 48, 2048
-#: Least marginal compressed bytes a character of the candidate.
-NOVEL = 0.7
+#: What may stand between the candidates of one run, such as the lines of a key.
+GAP = re.compile(r"""[\s"'`\\,;|>#*/.+]{1,24}""")
+#: The last, shorter line of a key block.
+TAIL = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_=-]{1,15})(?=[ \t]*(?:\r?\n|\Z))")
+END = re.compile(r"\s*-----END")
+#: Least marginal compressed bytes a character of the candidate, and the share of what a random string of its alphabet and length costs that is enough if that is less.
+NOVEL, SHARE = 0.7, 0.9
+#: Alphabets of random strings, least first; + / _ = - count besides as they occur.
+ALPHABETS = sorted((string.digits, "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase, "234567" + string.ascii_uppercase, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.ascii_letters, string.digits + string.ascii_letters), key=len)
 IDENTIFIERS = "access_key access_token account admin api_key apikey auth authorization bearer client client_id client_secret config connection cookie credential database default endpoint environment function header host import instance key localhost login name null password passwd port private_key production public_key refresh_token request response return secret secret_key server service session signature string token url user username value version"
 
 
@@ -40,15 +52,60 @@ def novelty(candidate: str, around: str) -> float:
     return (len(squeeze.compress(candidate.encode())) - len(squeeze.compress(b""))) / len(candidate)
 
 
+@lru_cache(4096)
+def random_cost(alphabet: str, length: int) -> float:
+    """novelty() of random strings, their mean."""
+    rng = random.Random(length)
+    return sum(novelty("".join(rng.choices(alphabet, k=length)), "") for _ in range(8)) / 8
+
+
+def enough(candidate: str) -> float:
+    """Least novelty that makes the candidate a find."""
+    signs = "".join(sorted(set(candidate.rstrip("=")) & set("+/_=-")))
+    rest = set(candidate) - set("+/_=-")
+    alphabet = next(a for a in ALPHABETS if rest <= set(a)) + signs
+    n = len(candidate)
+    return min(NOVEL, SHARE * random_cost(alphabet, n if n < 256 else min(1 << n.bit_length() - 1, 1 << 14)))
+
+
+def unlike_words(candidate: str, around: str) -> bool:
+    """Whether pairs of letters as common as in the surroundings and the identifiers would spell the candidate in no fewer bits than equally likely letters."""
+    known, own = re.findall("[a-z]+", f"{IDENTIFIERS} {around}".lower()), re.findall("[a-z]+", candidate.lower())
+    one, two = Counter("".join(known)), Counter(a + b for w in known for a, b in zip(w, w[1:]))
+    first, total = Counter("".join(w[:-1] for w in known)), sum(one.values())
+    p = {c: (one[c] + 0.5) / (total + 13) for c in string.ascii_lowercase}
+    bits = sum(-log2(p[w[0]]) - sum(log2((two[a + b] + 8 * p[b]) / (first[a] + 8)) for a, b in zip(w, w[1:])) for w in own)
+    return bits >= log2(26) * sum(map(len, own))
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates outside the base spans, in a sensitive context, that stay long when compressed."""
-    out = []
+    """Strings outside the base spans, in a sensitive context, that stay long when compressed.
+
+    A candidate is in the context of the one before if only a GAP parts them, so the context
+    reaches over all lines of a key. One without a digit must also be unlike_words(), which
+    knows a language from the surroundings alone: a long word of another language counts. Finds that only a GAP parts are one span, and a
+    shorter last line belongs to a block of several lines or one closed by -----END.
+    """
+    out: list[tuple[int, int, int]] = []
+    last, sensitive = 0, False
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not re.search("[0-9]", m[0]) or any(b < e and s < z for b, _, z in base) or not SENSITIVE.search(text, max(0, s - BEFORE), s):
+        sensitive = bool(SENSITIVE.search(text, max(0, s - BEFORE), s)) or (sensitive and bool(GAP.fullmatch(text, last, s)))
+        based = any(b < e and s < z for b, _, z in base)
+        sensitive, last = sensitive or based, e
+        if based or not sensitive:
+            continue
+        around = text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND]
+        if novelty(m[0], around) < enough(m[0]) or not (re.search("[0-9]", m[0]) or unlike_words(m[0], around)):
             continue
-        if novelty(m[0], text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND]) >= NOVEL:
-            out.append((s, 3, e))
+        joined = bool(out) and bool(GAP.fullmatch(text, out[-1][2], s))
+        if joined:
+            s = out.pop()[0]
+        tail = TAIL.match(text, e)
+        if tail and (END.match(text, tail.end()) or joined and "\n" in text[s:e]):
+            if not any(b < tail.end() and tail.start(1) < z for b, _, z in base):
+                e = tail.end()
+        out.append((s, 3, e))
     return out
 
 

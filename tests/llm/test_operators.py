@@ -119,6 +119,23 @@ def test_secrets(spark, none):
     assert secrets.masked(d).columns == d.columns
 
 
+def test_secrets_of_many_lines_and_small_alphabets():
+    rng = random.Random(9)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    lines = [draw(low + up + digits + "+/", 64) for _ in range(24)] + ["Qb7=="]
+    for end in ("\n", "\r\n", "\n    "):
+        hidden = secrets.mask(f"see {end}-----BEGIN PRIVATE KEY-----{end}" + end.join(lines) + f"{end}-----END PRIVATE KEY-----{end}after")
+        assert not any(x in hidden for x in lines) and hidden.count("[novel]") == 1 and hidden.endswith("after")
+    for letters, n in ((up, 100), (low, 100), (digits, 100), ("0123456789ABCDEF", 128), (up + "234567", 104), (low + digits, 100), (up, 24)):
+        found = [secrets.scan(f"the api key is {x} and so on")[1] for x in (draw(letters, n) for _ in range(30))]
+        assert sum(map(bool, found)) >= 28, (letters, n, sum(map(bool, found)))
+    for plain in ("internationalization", "x" * 300, "refresh_token_endpoint_name", "server-configuration-reference-manual"):
+        assert not secrets.novel_spans(f"the key for {plain} is described in the manual of the server and in the reference for all users", [])
+    german = "Der Schlüssel (key) für {} liegt bei der Anlage, die Bedienung und Begrenzung der Geschwindigkeiten wird hier in der Anleitung beschrieben"
+    assert not secrets.novel_spans(german.format("Geschwindigkeitsbegrenzung"), [])
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_shard_round_trip(kind):
     rng = np.random.default_rng(0)
