@@ -1,5 +1,7 @@
 """Toxicity: bags of subword embeddings averaged over a window of words, into a linear softmax, trained jointly in numpy.
 
+Words are runs without white space; a run of more than LONG code points is cut at signs and
+what is still longer into overlapping pieces, each a word, so no part of it is dropped.
 A word is a feature for itself and one for each character 3- to 6-gram of <word>, hashed
 into shared buckets, so a misspelling that was never seen shares most of its vectors
 with the word it comes from. A window's vector is the mean of its words' vectors; the
@@ -10,6 +12,7 @@ several weak ones add up. The training goes through the same pooling.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -28,6 +31,9 @@ FOLDS = 5
 EPOCHS, RATE, DECAY = 60, 0.15, 1e-4
 CACHE_ROWS = 300_000
 STRIP = ".,;:!?\"'()[]{}|*&%$#<>-_/\\+=~`"
+#: Runs longer than this are cut; pieces of PIECE code points, a new one each STEP, take the place of a part without signs that is too long.
+LONG, PIECE, STEP = 40, 20, 10
+SIGNS = re.compile(f"[{re.escape(STRIP)}，。、！？；：「」『』（）《》…—–]+")
 
 
 def features(word: str) -> list[int]:
@@ -35,13 +41,24 @@ def features(word: str) -> list[int]:
     bare = word.strip(STRIP)
     if not bare:
         return [zlib.crc32(b"\0") % BUCKETS]
-    w = f"<{bare[:40]}>"
+    w = f"<{bare}>"
     grams = [w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "ignore")) % BUCKETS for g in [f"={bare}", *grams]]
 
 
+def cut(run: str) -> list[str]:
+    """The parts of a long run between signs; one of signs only stays whole, for it is a single feature."""
+    out = []
+    for part in filter(None, SIGNS.split(run)):
+        out += [part] if len(part) <= LONG else [part[i : i + PIECE] for i in range(0, len(part) - PIECE + STEP, STEP)]
+    return out or [run]
+
+
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    words = text.lower().split()
+    if words and max(map(len, words)) > LONG:
+        words = [w for run in words for w in (cut(run) if len(run) > LONG else (run,))]
+    return words
 
 
 @dataclass

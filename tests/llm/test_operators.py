@@ -80,6 +80,22 @@ def test_toxicity_learns():
     assert s(clean[0] + " stupiid") > s(clean[0]) and s("") < 0.5
 
 
+def test_toxicity_reads_whole_runs():
+    clean, bad = [text(40) for _ in range(150)], [text(20) + " stupid " + text(20) for _ in range(60)]
+    s = toxicity.Scorer(toxicity.fit(clean + bad, [0] * 150 + [1] * 60))
+    for sign in "_/-.,":
+        assert all(s(sign.join([*x.split(), "stupid", *x.split()])) > 0.5 > s(sign.join(x.split())) for x in clean[:20])
+    for n in (41, 49, 50, 51, 60, 333):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(run)
+        assert all(any(run[i : i + 10] in p for p in pieces) for i in range(n - 9)) and max(map(len, pieces)) <= toxicity.LONG
+    rng = random.Random(3)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(400)) for _ in range(n))
+    foul = lambda: han(70) + "\u6101\u6202\u6303\u6404" + han(60)
+    s = toxicity.Scorer(toxicity.fit([han(134) for _ in range(150)] + [foul() for _ in range(60)], [0] * 150 + [1] * 60))
+    assert sum(s(foul()) > 0.5 for _ in range(20)) >= 18 and sum(s(han(134)) > 0.5 for _ in range(20)) <= 2
+
+
 def test_quality(spark, docs, none):
     out = quality.judge(docs, labels(spark)).collect()
     assert len(out) == len(ROWS) and all(r.keep for r in out if not (r.text if "text" in r else "") and r.doc_id in (103, 104))
