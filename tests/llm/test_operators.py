@@ -104,6 +104,18 @@ def test_quality(spark, docs, none):
     assert quality.kept(docs, labels(spark)).columns == docs.columns
 
 
+def test_thresholds_keep_to_their_language_at_every_size(spark):
+    rng, got = random.Random(5), {}
+    for n in (300, 3000):
+        rows = [(2 * i + k, lang, mean * rng.lognormvariate(0, 0.1)) for i in range(n) for k, (lang, mean) in enumerate((("low", 5.0), (None, 20.0)))]
+        scores = spark.createDataFrame(rows, "doc_id long, lang string, perplexity double")
+        marks = scores.select("doc_id", F.lit(1).alias("quality"))
+        got[n] = {r.tlang: r.most for r in quality.thresholds(scores, marks).collect()}
+    for limits in got.values():
+        assert 5.5 < limits["low"] < 8 and 22 < limits[None] < 32
+    assert all(abs(got[300][k] / got[3000][k] - 1) < 0.15 for k in ("low", None))
+
+
 def test_kneser_ney_sums_to_one(spark, docs):
     m = quality.train(docs, labels(spark))
     p = np.exp(m.logp.astype(np.float64)).reshape(-1, quality.ALPHABET).sum(1)
