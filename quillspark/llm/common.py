@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, and ship this package where executors don't have it on their path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound Arrow batches by rows and bytes (a session that has smaller bounds keeps them), and ship this package where executors don't have it on their path."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     on_path = str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
     sc = spark.sparkContext
     if on_path or getattr(sc, "_quillspark_shipped", False):
@@ -45,16 +48,24 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named, as in tests."""
+    """The shared folder that the cluster names; a folder of our own only where none is named and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = Path(tempfile.mkdtemp(prefix="quillspark-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder: call it when the results that operators returned are written."""
+    fs, p = hadoop_path(spark, f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}")
+    fs.delete(p, True)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -111,6 +122,29 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+#: Tasks that the rows of one hot key are dealt to in dealt_join().
+SALTS = 8
+
+
+def dealt_join(df: DataFrame, on: str, small: DataFrame, by: str) -> DataFrame:
+    """df left joined with `small`, which has a row for each `on` at most: rows of one key are dealt by a hash of `by` to SALTS tasks, each with a copy of small's row."""
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [on, "__salt"], "left").drop("__salt")
+
+
+def hung(found: DataFrame, name: str) -> DataFrame:
+    """(key, lows, ...) -> (key, component, ...): components of the graph that links each key with each of its `lows`, a non-empty array.
+
+    A key hangs on the least of its lows, and so do its other lows, so just these few are
+    nodes of the graph whose components are sought, and only the labels that move are joined back.
+    """
+    low = found.withColumn("__low", F.array_min("lows"))
+    edges = low.where(F.size("lows") > 1).select(F.explode("lows").alias("a"), F.col("__low").alias("b")).where("a <> b").distinct()
+    moved = components(edges, name).where("component <> node").select(F.col("node").alias("__low"), "component")
+    out = dealt_join(low.drop("lows"), "__low", moved, "key")
+    return out.withColumn("component", F.coalesce("component", "__low")).drop("__low")
+
+
 def components(nodes_edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b) as (node, component), component = the least node.
 

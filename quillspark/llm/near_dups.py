@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by MinHash banding: candidates share a band, pairs are verified on full shingle sets.
+"""N-gram Jaccard join by MinHash banding: candidates share a band, pairs are verified on full n-gram sets.
 
 Texts with equal shingle sets are one set with a weight, so copies never meet each
 other. Sets that share a band hash are linked through the least set of the bucket, never
-pairwise; connected buckets form clusters. A cluster is dealt by hash into blocks of
-about BLOCK sets, and each pair of blocks is one small task unit that compares all its
+pairwise; a set then hangs on the least of these, and the few others on that one, before
+connected buckets are joined to clusters. A cluster is dealt by hash into blocks that are
+bounded in sets and bytes, and each pair of blocks is one task unit that compares all its
 pairs exactly and gives back one row a set: its links, and the least set it is connected
 to. No pair is ever a row, no cluster is ever in one task, and no link is capped.
 """
@@ -19,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, map_rows, prepare, raw_texts, save, table
+from quillspark.llm.common import dealt_join, drop, hung, map_rows, prepare, raw_texts, save, table
 from quillspark.llm.shingles import Shingler, mixed
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.998
-BLOCK = 256
+#: Sets and bytes of shingles that a block should hold.
+BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
+#: Shingles that so many sets of a unit share are counted by a matrix product, others pair by pair; cells of one matrix.
+DENSE, CELLS = 24, 1 << 23
 SEED = 20_24
 
 
@@ -69,22 +73,41 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: Fraction
     owner = np.repeat(np.arange(len(sets)), n)
     _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = often[code] > 1
-    owner, code = owner[keep], np.unique(code[keep], return_inverse=True)[1]
+    owner, code = owner[keep], code[keep]
     rows, cols = (len(a), len(a)) if b is None else (len(a), len(b))
     both = np.zeros((rows, cols), np.float32)
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code, kind="stable")  # owners of a shingle stay in ascending order
     owner, code = owner[order], code[order]
-    width = 8192
-    top = int(code[-1]) + 1 if len(code) else 0
-    for s in range(0, top, width):
+    _, first, often = np.unique(code, return_index=True, return_counts=True)
+    for k in range(2, DENSE):
+        at = first[often == k]
+        if not len(at):
+            continue
+        own = owner[at[:, None] + np.arange(k)]
+        for i in range(k - 1):
+            for j in range(i + 1, k):
+                x, y = own[:, i], own[:, j]
+                if b is None:
+                    np.add.at(both, (x, y), 1)
+                    np.add.at(both, (y, x), 1)
+                else:
+                    cross = (x < rows) & (y >= rows)
+                    np.add.at(both, (x[cross], y[cross] - rows), 1)
+    dense = often >= DENSE
+    some = np.repeat(dense, often)
+    owner, code = owner[some], np.repeat(np.arange(int(dense.sum())), often[dense])
+    width = max(64, CELLS // len(sets))
+    for s in range(0, int(dense.sum()), width):
         lo, hi = np.searchsorted(code, (s, s + width))
-        m = np.zeros((len(sets), min(width, top - s)), np.float32)
+        m = np.zeros((len(sets), width), np.float32)
         m[owner[lo:hi], code[lo:hi] - s] = 1
         both += m[:rows] @ (m if b is None else m[rows:]).T
-    na, nb = n[:rows, None], (n if b is None else n[rows:])[None, :]
-    inter = both.astype(np.int64)
     num, den = similarity.numerator, similarity.denominator
-    out = inter * (den + num) >= num * (na + nb)
+    out = np.empty((rows, cols), bool)
+    right = n if b is None else n[rows:]
+    for s in range(0, rows, 256):
+        inter = both[s : s + 256].astype(np.int64)
+        out[s : s + 256] = inter * (den + num) >= num * (n[s : min(s + 256, rows), None] + right[None, :])
     if b is None:
         np.fill_diagonal(out, False)
     return out
@@ -92,14 +115,14 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: Fraction
 
 def roots(links: np.ndarray) -> np.ndarray:
     """Least reachable index of each node of a symmetric truth matrix."""
-    label = np.arange(len(links))
-    while True:
-        low = np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links))
-        new = np.minimum(label, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    label = np.full(len(links), -1)
+    for i in range(len(links)):
+        if label[i] < 0:
+            label[i], reach = i, np.array([i])
+            while len(reach):
+                reach = np.flatnonzero(links[reach].any(0) & (label < 0))
+                label[reach] = i
+    return label
 
 
 def _verify(similarity: float):
@@ -124,8 +147,8 @@ def _verify(similarity: float):
         else:
             full = part
         weight = np.array([r[4] for r in mine])
-        root = roots(full)
-        for r, text_links, doc_links, to in zip(mine, full.sum(1), (full * weight[None, :]).sum(1), root):
+        docs = np.concatenate([full[s : s + 256] @ weight for s in range(0, len(mine), 256)])
+        for r, text_links, doc_links, to in zip(mine, full.sum(1), docs, roots(full)):
             if text_links:
                 yield r[3], int(text_links), int(doc_links), mine[to][3]
 
@@ -161,6 +184,31 @@ def row_id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(2**62))
 
 
+def text_hash() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _shingles_once(width: int):
+    """(want, ..., text) -> (key, ..., shingles): rows whose text has the shingle set that is wanted, one for each set that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, done = Shingler(width), set()
+        for b in batches:
+            keep, sets = [], []
+            for i, (want, t) in enumerate(zip(b.column(0).to_pylist(), raw_texts(b))):
+                if want in done:
+                    continue
+                s = shingle(t)
+                if set_key(s) == want:
+                    done.add(want)
+                    keep.append(i)
+                    sets.append(s.tobytes())
+            part = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], ["key", "cluster", "weight", "n_blocks", "shingles"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, *keep, class_id, n_links, n_text_links) for each row.
 
@@ -168,65 +216,60 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     connected component; n_links: other rows that it is linked to, copies counted each;
     n_text_links: other shingle sets that it is linked to. A null id counts as a hash of its text.
     Null, empty and blank texts have no shingles: each row is its own class without links.
-    Repeated rows are rows of their own with the same class. Empty table: no rows.
+    Repeated rows are rows of their own with the same class, and so are different texts of one id, each with its own links. Empty table: no rows.
+    `keep` may name any columns but text; others are ignored. Texts of any length count in whole.
     A pair at the threshold is a candidate with probability `recall` or more, a closer one
     with a higher one; candidates are verified exactly.
     """
     spark = docs.sparkSession
     prepare(spark)
     bands, per_band = choose_bands(similarity, recall)
-    rid = row_id().alias("rid")
-    keep = keep or []
-    rows = docs.select("doc_id", rid, *[c for c in keep if c != "text"], "text")
+    kept = {c: f"keep{i}" for i, c in enumerate(c for c in keep or [] if c not in ("text", "doc_id"))}
+    rows = docs.select("doc_id", row_id().alias("rid"), text_hash().alias("th"), *(F.col(f"`{c}`").alias(k) for c, k in kept.items()), "text")
 
     def start():
         shingle, hashes = Shingler(width), MinHash(bands, per_band)
 
         def fn(batch):
-            keys, out = [], []
+            keys, sizes, out = [], [], []
             for t in raw_texts(batch):
                 s = shingle(t)
+                sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 out.append(hashes(s) if len(s) else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            return {"key": keys, "bands": pa.ListArray.from_arrays(ends, np.concatenate(out)) if out else pa.array([], pa.list_(pa.int64()))}
+            return {"key": keys, "n": sizes, "bands": pa.ListArray.from_arrays(ends, np.concatenate(out)) if out else pa.array([], pa.list_(pa.int64()))}
 
         return fn
 
-    signed = save(map_rows(rows, start, "key binary, bands array<bigint>", ["doc_id", "rid", *[c for c in keep if c != "text"]]), "near-signed")
-    sets = save(signed.where("key is not null").groupBy("key").agg(F.min("rid").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")), "near-sets")
+    signed = save(map_rows(rows, start, "key binary, n bigint, bands array<bigint>", ["doc_id", "rid", "th", *kept.values()]), "near-signed")
+    one = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("rid", "th")).alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = save(one.select("key", "rep.rid", "rep.th", "weight", "n", "bands"), "near-sets")
     member = sets.select("key", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket", "low")
-    edges = member.join(buckets, "bucket").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
-    clusters = components(edges, "near-clusters").withColumnRenamed("node", "key").withColumnRenamed("component", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    plan = clusters.join(sizes, "cluster").join(sets.select("key", "rep", "weight"), "key").withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    chosen = plan.select(F.col("key").alias("want"), F.col("rep").alias("rid"), "cluster", "weight", "n_blocks")
-
-    def full():
-        shingle = Shingler(width)
-
-        def fn(batch):
-            found = [shingle(t) for t in raw_texts(batch)]
-            return {"key": [set_key(s) for s in found], "shingles": [s.tobytes() for s in found]}
-
-        return fn
-
-    with_text = rows.select("rid", "text").join(chosen, "rid")
-    whole = map_rows(with_text, full, "key binary, shingles binary", ["want", "cluster", "weight", "n_blocks"]).where("key = want")
+    lows = save(member.join(buckets, "bucket").groupBy("key").agg(F.collect_set("low").alias("lows")), "near-lows")  # one a band at most
+    plan = hung(lows, "near-clusters").withColumnRenamed("component", "cluster").join(sets.drop("bands"), "key")
+    plan = save(plan, "near-plan")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    large = plan.groupBy("cluster").agg(blocks.alias("n_blocks")).where("n_blocks > 1")
+    chosen = dealt_join(plan, "cluster", large, "key").select("rid", "th", F.col("key").alias("want"), "cluster", "weight", F.coalesce("n_blocks", F.lit(1)).alias("n_blocks"))
+    with_text = rows.select("rid", "th", "text").join(chosen, ["rid", "th"]).select("want", "cluster", "weight", "n_blocks", "text")
+    whole = with_text.mapInArrow(_shingles_once(width), "key binary, cluster binary, weight bigint, n_blocks int, shingles binary")
     block = F.pmod(F.xxhash64("key"), F.col("n_blocks").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     dealt = whole.withColumn("block", block).withColumn("other", other).select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "weight", "shingles")
     dealt = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "key")
-    found = save(dealt.mapInArrow(_verify(similarity), "key binary, text_links bigint, doc_links bigint, root binary"), "near-links")
-    labels = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), "near-classes")
-    links = found.groupBy("key").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
-    labelled = sets.select("key", "rep", "weight").join(labels.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "key"))
-    least = labelled.groupBy("component").agg(F.min("rep").alias("class_id"))
-    classes = save(labelled.join(least, "component").select("key", "class_id", (F.coalesce("doc_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links")), "near-result")
-    out = signed.drop("bands").join(classes, "key", "left")
-    return out.select("doc_id", *[c for c in keep if c != "text"], F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
+    units = dealt.mapInArrow(_verify(similarity), "key binary, text_links bigint, doc_links bigint, root binary")
+    found = save(units.groupBy("key").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"), F.collect_set("root").alias("lows")), "near-links")  # a root from each block of the cluster at most
+    labelled = sets.select("key", F.col("rid").alias("rep"), "weight").join(hung(found, "near-classes"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    labelled = save(labelled, "near-labelled")
+    least = labelled.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    zero = F.lit(0).cast("long")
+    classes = dealt_join(labelled, "component", least, "key").select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("doc_links", zero) + F.col("weight") - 1).alias("n_links"), F.coalesce("text_links", zero).alias("n_text_links"))
+    classes = save(classes, "near-result")
+    drop(sets, lows, plan, found, labelled)
+    out = signed.join(classes, "key", "left")
+    return out.select("doc_id", *(F.col(k).alias(c) for c, k in kept.items()), F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

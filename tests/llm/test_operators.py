@@ -280,7 +280,7 @@ def test_blocks_find_every_link(spark, monkeypatch):
         w = list(base)
         w[random.randrange(100)] = f"e{k}"
         rows.append((k, " ".join(w)))
-    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    monkeypatch.setattr(near_dups, "BLOCK_SETS", 8)
     got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     sets = [shingled(t) for _, t in rows]
     assert {r.doc_id: r.n_text_links for r in got} == {i: sum(j != i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(60)) for i in range(60)}
