@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import save, table
 from quillspark.llm.mixing import mixed_rows
-from quillspark.llm.near_dups import near_duplicates, row_id
+from quillspark.llm.near_dups import near_duplicates, row_id, text_hash
 from quillspark.llm.quality import kept
 from quillspark.llm.secrets import masked
 from quillspark.llm.sentencepieces import encode
@@ -24,18 +24,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the least id (then the least hash of its text) of each class; one of equal rows; docs' columns."""
-    rid = row_id()
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    flags = near_duplicates(docs.select("doc_id", "text", rid.alias("__r"), text_hash.alias("__h")), keep=["__r", "__h"])
-    # Rows without words are classes of their own, though their ids may be those of others.
-    flags = save(flags.groupBy("class_id", "__r", "__h").agg(F.count("*").alias("n")), "pipeline-flags")
-    stay = flags.groupBy("class_id").agg(F.min(F.struct("__r", "__h")).alias("x")).select("x.__r", "x.__h").distinct()
-    repeated = flags.where("n > 1").limit(1).count() > 0
-    out = docs.withColumn("__r", rid).withColumn("__h", text_hash).join(stay, ["__r", "__h"], "left_semi")
-    if repeated:
-        out = out.dropDuplicates(["__r", "__h"])
-    return out.select(*docs.columns)
+    """The row with the least id (then the least hash of its text) of each class; one of equal rows; docs' columns, whatever their names.
+
+    Rows without words (null, empty or blank text) are classes of their own and all stay, but for
+    repeats of an id. A null id counts as a hash of its text. Empty table: no rows.
+    """
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    marked = docs.select(row_id().alias("r"), text_hash().alias("h"), *(F.col(f"`{c}`").alias(k) for c, k in inner.items()))
+    flags = near_duplicates(docs.select("doc_id", "text", row_id().alias("r"), text_hash().alias("h")), keep=["r", "h"])
+    flags = save(flags.groupBy("class_id", "r", "h").agg(F.count("*").alias("n")), "pipeline-flags")
+    stay = flags.groupBy("class_id").agg(F.min(F.struct("r", "h")).alias("x")).select("x.r", "x.h").distinct()
+    out = marked.join(stay, ["r", "h"], "left_semi")
+    if flags.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["r", "h"])
+    return out.select(*(F.col(k).alias(c) for c, k in inner.items()))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
