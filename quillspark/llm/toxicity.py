@@ -1,20 +1,18 @@
-"""Toxicity: bags of subword embeddings averaged over a window of words, into a linear softmax, trained jointly in numpy.
+"""Toxicity: subword-bag embeddings averaged over the document into a linear softmax, trained jointly in numpy.
 
 Words are runs without white space; a run of more than LONG code points is cut at signs and
 what is still longer into overlapping pieces, each a word, so no part of it is dropped.
 A word is a feature for itself and one for each character 3- to 6-gram of <word>, hashed
 into shared buckets, so a misspelling that was never seen shares most of its vectors
-with the word it comes from. A window's vector is the mean of its words' vectors; the
-softmax gives the probability that the window is toxic, and a document is toxic unless
-every window of it is clean (noisy or), so long clean texts don't dilute a passage and
-several weak ones add up. The training goes through the same pooling.
+with the word it comes from. A word's vector is the mean of its features' vectors, and the
+document's vector the weighted mean of its words': the weights are a softmax of SHARP times what a
+word adds to the toxic side, since a plain mean loses one foul word among thousands. The
+linear softmax reads that mean, and the training goes through both means and the weights.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +21,16 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import map_rows, prepare, table, texts
 
-BUCKETS, DIM, WINDOW = 1 << 18, 16, 1
+BUCKET_BITS, DIM = 18, 16
+BUCKETS = 1 << BUCKET_BITS
+GRAMS = (3, 4, 5, 6)
 #: Bound of the labelled sample that the classifier is fitted on: rows, and their code points altogether.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 14_000_000
 #: One held-out row in so many, by crc32 of its id.
 FOLDS = 5
-EPOCHS, RATE, DECAY = 60, 0.15, 1e-4
+EPOCHS, RATE, DECAY = 60, 0.5, 1e-5
+#: Words' weights in their document's mean are a softmax of SHARP times their own values.
+SHARP = 0.3
 CACHE_ROWS = 300_000
 STRIP = ".,;:!?\"'()[]{}|*&%$#<>-_/\\+=~`"
 #: Runs longer than this are cut; pieces of PIECE code points, a new one each STEP, take the place of a part without signs that is too long.
@@ -36,14 +38,42 @@ LONG, PIECE, STEP = 40, 20, 10
 SIGNS = re.compile(f"[{re.escape(STRIP)}，。、！？；：「」『』（）《》…—–]+")
 
 
-def features(word: str) -> list[int]:
-    """Bucket numbers of a word: itself and its character n-grams. A word of signs only has one feature."""
-    bare = word.strip(STRIP)
-    if not bare:
-        return [zlib.crc32(b"\0") % BUCKETS]
-    w = f"<{bare}>"
-    grams = [w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "ignore")) % BUCKETS for g in [f"={bare}", *grams]]
+MULT = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of MULT and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _powers[0] = tuple(np.concatenate([[np.uint64(1)], np.full(size - 1, x)]).cumprod(dtype=np.uint64) for x in (MULT, INVERSE))
+    return _powers[0][0][:n], _powers[0][1][:n]
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word's place) of all features: each word itself and its character n-grams of <word>. A word of signs only has one feature."""
+    bare = [f"<{w.strip(STRIP)}>" for w in words]
+    c = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(w) for w in bare], np.int64)
+    end = np.cumsum(size)
+    up, down = powers(len(c) + 1)
+    upto = np.zeros(len(c) + 1, np.uint64)  # weighted sums, so that a stretch's polynomial hash is a difference
+    np.cumsum((c + np.uint64(1)) * down[:-1], out=upto[1:])
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    left = end[owner] - np.arange(len(c))
+
+    def bucket(start, stop, kind):
+        h = (upto[stop] - upto[start]) * up[start] + np.uint64(kind)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+    found, of = [bucket(end - size, end, 1)], [np.arange(len(words), dtype=np.int32)]
+    for n in GRAMS:
+        at = np.flatnonzero((left >= n) & (size[owner] > 2))
+        found.append(bucket(at, at + n, n))
+        of.append(owner[at])
+    return np.concatenate(found), np.concatenate(of)
 
 
 def cut(run: str) -> list[str]:
@@ -72,63 +102,52 @@ class Model:
     constant: bool = False
 
 
-def window_means(z: np.ndarray, width: int) -> np.ndarray:
-    """Means of z over runs of `width` words (all words, if fewer)."""
-    if len(z) <= width:
-        return np.array([z.mean()]) if len(z) else np.zeros(0)
-    c = np.concatenate([[0.0], np.cumsum(z)])
-    return (c[width:] - c[:-width]) / width
+def pooled(z: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document (words from `first` on): the weighted mean of its words' values, and the words' weights, a softmax of SHARP * z."""
+    size = np.diff(np.append(first, len(z)))
+    top = np.maximum.reduceat(z, first)
+    weight = np.exp(SHARP * (z - np.repeat(top, size)))
+    weight /= np.repeat(np.add.reduceat(weight, first), size)
+    return np.add.reduceat(weight * z, first), weight
 
 
 def fit(docs: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Full-batch Adam on embedding and softmax together. Without both labels: a constant, the labels' smoothed rate."""
     y = np.array(labels, float)
     rate = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-    if not 0 < y.sum() < len(y):
+    if not docs or not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))) - (1e-6 if rate == 0.5 else 0.0), constant=True)
     vocab: dict[str, int] = {}
     runs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(d)], np.int32) for d in docs]
     some = [i for i, r in enumerate(runs) if len(r)]
+    if not some:
+        return fit([], labels)
     y, runs = y[some], [runs[i] for i in some]
-    flat, sizes = array("I"), array("I")
-    for word in vocab:
-        f = features(word)
-        flat.extend(f)
-        sizes.append(len(f))
-    flat, sizes = np.frombuffer(flat, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.float32)
-    first = np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)])
-    # Windows of all documents as starts and ends in the joined sequence of words.
+    names = list(vocab)
+    parts = [features(names[i : i + 50_000]) for i in range(0, len(names), 50_000)]
+    flat, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + i * 50_000 for i, p in enumerate(parts)])
+    del parts, names, vocab
+    sizes = np.bincount(of).astype(np.float32)
     lens = np.array([len(r) for r in runs])
-    off = np.concatenate([[0], np.cumsum(lens)])
+    first = np.concatenate([[0], np.cumsum(lens[:-1])])
     seq = np.concatenate(runs)
-    n_win = np.maximum(lens - WINDOW + 1, 1)
-    first_win = np.concatenate([[0], np.cumsum(n_win)])
-    doc_of = np.repeat(np.arange(len(runs)), n_win)
-    begin = np.arange(first_win[-1]) - first_win[doc_of] + off[doc_of]
-    end = np.minimum(begin + WINDOW, off[doc_of + 1])
-    width = (end - begin).astype(float)
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
-    bias = -6.0
+    bias = -6.0  # of the toxic side
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w)] + [[0.0, 0.0]]
     used = np.unique(flat)
     balance = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     for t in range(1, epochs + 1):
         s = e @ (w[:, 1] - w[:, 0])
-        z_word = np.add.reduceat(s[flat], first) / sizes
-        c = np.concatenate([[0.0], np.cumsum(z_word[seq])])
-        z = (c[end] - c[begin]) / width
-        logit = np.clip(z + bias, -30, 30)
-        clean = -np.add.reduceat(np.log1p(np.exp(logit)), first_win[:-1])  # log probability that no window is toxic
-        odds = np.exp(clean) / np.maximum(-np.expm1(clean), 1e-6)
-        g_doc = np.where(y == 1, -odds, 1.0) * balance / len(y)
-        g_win = g_doc[doc_of] / (1 + np.exp(-logit))
-        total = g_win.sum()
-        g_win = g_win / width
-        edge = np.bincount(begin, g_win, len(seq) + 1) - np.bincount(end, g_win, len(seq) + 1)
-        g_word = np.bincount(seq, np.cumsum(edge)[: len(seq)], len(sizes)) / sizes
-        g_s = np.bincount(flat, np.repeat(g_word.astype(np.float32), sizes.astype(np.int32)), BUCKETS).astype(np.float32)
+        z_word = np.bincount(of, s[flat], len(sizes)) / sizes
+        z = z_word[seq]
+        mean, weight = pooled(z, first)
+        g_doc = (1 / (1 + np.exp(-np.clip(mean + bias, -30, 30))) - y) * balance / len(y)
+        total = g_doc.sum()
+        g = np.repeat(g_doc, lens) * weight * (1 + SHARP * (z - np.repeat(mean, lens)))
+        g_word = np.bincount(seq, g, len(sizes)) / sizes
+        g_s = np.bincount(flat, g_word[of], BUCKETS).astype(np.float32)
         diff = e.T @ g_s
         grads = [np.outer(g_s, w[:, 1] - w[:, 0]) + DECAY * e, np.stack([-diff, diff], 1) + DECAY * w, total]
         for i, (x, g) in enumerate(zip((e, w, bias), grads)):
@@ -149,26 +168,23 @@ class Scorer:
     """Scores whole texts; a word's sum over its subwords is remembered."""
 
     def __init__(self, model: Model):
-        self.model, self.cache, self.flat = model, {}, model.scores.tolist()
+        self.model, self.cache = model, {}
 
-    def word(self, w: str) -> float:
-        f = features(w)
-        return sum(map(self.flat.__getitem__, f)) / len(f)
+    def words(self, new: list[str]) -> None:
+        flat, of = features(new)
+        z = np.bincount(of, self.model.scores[flat], len(new)) / np.bincount(of, minlength=len(new))
+        self.cache.update(zip(new, z.tolist()))
 
     def __call__(self, text: str) -> float:
         ws = [] if self.model.constant else words_of(text)
         if len(self.cache) > CACHE_ROWS:
             self.cache = {}
-        try:
-            z = [self.cache[w] for w in ws]
-        except KeyError:
-            for w in {w for w in ws if w not in self.cache}:
-                self.cache[w] = self.word(w)
+        z = list(map(self.cache.get, ws))
+        if None in z:
+            self.words(list({w for w, x in zip(ws, z) if x is None}))
             z = [self.cache[w] for w in ws]
-        z_win = window_means(np.array(z), WINDOW)
-        if not len(z_win):
-            z_win = np.zeros(1)
-        return float(-np.expm1(-np.log1p(np.exp(np.clip(z_win + self.model.bias, -30, 30))).sum()))
+        mean = float(pooled(np.array(z), np.array([0]))[0][0]) if z else 0.0
+        return float(1 / (1 + np.exp(-np.clip(mean + self.model.bias, -30, 30))))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
