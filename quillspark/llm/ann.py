@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
 Coarse and product centroids are fitted in numpy on a bounded sample; every row is
-indexed. Cells are dealt into blocks of vectors, and a cell's queries into blocks of
-queries, so a cell that holds a third of all rows is many small units. In a unit,
-asymmetric distance tables give each query a short list (all ties of its last one
-included), which is reranked at once with the original vectors that lie beside the codes.
+indexed. Neighbouring cells form groups, a query is sent once to each group in which it
+probes cells, and a group's vectors and queries are dealt into blocks, so a cell that holds a
+third of all rows is many small units. In a unit, asymmetric distance tables give each
+query a short list from the cells it probes (of equal codes the smallest ids), which is
+reranked at once with the original vectors that lie beside the codes.
 """
 
 from __future__ import annotations
@@ -20,24 +21,26 @@ from quillspark.llm.common import map_rows, prepare, save, table
 
 K, EVERY = 20, 20
 #: Bound of the sample that centroids are fitted on.
-SAMPLE = 20_000
+SAMPLE = 30_000
 SUBSPACES, CODEWORDS = 16, 256
 #: Share of the true neighbours, by brute force within the sample, whose cells the probes must cover; queries taken for it;
 #: and candidates that the probed cells must hold for each wanted neighbour.
-COVER, COVER_QUERIES, LEAST_FACTOR = 0.96, 400, 16
-SHORT_LIST = 256
-BLOCK, QUERY_BLOCK = 4096, 1024
-MOST_CELLS = 4096
+COVER, COVER_QUERIES, LEAST_FACTOR = 0.92, 400, 16
+SHORT_LIST = 128
+#: Cells are FINE times the square root of the rows, at most MOST_CELLS; a group of cells should hold GROUP vectors.
+FINE, MOST_CELLS, GROUP = 4, 4096, 1024
+BLOCK, QUERY_BLOCK, AT_ONCE = 4096, 4096, 64
 
 
 @dataclass
 class Index:
-    """coarse: cells x dim; books: subspaces x codewords x width; bounds: the subspaces' ends; probes: cells a query visits."""
+    """coarse: cells x dim; books: subspaces x codewords x width; bounds: the subspaces' ends; probes: cells a query visits; group: that of each cell."""
 
     coarse: np.ndarray
     books: list[np.ndarray]
     bounds: list[int]
     probes: int
+    group: np.ndarray
 
     def cells(self, v: np.ndarray) -> np.ndarray:
         """Nearest coarse centroid by Euclidean distance."""
@@ -69,45 +72,51 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
-def probes_for(sample: np.ndarray, coarse: np.ndarray, k: int, cover: float) -> int:
-    """Cells to visit in order of the query's inner product with their centroids, measured by brute force within the sample."""
-    q = sample[:: max(1, len(sample) // COVER_QUERIES)]
-    own = np.arange(0, len(sample), max(1, len(sample) // COVER_QUERIES))
-    score = q @ sample.T
+def probes_for(apart: np.ndarray, coarse: np.ndarray, k: int, cover: float) -> int:
+    """Cells to visit in order of the query's inner product with their centroids, measured by brute force within rows that no centroid was fitted on."""
+    own = np.arange(0, len(apart), max(1, len(apart) // COVER_QUERIES))
+    q = apart[own]
+    score = q @ apart.T
     score[np.arange(len(q)), own] = -np.inf
-    k = min(k, len(sample) - 1)
+    k = min(k, len(apart) - 1)
     if k < 1:
         return 1
     top = np.argpartition(-score, k - 1, axis=1)[:, :k]
     place = np.argsort(np.argsort(-(q @ coarse.T), axis=1, kind="stable"), axis=1)
-    at = np.sort(np.take_along_axis(place, nearest(sample, coarse)[top], 1).ravel())
+    at = np.sort(np.take_along_axis(place, nearest(apart, coarse)[top], 1).ravel())
     return int(at[min(len(at) - 1, int(np.ceil(cover * len(at))) - 1)]) + 1
 
 
 def fit(sample: np.ndarray, n_rows: int, k: int = K, cover: float = COVER, seed: int = 5) -> Index:
-    """sample: bounded; the number of cells follows the square root of all rows, at most MOST_CELLS."""
+    """sample: bounded, in random order; the number of cells follows the square root of all rows, at most MOST_CELLS.
+
+    A third of it is kept apart to set the number of probes, with as many neighbours as it should hold of the k in all rows.
+    """
     rng = np.random.default_rng(seed)
-    sample = sample.astype(np.float64)
-    cells = int(min(MOST_CELLS, max(1, len(sample) // 8), max(1, round(n_rows**0.5))))
+    apart, sample = sample[: len(sample) // 3].astype(np.float64), sample[len(sample) // 3 :].astype(np.float64)
+    k = max(2, round(k * len(apart) / n_rows))
+    cells = int(min(MOST_CELLS, max(1, len(sample) // 8), max(1, round(FINE * n_rows**0.5))))
     coarse = kmeans(sample, cells, 12, rng)
     dim = sample.shape[1]
     parts = min(SUBSPACES, dim)
     bounds = [round(i * dim / parts) for i in range(parts + 1)]
     r = sample - coarse[nearest(sample, coarse)]
     books = [kmeans(r[:, a:b], CODEWORDS, 10, rng) for a, b in zip(bounds, bounds[1:])]
-    return Index(coarse, books, bounds, probes_for(sample, coarse, k, cover))
+    group = nearest(coarse, kmeans(coarse, max(1, min(len(coarse), n_rows // GROUP)), 8, rng))
+    return Index(coarse, books, bounds, probes_for(apart, coarse, k, cover) if len(apart) else len(coarse), group)
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
-    """(vec_id, v): without null ids, and null, zero or non-finite vectors, in double precision."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    """(vec_id, v): without null ids, and null, zero or non-finite vectors; components are floats or doubles as given, and computed with in double precision."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.where(F.coalesce(fine, F.lit(False)))
     return v if dim is None else v.where(F.size("v") == dim)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -116,7 +125,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
 
     Queries: rows whose vec_id is divisible by `every`; candidates: all rows of another vec_id.
     Null ids, null, zero or non-finite vectors take no part, nor do vectors of another length
-    than the most frequent one (the longest, if several are). Repeated rows are candidates each. A query whose cells hold
+    than the most frequent one (the longest, if several are). Repeated rows are candidates each; an id that is
+    repeated is one query, by the least of its vectors. A query whose cells hold
     fewer than k candidates probes on, so it gets k or all there are. Empty table: no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -145,7 +155,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
     indexed = save(map_rows(rows, place, "cell int, code binary", ["vec_id", "v"]), "ann-index")
     sizes = {r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}  # MOST_CELLS rows at most
     cells = np.array([sizes.get(c, 0) for c in range(len(index.coarse))])
-    probes = index.probes
+    probes, group = index.probes, index.group
     least = min(n, LEAST_FACTOR * k)
 
     def route():
@@ -157,50 +167,64 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
             out = []
             for o in order:
                 enough = int(np.searchsorted(np.cumsum(cells[o]), least)) + 1
-                out.append([int(c) for c in o[: max(probes, enough)] if cells[c]])
-            return {"cells": out}
+                visit = o[: max(probes, enough)]
+                visit = np.sort(visit[cells[visit] > 0])
+                of = group[visit]
+                out.append([{"group": int(g), "cells": visit[of == g].tolist()} for g in np.unique(of)])
+            return {"visits": out}
 
         return fn
 
-    queries = rows.where(F.col("vec_id") % every == 0)
-    routed = save(map_rows(queries, route, "cells array<int>", ["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), "v", F.explode("cells").alias("cell")), "ann-queries")
-    load = {r.cell: r["count"] for r in routed.groupBy("cell").count().collect()}
-    shape = spark.createDataFrame([(c, -(-sizes[c] // BLOCK), -(-load.get(c, 0) // QUERY_BLOCK)) for c in sizes], "cell int, vb int, qb int")
-    shape = F.broadcast(shape)  # MOST_CELLS rows at most
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    routed = map_rows(queries, route, "visits array<struct<group:int,cells:array<int>>>", ["vec_id", "v"])
+    routed = save(routed.select(F.col("vec_id").alias("query_id"), "v", F.explode("visits").alias("x")).select("query_id", "v", "x.group", "x.cells"), "ann-queries")
+    load = {r.group: r["count"] for r in routed.groupBy("group").count().collect()}
+    held = np.bincount(group, cells, len(cells)).astype(int)
+    shape = spark.createDataFrame([(c, int(g), max(1, -(-int(held[g]) // BLOCK)), -(-load.get(int(g), 0) // QUERY_BLOCK)) for c, g in enumerate(group)], "cell int, group int, vb int, qb int")
+    # MOST_CELLS rows at most
+    by_cell, by_group = F.broadcast(shape), F.broadcast(shape.drop("cell").distinct())
     part = lambda x, m: F.pmod(F.xxhash64(x), F.col(m).cast("long")).cast("int")
-    v_units = indexed.join(shape, "cell").where("qb > 0").select("cell", part("vec_id", "vb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"), "vec_id", "v", "code")
-    q_units = routed.join(shape, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("i"), part("query_id", "qb").alias("j"), "query_id", F.col("v").alias("qv"))
+    v_units = indexed.join(by_cell, "cell").where("qb > 0").select("group", part("vec_id", "vb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"), "vec_id", "v", "code", "cell")
+    q_units = routed.join(by_group, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("i"), part("query_id", "qb").alias("j"), "query_id", F.col("v").alias("qv"), "cells")
 
     def unit(q: pa.Table, c: pa.Table) -> pa.Table:
         ix = shared.value
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not q.num_rows or not c.num_rows:
-            return pa.table(empty)
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        c = c.sort_by("vec_id")
         ids, qids = c.column("vec_id").to_numpy(), q.column("query_id").to_numpy()
         v, qv = matrix(c.column("v").combine_chunks()), matrix(q.column("qv").combine_chunks())
         codes = np.frombuffer(b"".join(c.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        base = qv @ ix.coarse[c.column("cell")[0].as_py()]
-        out_q, out_v, out_s = [], [], []
-        order = np.argsort(ids, kind="stable")
-        ids, v, codes = ids[order], v[order], codes[order]
-        for s in range(0, len(qids), 64):
-            tables = ix.tables(qv[s : s + 64])
-            near = np.repeat(base[s : s + 64, None], len(ids), 1)
+        own, cell = np.unique(c.column("cell").to_numpy(), return_inverse=True)
+        visits = q.column("cells").combine_chunks()
+        flat, size = visits.flatten().to_numpy(), np.diff(visits.offsets.to_numpy())
+        probed = np.zeros((len(qids), len(ix.coarse)), bool)
+        probed[np.repeat(np.arange(len(qids)), size), flat] = True
+        probed = probed[:, own]
+        places = np.arange(len(ids) - 1, -1, -1, dtype=np.int64)
+        short = min(SHORT_LIST, len(ids))
+        out = []
+        for s in range(0, len(qids), AT_ONCE):
+            now = slice(s, s + AT_ONCE)
+            tables = ix.tables(qv[now])
+            near = (qv[now] @ ix.coarse[own].T)[:, cell]
             for j in range(codes.shape[1]):
                 near += tables[:, j, :][:, codes[:, j]]
-            for a, row in enumerate(near):
-                qid = qids[s + a]
-                row = np.where(ids == qid, -np.inf, row)
-                short = np.flatnonzero(row >= np.partition(row, len(row) - SHORT_LIST)[len(row) - SHORT_LIST]) if len(row) > SHORT_LIST else np.arange(len(row))
-                short = short[ids[short] != qid]
-                score = (v[short] * qv[s + a]).sum(1)
-                best = np.lexsort((ids[short], -score))[:k]
-                out_q.append(np.full(len(best), qid))
-                out_v.append(ids[short][best])
-                out_s.append(score[best])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    units = q_units.groupBy("cell", "i", "j").cogroup(v_units.groupBy("cell", "i", "j")).applyInArrow(unit, "query_id bigint, vec_id bigint, score double")
+            near[~probed[now][:, cell] | (ids[None, :] == qids[now, None])] = -np.inf
+            # One whole number that orders by the estimate, and equal ones by the smaller id.
+            bits = near.astype(np.float32).view(np.int32)
+            key = (np.where(bits < 0, bits ^ 0x7FFFFFFF, bits).astype(np.int64) << 31) | places
+            best = np.argpartition(key, len(ids) - short, axis=1)[:, len(ids) - short :]
+            score = np.einsum("qsd,qd->qs", v[best], qv[now])
+            score[np.isinf(np.take_along_axis(near, best, 1))] = -np.inf
+            order = np.lexsort((ids[best], -score), axis=1)[:, :k]
+            score = np.take_along_axis(score, order, 1)
+            fine = ~np.isinf(score)
+            found = np.take_along_axis(ids[best], order, 1)
+            out.append((np.repeat(qids[now], fine.sum(1)), found[fine], score[fine]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+
+    units = q_units.groupBy("group", "i", "j").cogroup(v_units.groupBy("group", "i", "j")).applyInArrow(unit, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return units.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

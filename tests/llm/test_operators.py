@@ -202,6 +202,12 @@ def test_nearest(spark):
         assert len(g) == 20 and np.allclose(g.sort_values("rank").score, s[g.sort_values("rank").vec_id])
     assert got.query_id.nunique() == 30 and hits / 600 >= 0.9
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "cell", "group", "code")})).count() == len(got)
+    twice = ann.search(spark.createDataFrame([*rows[:200], (0, [9.0] * 16), (0, v[0].tolist()), (7, v[7].tolist())], "vec_id long, embedding array<float>")).toPandas()
+    least = min([v[0].tolist(), [9.0] * 16])
+    s = sorted(((-float(np.dot(np.float64(x), np.float64(least))), i) for i, x in [*rows[:200], (7, v[7].tolist())] if i != 0))[:20]
+    own = twice[twice.query_id == 0].sort_values("rank")
+    assert len(own) == 20 and own["rank"].tolist() == list(range(1, 21)) and len({*own.vec_id} & {i for _, i in s}) >= 17 and 0 not in set(own.vec_id)
     assert ann.search(spark.createDataFrame([(0, [1.0, 2.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<float>")).count() == 1
 
 
