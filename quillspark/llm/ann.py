@@ -22,32 +22,34 @@ from quillspark.llm.common import map_rows, prepare, save, table
 K, EVERY = 20, 20
 #: Bound of the sample that centroids are fitted on.
 SAMPLE = 30_000
-SUBSPACES, CODEWORDS = 16, 256
+SUBSPACES, CODEWORDS = 32, 256
 #: Share of the true neighbours, by brute force within the sample, whose cells the probes must cover; queries taken for it;
 #: and candidates that the probed cells must hold for each wanted neighbour.
-COVER, COVER_QUERIES, LEAST_FACTOR = 0.92, 400, 16
-SHORT_LIST = 128
+COVER, COVER_QUERIES, LEAST_FACTOR = 0.9, 400, 16
+SHORT_LIST = 192
 #: Cells are FINE times the square root of the rows, at most MOST_CELLS; a group of cells should hold GROUP vectors.
-FINE, MOST_CELLS, GROUP = 4, 4096, 1024
+FINE, MOST_CELLS, GROUP = 8, 4096, 1024
 BLOCK, QUERY_BLOCK, AT_ONCE = 4096, 4096, 64
 
 
 @dataclass
 class Index:
-    """coarse: cells x dim; books: subspaces x codewords x width; bounds: the subspaces' ends; probes: cells a query visits; group: that of each cell."""
+    """coarse: cells x dim; books: subspaces x codewords x width; bounds: the subspaces' ends; probes: cells a query visits;
+    group: that of each cell; scale: length of a cell's residuals, by which they are divided before they are quantised, so that dense cells are resolved as well."""
 
     coarse: np.ndarray
     books: list[np.ndarray]
     bounds: list[int]
     probes: int
     group: np.ndarray
+    scale: np.ndarray
 
     def cells(self, v: np.ndarray) -> np.ndarray:
         """Nearest coarse centroid by Euclidean distance."""
         return (((self.coarse**2).sum(1)[None, :]) - 2 * v @ self.coarse.T).argmin(1)
 
     def codes(self, v: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        r = v - self.coarse[cell]
+        r = (v - self.coarse[cell]) / self.scale[cell, None]
         return np.stack([nearest(r[:, a:b], book) for a, b, book in zip(self.bounds, self.bounds[1:], self.books)], 1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -100,10 +102,16 @@ def fit(sample: np.ndarray, n_rows: int, k: int = K, cover: float = COVER, seed:
     dim = sample.shape[1]
     parts = min(SUBSPACES, dim)
     bounds = [round(i * dim / parts) for i in range(parts + 1)]
-    r = sample - coarse[nearest(sample, coarse)]
+    at = nearest(sample, coarse)
+    r = sample - coarse[at]
+    own = (r**2).sum(1)
+    # A little of all rows' scale stands in for a cell of a single row.
+    scale = np.sqrt((np.bincount(at, own, len(coarse)) + 1e-3 * own.mean()) / (np.bincount(at, minlength=len(coarse)) + 0.1))
+    scale = np.where(scale > 0, scale, 1.0)
+    r = r / scale[at, None]
     books = [kmeans(r[:, a:b], CODEWORDS, 10, rng) for a, b in zip(bounds, bounds[1:])]
     group = nearest(coarse, kmeans(coarse, max(1, min(len(coarse), n_rows // GROUP)), 8, rng))
-    return Index(coarse, books, bounds, probes_for(apart, coarse, k, cover) if len(apart) else len(coarse), group)
+    return Index(coarse, books, bounds, probes_for(apart, coarse, k, cover) if len(apart) else len(coarse), group, scale)
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -207,9 +215,10 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
         for s in range(0, len(qids), AT_ONCE):
             now = slice(s, s + AT_ONCE)
             tables = ix.tables(qv[now])
-            near = (qv[now] @ ix.coarse[own].T)[:, cell]
-            for j in range(codes.shape[1]):
+            near = tables[:, 0, :][:, codes[:, 0]]
+            for j in range(1, codes.shape[1]):
                 near += tables[:, j, :][:, codes[:, j]]
+            near = near * ix.scale[own][cell] + (qv[now] @ ix.coarse[own].T)[:, cell]
             near[~probed[now][:, cell] | (ids[None, :] == qids[now, None])] = -np.inf
             # One whole number that orders by the estimate, and equal ones by the smaller id.
             bits = near.astype(np.float32).view(np.int32)
