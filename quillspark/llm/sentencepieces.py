@@ -5,8 +5,9 @@ encoding each two neighbours alone gives those two back, so encoding is a best p
 an edge is a piece, a step between neighbours that don't agree weighs minus infinity,
 any other -1, and just one path is left. States at a cut of the text are the pieces that
 end at it or cross it. A chunk yields its transfer matrix between the states of its two cuts;
-matrices combine by the max-plus product, which is associative; with the states at the
-cuts known, each chunk is traced back on its own. No piece holds white space after
+matrices combine by the max-plus product, which is associative, so they are combined up a tree of
+FAN children a node, the states at the cuts come down it again, and
+with them each chunk is traced back on its own. No piece holds white space after
 another character, so such a place is a cut with one state: short texts are cut there
 alone, and equal words share one trace.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import map_rows, prepare, save, table, texts
 
 MODEL = "piece_bpe_32k.model"
-GIANT, CHUNK = 1 << 16, 1 << 14
+GIANT, CHUNK, FAN = 1 << 16, 1 << 14, 8
 SPACE = "▁"
 WORDS_KEPT, PAIRS_KEPT = 300_000, 500_000
 #: States before the first piece and after the last.
@@ -304,12 +305,12 @@ def product(a: dict[tuple, int], b: dict[tuple, int]) -> dict[tuple, int]:
     return out
 
 
-def settle(matrices: list[dict[tuple, int]]) -> list[tuple[State, State]]:
-    """The states at both cuts of each chunk on the best path: products from the left, then back from the end."""
-    upto = [{FIRST: 0}]
+def settle(matrices: list[dict[tuple, int]], begin: State = FIRST, end: State = LAST) -> list[tuple[State, State]]:
+    """The states at both cuts of each matrix on the best path from `begin` to `end`."""
+    upto = [{begin: 0}]
     for m in matrices:
-        upto.append({z: w for (_, z), w in product({(FIRST, y): v for y, v in upto[-1].items()}, m).items()})
-    at, out = LAST, []
+        upto.append({z: w for (_, z), w in product({(begin, y): v for y, v in upto[-1].items()}, m).items()})
+    at, out = end, []
     for m, before in zip(reversed(matrices), reversed(upto[:-1])):
         came = max((before[x] + w, repr(x), x) for (x, z), w in m.items() if z == at and x in before)[2]
         out.append((came, at))
@@ -317,6 +318,38 @@ def settle(matrices: list[dict[tuple, int]]) -> list[tuple[State, State]]:
     return out[::-1]
 
 
+def tree_states(leaves: DataFrame, fan: int = FAN) -> DataFrame:
+    """(uid, k, matrix) -> (uid, k, states): products of `fan` neighbours, level by level, up to one matrix a text; then from the root down, each node's states to its children.
+
+    A group is `fan` matrices, so no task holds a whole text's, and the levels grow with the logarithm of its chunks.
+    """
+    levels = [leaves]
+    parent = F.floor(F.col("k") / fan).cast("int")
+
+    def combine(group: pa.Table) -> pa.Table:
+        group = group.sort_by("k")
+        m, *rest = map(_unpack, group.column("matrix").to_pylist())
+        for x in rest:
+            m = product(m, x)
+        return pa.table({"uid": group.column("uid")[:1], "k": group.column("up")[:1], "matrix": pa.array([_pack(m)], pa.binary())})
+
+    while levels[-1].where("k > 0").limit(1).count():
+        up = levels[-1].withColumn("up", parent)
+        levels.append(save(up.groupBy("uid", "up").applyInArrow(combine, "uid bigint, k int, matrix binary"), f"piece-level-{len(levels)}"))
+
+    def deal(group: pa.Table) -> pa.Table:
+        group = group.sort_by("k")
+        states = settle([_unpack(m) for m in group.column("matrix").to_pylist()], *_unpack(group.column("outer")[0].as_py()))
+        return pa.table({"uid": group.column("uid"), "k": group.column("k"), "states": pa.array([_pack(s) for s in states], pa.binary())})
+
+    whole = _pack((FIRST, LAST))
+    states = levels[-1].select("uid", "k", F.lit(whole).alias("states"))
+    for level in reversed(levels[:-1]):
+        outer = states.select("uid", F.col("k").alias("up"), F.col("states").alias("outer"))
+        states = level.withColumn("up", parent).join(outer, ["uid", "up"]).groupBy("uid", "up").applyInArrow(deal, "uid bigint, k int, states binary")
+    return states
+
+
 def split(text: str, longest: int, size: int = CHUNK) -> list[tuple[str, int, int, bool, bool]]:
     """Chunks of the normalized text with what stands around them: (text, p, q, first, last)."""
     normal = normalized(text)
@@ -393,7 +426,7 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
 
     big = rows.where(F.length("text") > giant).withColumn("doc_id", F.col("doc_id").cast("long"))
     chunks = save(big.mapInArrow(cut, "uid bigint, doc_id bigint, k int, chunk string, p int, q int, first boolean, last boolean, plain boolean"), "piece-chunks")
-    chunks = chunks.repartition("uid", "k")
+    chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid", "k")  # by number: not put together again
 
     def scan():
         pieces = pieces_of(model_path(model))
@@ -404,15 +437,9 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
 
         return fn
 
-    matrices = map_rows(chunks, scan, "matrix binary", ["uid", "k"])
-
-    def combine(group: pa.Table) -> pa.Table:
-        group = group.sort_by("k")
-        states = settle([_unpack(m) for m in group.column("matrix").to_pylist()])
-        return pa.table({"uid": group.column("uid"), "k": group.column("k"), "states": pa.array([_pack(s) for s in states], pa.binary())})
+    matrices = save(map_rows(chunks, scan, "matrix binary", ["uid", "k"]), "piece-level-0")
 
-    states = matrices.groupBy("uid").applyInArrow(combine, "uid bigint, k int, states binary")
-    ready = chunks.join(states, ["uid", "k"])
+    ready = chunks.join(tree_states(matrices), ["uid", "k"])
 
     def back():
         pieces = pieces_of(model_path(model))

@@ -312,6 +312,20 @@ def test_pieces(spark, docs, none):
         assert np.frombuffer(p.encode(x), "<u4").tolist() == want == sentencepieces.encode_chunked(p, x, random.choice([1, 3, 9]))
 
 
+def test_tree_of_matrices(spark):
+    p = sentencepieces.Pieces(sentencepieces.model_path())
+    texts = ["", "xx" * 40, LONG[:700], "中" * 333, " " * 50 + "th" * 90, LONG[:90]]
+    rows, want = [], {}
+    for uid, t in enumerate(texts):
+        chunks = sentencepieces.split(t, p.longest, 10)
+        m = [p.transfer(*c) for c in chunks]
+        want |= {(uid, k): s for k, s in enumerate(sentencepieces.settle(m))}
+        rows += [(uid, k, bytearray(sentencepieces._pack(x))) for k, x in enumerate(m)]
+    for fan in (2, 8):
+        got = sentencepieces.tree_states(spark.createDataFrame(rows, "uid long, k int, matrix binary"), fan).collect()
+        assert {(r.uid, r.k): sentencepieces._unpack(r.states) for r in got} == want
+
+
 def test_product_is_associative():
     a, b, c = ({(i, j): -random.randint(0, 9) for i in range(3) for j in range(3) if random.random() < 0.8} for _ in range(3))
     s = sentencepieces
