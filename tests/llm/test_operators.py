@@ -116,12 +116,64 @@ def test_thresholds_keep_to_their_language_at_every_size(spark):
     assert all(abs(got[300][k] / got[3000][k] - 1) < 0.15 for k in ("low", None))
 
 
-def test_kneser_ney_sums_to_one(spark, docs):
-    m = quality.train(docs, labels(spark))
-    p = np.exp(m.logp.astype(np.float64)).reshape(-1, quality.ALPHABET).sum(1)
-    assert np.abs(p - 1).max() < 0.02
-    seen = quality.codes("abab", quality.symbol_table(m.alphabet))
-    assert len(quality.grams(seen)) == 4
+def brute_kneser_ney(trained):
+    """p(symbol | up to three symbols before) by the definition, with counts in dictionaries."""
+    from collections import Counter
+
+    counts = {4: Counter()}
+    for t in trained:
+        x = "\n" * 3 + t
+        counts[4].update(x[i - 3 : i + 1] for i in range(3, len(x)))
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    symbols = len(counts[1])
+
+    def p(g):
+        if not g:
+            return 1 / (symbols + 1)
+        c = counts[len(g)]
+        of = Counter(c.values())
+        d = [0, *quality.discounts(*(of[i] for i in (1, 2, 3, 4)))]
+        ctx = {h: n for h, n in c.items() if h[:-1] == g[:-1]}
+        if not ctx:
+            return p(g[1:])
+        total = sum(ctx.values())
+        return (ctx.get(g, 0) - d[min(3, ctx.get(g, 0))] + sum(d[min(3, n)] for n in ctx.values()) * p(g[1:])) / total
+
+    return p, "".join(counts[1])
+
+
+def test_kneser_ney_is_what_the_definition_gives(spark, monkeypatch):
+    rng = random.Random(8)
+    good = ["".join(rng.choice("abcd ") for _ in range(60)) for _ in range(12)] + ["привет мир", "中文字符", "abab", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(good)], "doc_id long, text string")
+    m = quality.train(d, d.select("doc_id", F.lit(1).alias("quality")))
+    outside = {r.tid for r in d.select(F.col("doc_id").alias("tid")).where(quality.held_out()).collect()}
+    p, letters = brute_kneser_ney([t for i, t in enumerate(good) if t and i not in outside])
+    for t in ("abcd abcd", "привет", "a中", "zzz", "ab\nцd" * 9, "x"):
+        x = "\n" * 3 + t
+        want = [np.log(p(x[i - 3 : i + 1])) for i in range(3, len(x))]
+        key = quality.keys(t)
+        assert np.allclose(m.grams_logp(key, np.arange(len(t))), want, atol=1e-5)
+        assert abs(m.text_nats(t) + sum(want)) < 1e-4
+        monkeypatch.setattr(quality, "SEGMENT", 4)
+        assert abs(m.text_nats(t) + sum(want)) < 1e-4
+        monkeypatch.undo()
+    for before in ("", "ab", "при", "qq"):
+        assert abs(sum(np.exp(m.grams_logp(quality.keys(before + c), np.array([len(before)])))[0] for c in letters + "\x01") - 1) < 1e-4
+
+
+def test_scripts_are_told_apart(spark):
+    """Clean and garbled texts of a script that is rare among the trusted rows."""
+    rng = random.Random(2)
+    words = {a: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(40)] for a, letters in (("en", "abcdefghij"), ("ru", "абвгдежзик"))}
+    make = lambda a: " ".join(rng.choice(words[a]) for _ in range(60))
+    rows = [(i, make("ru" if i % 12 == 0 else "en"), "ru" if i % 12 == 0 else "en") for i in range(600)]
+    bad = [(1000 + i, "".join(rng.choice("абвгдежзик ") for _ in range(300)), "ru") for i in range(20)]
+    d = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in rows + bad], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.judge(d, marks).where("keep").collect()}
+    assert not kept & {r[0] for r in bad} and len(kept) >= 590
 
 
 def brute_base(t):
