@@ -1,11 +1,13 @@
-"""LM scoring: a hashed maximum-entropy model over word classes, with n-gram and skip features and a class-factored softmax.
-
-p(word | before) = p(class | the three classes before) * p(word | class). The class
-of a word comes from its first characters, hashed into GROUPS, which are clustered by
-the company they keep in the training text. The class model has hashed features for
-n-grams (1, 2 and 3 back) and skips (2nd, 3rd, 1st with 3rd, 2nd with 3rd) and is trained
-by gradient updates summed over shards of event counts, of which there are at most
-CLASSES ** 4 whatever the corpus. Word counts cover every training token: the most
+"""LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
+
+p(word | before) = p(class | the three classes before) * p(word | class, the two classes before).
+The class of a word comes from its first characters, hashed into GROUPS, which are clustered by
+the company they keep in the training text. The first factor has hashed features for
+n-grams (1, 2 and 3 back) and skips (2nd, 3rd, 1st with 3rd, 2nd with 3rd). The second is a
+softmax over the class's words, with their counts as base and, for each word hashed into a bucket
+of its class, a weight for the class before it (n-gram) and one for the class before that (skip); the
+buckets grow with the training tokens, up to MOST_BUCKETS. Both factors are trained by
+gradient updates over shards of event counts. Word counts cover every training token: the most
 frequent MAP_WORDS are looked up where a text is read, the others by a join.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +32,11 @@ GROUPS, CLASSES, SPAN, DIMS = 2048, 32, 3, 20
 #: Class 0 stands before a text, class CLASSES - 1 is the end.
 END_CLASS = CLASSES - 1
 BUCKETS, ROUNDS, RATE, DECAY = 1 << 13, 30, 0.35, 1e-7
+#: Training tokens a word bucket, the least and the most buckets (2 * CLASSES bytes each are broadcast), buckets a shard.
+TOKENS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS, SHARD = 256, 1 << 10, 1 << 19, 4096
+#: Updates of the words' weights, their length, the pull to zero, and the steps in which weights are kept.
+WORD_ROUNDS, WORD_RATE, WORD_DECAY, STEP = 8, 0.5, 2.0, 1 / 24
+HASH_BITS = 21
 #: Bound of the words whose counts are broadcast.
 MAP_WORDS = 1 << 19
 CACHE_ROWS = 300_000
@@ -46,8 +54,13 @@ def group_of(word: bytes) -> int:
     return zlib.crc32(word[:12].decode("utf-8", "ignore")[:3].encode()) % GROUPS
 
 
-class Groups:
-    """Words -> group numbers, remembered."""
+def code_of(word: bytes) -> int:
+    """32 bits: the group, and a hash of the word within it."""
+    return group_of(word) << HASH_BITS | zlib.crc32(word) & (1 << HASH_BITS) - 1
+
+
+class Codes:
+    """Words -> codes, remembered."""
 
     def __init__(self):
         self.cache: dict[bytes, int] = {}
@@ -57,21 +70,28 @@ class Groups:
             self.cache = {}
         cache = self.cache
         try:
-            return np.array([cache[w] for w in words], np.int32)
+            return np.array([cache[w] for w in words], np.uint32)
         except KeyError:
             for w in {w for w in words if w not in cache}:
-                cache[w] = group_of(w)
-            return np.array([cache[w] for w in words], np.int32)
+                cache[w] = code_of(w)
+            return np.array([cache[w] for w in words], np.uint32)
+
+
+def buckets_of(codes: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
+    """Codes -> buckets of n, in equal parts for the classes."""
+    part = n // CLASSES
+    h = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return classes[codes >> HASH_BITS].astype(np.int64) * part + (h % np.uint64(part)).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
-def worker_groups() -> Groups:
+def worker_codes() -> Codes:
     """One for a worker process, kept over its tasks."""
-    return Groups()
+    return Codes()
 
 
 def code_arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in batch.column(0)]
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(0)]
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -79,11 +99,11 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def first_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One reading of the training texts: (word, c) over all their tokens, the end with them, and (codes): each text's groups as 16-bit numbers."""
+    """One reading of the training texts: (word, c) over all their tokens, the end with them, and (codes): its words' 32-bit codes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        groups = worker_groups()
+        coded = worker_codes()
 
         def out(codes, words=(), n=()):
             size = len(codes) + len(words)
@@ -95,7 +115,7 @@ def first_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             for t in raw_texts(b):
                 words = words_of(t)
                 held.update(words)
-                codes.append(groups(words).astype("<u2").tobytes())
+                codes.append(coded(words).astype("<u4").tobytes())
             held[END] += b.num_rows
             if codes:
                 yield out(codes)
@@ -110,15 +130,16 @@ def first_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, both.where("kind = 0").select("codes")
 
 
-def summed(df: DataFrame, block: str, blob: str) -> DataFrame:
-    """Adds up compressed arrays of 64-bit counts of equal block number."""
+def summed(df: DataFrame, block: str, blob: str, cells: int = 0) -> DataFrame:
+    """Adds up compressed arrays of 64-bit counts of equal block number: whole ones, or sparse ones of `cells` places."""
 
     def add(g: pa.Table) -> pa.Table:
         total = None
         for x in g.column(blob):
-            a = np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+            a = spread(x.as_py(), cells) if cells else np.frombuffer(zlib.decompress(x.as_py()), np.int64)
             total = a.copy() if total is None else total + a
-        return pa.table({block: g.column(block)[:1], blob: pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        some = np.flatnonzero(total) if cells else None
+        return pa.table({block: g.column(block)[:1], blob: pa.array([squeezed(some, total[some]) if cells else zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     kind = f"{block} int, {blob} binary"
     # First within salted parts, so that no task takes a block from every partition.
@@ -146,7 +167,7 @@ def neighbours(codes: DataFrame) -> np.ndarray:
         gap = np.full(SPAN, -1, np.int32)
         for b in batches:
             for g in code_arrays(b):
-                held.extend((g, gap))
+                held.extend(((g >> HASH_BITS).astype(np.int32), gap))
                 n += len(g)
             if n > 2_000_000:
                 flush()
@@ -180,23 +201,60 @@ def cluster(near: np.ndarray) -> np.ndarray:
     return nearest(e, kmeans(e, CLASSES - 2, 15, rng)).astype(np.int32) + 1
 
 
-def events(codes: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(block, n): counts of (three classes before, class) over all training tokens, a block for each pair of the earlier two."""
-    width = CLASSES * CLASSES
+def events(codes: DataFrame, classes: np.ndarray, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Over all training tokens: (block, n), counts of (three classes before, class), a block for each pair of the earlier two;
+    and (shard, n), counts of (word bucket, class before or, 32 further on, the one before that) in the shard's buckets."""
+    width, shard = CLASSES * CLASSES, min(SHARD, n_buckets // CLASSES)
+
+    def packed(numbers, kind, blobs):
+        return pa.RecordBatch.from_pydict({"block": pa.array(numbers, pa.int32()), "kind": pa.array([kind] * len(numbers), pa.int32()), "n": pa.array(blobs, pa.binary())})
 
     def count(batches):
         total = np.zeros(CLASSES**4, np.int64)
+        runs, held, size = [], [], 0
+
+        def shards():
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            of = cell // (shard * 2 * CLASSES)
+            numbers, first = np.unique(of, return_index=True)
+            ends = [*first[1:], len(cell)]
+            return packed(numbers, 1, [squeezed(cell[i:j] - k * (shard * 2 * CLASSES), n[i:j]) for k, i, j in zip(numbers.tolist(), first, ends)])
+
         for b in batches:
-            parts = []
             for g in code_arrays(b):
-                parts.append(event_codes(with_ends(classes[g])))
-            total += np.bincount(np.concatenate(parts), minlength=CLASSES**4) if parts else 0
+                c = with_ends(classes[g >> HASH_BITS])
+                runs.append(event_codes(c))
+                at = buckets_of(g, classes, n_buckets) * (2 * CLASSES)
+                held += [at + c[2:-2], at + CLASSES + c[1:-3]]
+                size += len(g)
+            if runs:
+                total += np.bincount(np.concatenate(runs), minlength=CLASSES**4)
+                runs.clear()
+            if size > 2_000_000:
+                yield shards()
+                size = 0
+        if held:
+            yield shards()
         m = total.reshape(-1, width)
         some = np.flatnonzero(m.any(axis=1))
         if len(some):
-            yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int32()), "n": pa.array([zlib.compress(m[i].tobytes(), 1) for i in some], pa.binary())})
+            yield packed(some, 0, [zlib.compress(m[i].tobytes(), 1) for i in some])
 
-    return save(summed(codes.mapInArrow(count, "block int, n binary"), "block", "n"), "lm-events")
+    both = save(codes.mapInArrow(count, "block int, kind int, n binary"), "lm-gathered")
+    blocks = save(summed(both.where("kind = 0").select("block", "n"), "block", "n"), "lm-events")
+    cells = save(summed(both.where("kind = 1").select(F.col("block").alias("shard"), "n"), "shard", "n", shard * 2 * CLASSES), "lm-features")
+    return blocks, cells
+
+
+def squeezed(cell: np.ndarray, n: np.ndarray) -> bytes:
+    """Sparse counts: places and numbers."""
+    return zlib.compress(np.stack([cell, n]).astype("<i8").tobytes(), 1)
+
+
+def spread(blob: bytes, size: int) -> np.ndarray:
+    cell, n = np.frombuffer(zlib.decompress(blob), "<i8").reshape(2, -1)
+    return np.bincount(cell, n, size).astype(np.int64)
 
 
 def with_ends(c: np.ndarray) -> np.ndarray:
@@ -279,12 +337,120 @@ def class_table(w: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
+def word_masses(counts: DataFrame, classes: np.ndarray, n_buckets: int) -> DataFrame:
+    """(shard, n): for each bucket of the shard the sum of count + 1 over its words."""
+    shard = min(SHARD, n_buckets // CLASSES)
+
+    def add(batches):
+        total = np.zeros(n_buckets, np.int64)
+        for b in batches:
+            words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
+            code = np.array([code_of(w) for w in words], np.uint32)
+            keep = np.array([w != END for w in words], bool)
+            total += np.bincount(buckets_of(code[keep], classes, n_buckets), n[keep] + 1, n_buckets).astype(np.int64)
+        m = total.reshape(-1, shard)
+        some = np.flatnonzero(m.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array(some, pa.int32()), "n": pa.array([squeezed(np.flatnonzero(m[i]), m[i][m[i] > 0]) for i in some], pa.binary())})
+
+    return summed(counts.select("word", "c").mapInArrow(add, "shard int, n binary"), "shard", "n", shard)
+
+
+@dataclass
+class Words:
+    """The second factor: steps of STEP by bucket and class before (2 * CLASSES a bucket), and log10 of the sums that norm it, by class, class before and the one before that."""
+
+    weights: np.ndarray
+    log_sums: np.ndarray
+
+    def log10(self, codes: np.ndarray, classes: np.ndarray, c: np.ndarray) -> float:
+        """Of the weights less the sums, over a text's words and its end; c: with_ends(). The log of count + 1 is added elsewhere."""
+        at = buckets_of(codes, classes, len(self.weights))
+        own = self.weights[at, c[2:-2]].astype(np.int64).sum() + self.weights[at, CLASSES + c[1:-3]].astype(np.int64).sum()
+        return float(own * STEP / np.log(10) - self.log_sums[c[3:], c[2:-1], c[1:-2]].sum(dtype=np.float64))
+
+
+def updated(w: np.ndarray, cells: np.ndarray, mass: np.ndarray, ratio: np.ndarray, rate: float) -> np.ndarray:
+    """One step along the gradient of a class's buckets, each weight's step divided by its own curvature; ratio: N / Z by class before and the one before that."""
+    u, v = np.exp(w[:, :CLASSES]), np.exp(w[:, CLASSES:])
+    expected = np.concatenate([mass[:, None] * u * (v @ ratio.T), mass[:, None] * v * (u @ ratio)], 1)
+    return np.clip(w + rate * (cells - expected - WORD_DECAY * w) / (expected + WORD_DECAY), -5, 5)
+
+
+def train_words(cells: DataFrame, masses: DataFrame, n_buckets: int, contexts: np.ndarray, end_mass: float, rounds: int = WORD_ROUNDS) -> Words:
+    """Weights of all buckets, trained in `rounds` passes over the shards.
+
+    A bucket's weights are updated where its counts are, from the sums over all of its class's words that the pass before added up;
+    a pass takes up the earlier ones' steps again, so nothing but those sums (CLASSES ** 3 numbers a pass) is kept between them.
+    contexts: tokens by class, class before and the one before that. Each bucket stands for its words and one unseen one.
+    """
+    spark = masses.sparkSession
+    part = n_buckets // CLASSES
+    shard = min(SHARD, part)
+    n_shards = n_buckets // shard
+    ids = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"))
+    rows = ids.join(masses.withColumnRenamed("n", "mass"), "shard", "left").join(cells.withColumnRenamed("n", "cells"), "shard", "left")
+    rows = save(rows.repartition(max(1, min(n_shards, spark.sparkContext.defaultParallelism)), "shard"), "lm-word-shards")
+    history: list[np.ndarray] = []
+
+    def sums_after(last: bool):
+        now = spark.sparkContext.broadcast((history, contexts))
+
+        def work(batches):
+            past, n = now.value
+            for b in batches:
+                for k, m, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    c = k * shard // part
+                    mass = (spread(m, shard) if m else np.zeros(shard)) + 1.0
+                    seen = (spread(x, shard * 2 * CLASSES) if x else np.zeros(shard * 2 * CLASSES)).reshape(shard, -1)
+                    w = np.zeros((shard, 2 * CLASSES))
+                    for z in past:
+                        w = updated(w, seen, mass, n[c] / z[c], WORD_RATE)
+                    steps = np.clip(np.round(w / STEP), -127, 127).astype(np.int8)
+                    w = steps * STEP if last else w
+                    z = (mass[:, None] * np.exp(w[:, :CLASSES])).T @ np.exp(w[:, CLASSES:])
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "class": pa.array([c], pa.int32()), "z": [z.tobytes()], "w": pa.array([zlib.compress(steps.tobytes(), 1) if last else None], pa.binary())})
+
+        got = rows.select("shard", "mass", "cells").mapInArrow(work, "shard int, class int, z binary, w binary").toArrow().to_pylist()
+        now.unpersist()
+        z = np.zeros((CLASSES, CLASSES, CLASSES))
+        z[END_CLASS] = end_mass
+        for r in got:
+            z[r["class"]] += np.frombuffer(r["z"]).reshape(CLASSES, CLASSES)
+        return z, got
+
+    for _ in range(rounds):
+        history.append(sums_after(False)[0])
+    z, got = sums_after(True)
+    weights = np.zeros((n_buckets, 2 * CLASSES), np.int8)
+    for r in got:
+        weights[r["shard"] * shard : (r["shard"] + 1) * shard] = np.frombuffer(zlib.decompress(r["w"]), np.int8).reshape(shard, -1)
+    return Words(weights, np.log10(z))
+
+
+def contexts_of(shards: DataFrame) -> np.ndarray:
+    """Training tokens by class, class before and the one before that: CLASSES ** 3 sums, added up where the blocks are."""
+
+    def add(batches):
+        total = np.zeros((CLASSES, CLASSES, CLASSES))
+        for b in batches:
+            for block, x in zip(b.column(0).to_pylist(), b.column(1)):
+                m = np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(CLASSES, CLASSES)  # class before, class
+                total[:, :, block % CLASSES] += m.T
+        yield pa.RecordBatch.from_pydict({"n": [total.tobytes()]})
+
+    out = np.zeros((CLASSES, CLASSES, CLASSES))
+    for r in shards.select("block", "n").mapInArrow(add, "n binary").toLocalIterator():
+        out += np.frombuffer(r.n).reshape(out.shape)
+    return out
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; logarithms to base 10.
 
     Learns from rows that aren't held out. Null text: empty, so only the end. Null ids are not
     held out and learnt from. Repeated rows count and are scored each. Without training rows
-    every count is 0. Empty table: no rows. Other columns are ignored.
+    every count is 0. A word that wasn't in the training text counts as the one unseen word of its bucket.
+    Texts of any length are scored in whole. Empty table: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -292,18 +458,12 @@ def score(docs: DataFrame) -> DataFrame:
     train = rows.where(~F.col("held_out")).select("text")
     counts, codes = first_pass(train)
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    n_buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(total // TOKENS_A_BUCKET).bit_length()))
     classes = cluster(neighbours(codes))
-    w, bias, _ = train_classes(events(codes, classes))
-
-    def to_class(batch):
-        words = batch.column(0).to_pylist()
-        return {"class": [END_CLASS if x == END else int(classes[group_of(x)]) for x in words]}
-
-    of_class = map_rows(counts, lambda: to_class, "class int", ["c"]).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    room = np.ones(CLASSES)
-    for r in of_class:
-        room[r["class"]] += r.n + r.v
-    logp = (class_table(w, bias).reshape(-1, CLASSES) - np.log10(room)).astype(np.float32).ravel()
+    blocks, cells = events(codes, classes, n_buckets)
+    w, bias, _ = train_classes(blocks)
+    second = train_words(cells, word_masses(counts, classes, n_buckets), n_buckets, contexts_of(blocks), ends + 2.0)
     # The least power step of counts whose words, with all more frequent ones, are at most MAP_WORDS.
     step = F.floor(F.log2("c") * 8).cast("int")
     held, floor = 0, None
@@ -312,35 +472,36 @@ def score(docs: DataFrame) -> DataFrame:
             break
         held, floor = held + r["count"], r.s
     often = counts.where(step >= floor).toArrow() if floor is not None else None
-    words = often.column("word").to_pylist() if often is not None else []
+    words = b" ".join(often.column("word").to_pylist()) if often is not None else b""  # words hold no white space
     logs = np.log10(often.column("c").to_numpy() + 1.0) if often is not None else np.zeros(0)
-    own_class = np.array([int(classes[group_of(x)]) for x in words], np.int8)
-    shared = spark.sparkContext.broadcast((words, logs, own_class, classes, logp))
+    shared = spark.sparkContext.broadcast((words, logs, classes, class_table(w, bias), second))
 
     def run(batches):
         from pyspark import TaskContext
 
-        frequent, logs_, class_, of_group, table_ = shared.value
+        frequent, logs_, of_group, table_, words_ = shared.value
+        frequent = frequent.split(b" ") if frequent else []
         place = {x: i for i, x in enumerate(frequent)}
         n, part = 0, TaskContext.get().partitionId()
         has_end = int(END in place)
         end = float(logs_[place[END]]) if has_end else 0.0
         get, nowhere = place.get, len(frequent)
-        logs_, class_ = np.append(logs_, 0.0), np.append(class_, 0)
+        logs_, code_ = np.append(logs_, 0.0), np.array([*map(code_of, frequent), 0], np.uint32)
         for b in batches:
-            cols = {k: [] for k in ("n_tokens", "n_near", "s_near", "s_class", "tail", "tail_n")}
+            cols = {k: [] for k in ("n_tokens", "n_near", "s_near", "s_model", "tail", "tail_n")}
             for t in raw_texts(b, "text"):
                 words = words_of(t)
                 found = np.array([get(x, nowhere) for x in words], np.int64)
-                c, rare = class_[found].astype(np.int64), Counter()
+                code, rare = code_[found], Counter()
                 for i in np.flatnonzero(found == nowhere).tolist():
                     x = words[i]
-                    c[i] = of_group[group_of(x)]
+                    code[i] = code_of(x)
                     rare[x] += 1
+                c = with_ends(of_group[code >> HASH_BITS])
                 cols["n_tokens"].append(len(words) + 1)
                 cols["n_near"].append(len(words) - rare.total() + has_end)
                 cols["s_near"].append(float(logs_[found].sum()) + end)
-                cols["s_class"].append(float(table_[event_codes(with_ends(c))].sum(dtype=np.float64)))
+                cols["s_model"].append(float(table_[event_codes(c)].sum(dtype=np.float64)) + words_.log10(code, of_group, c))
                 if not has_end:
                     rare[END] += 1
                 cols["tail"].append(list(rare.keys()))
@@ -351,7 +512,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rid, b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(cols.values(), kinds_))], ["rid", "doc_id", "held_out", *cols])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    near = save(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_near bigint, s_near double, s_class double, tail array<binary>, tail_n array<int>"), "lm-near")
+    near = save(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_near bigint, s_near double, s_model double, tail array<binary>, tail_n array<int>"), "lm-near")
     tail = near.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("k"))
     rest = counts if floor is None else counts.where(step < floor)
     # Whole numbers add up alike in any order.
@@ -360,7 +521,7 @@ def score(docs: DataFrame) -> DataFrame:
     s = F.col("s_near") + F.coalesce(F.col("s_far"), F.lit(0)) / float(TENTHS)
     room_all = float(np.log10(total + kinds + 1.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_near") + F.coalesce("n_far", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-                      (s - F.col("n_tokens") * F.lit(room_all)).alias("base_score"), (s + F.col("s_class")).alias("score"))
+                      (s - F.col("n_tokens") * F.lit(room_all)).alias("base_score"), (s + F.col("s_model")).alias("score"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,61 @@ def test_lm(spark, docs, none, monkeypatch):
     assert all(r.train_tokens == n and r.score < 0 for r in got) and lm_scores.score(none).count() == 0
 
 
+def test_word_model_by_brute_force(spark):
+    """Against a plain loop over buckets and contexts; the words of a class and an unseen one in each bucket add up to one."""
+    rng, lm = np.random.default_rng(3), lm_scores
+    classes = (np.arange(lm.GROUPS) % (lm.CLASSES - 2) + 1).astype(np.int32)
+    vocab = [w.encode() for w in {text(1) for _ in range(200)}]
+    texts_ = [[vocab[i] for i in rng.zipf(1.4, 60) % len(vocab)] for _ in range(30)] + [[]]
+    counts = {}
+    for t in texts_:
+        for w in [*t, lm.END]:
+            counts[w] = counts.get(w, 0) + 1
+    codes = spark.createDataFrame([(bytearray(lm.Codes()(t).astype("<u4").tobytes()),) for t in texts_], "codes binary")
+    n = 1 << 8
+    blocks, cells = lm.events(codes, classes, n)
+    masses = lm.word_masses(spark.createDataFrame([(bytearray(w), k) for w, k in counts.items()], "word binary, c long"), classes, n)
+    got = lm.train_words(cells, masses, n, lm.contexts_of(blocks), counts[lm.END] + 2.0, rounds=4)
+    bucket = {w: int(lm.buckets_of(np.array([lm.code_of(w)], np.uint32), classes, n)[0]) for w in vocab}
+    mass, cell, context = np.ones(n), np.zeros((n, 64)), np.zeros((32, 32, 32))
+    for w, k in counts.items():
+        if w != lm.END:
+            mass[bucket[w]] += k + 1
+    for t in texts_:
+        c = lm.with_ends(classes[lm.Codes()(t) >> lm.HASH_BITS])
+        for i in range(3, len(c)):
+            context[c[i], c[i - 1], c[i - 2]] += 1
+            if i < len(c) - 1:
+                cell[bucket[t[i - 3]], c[i - 1]] += 1
+                cell[bucket[t[i - 3]], 32 + c[i - 2]] += 1
+    assert (lm.contexts_of(blocks) == context).all()
+    w = np.zeros((n, 64))
+    for last in range(5):
+        if last == 4:
+            w = np.round(w / lm.STEP) * lm.STEP
+        z = np.zeros((32, 32, 32))
+        z[31] = counts[lm.END] + 2
+        for b in range(n):
+            z[b // 8] += mass[b] * np.exp(w[b, :32, None] + w[b, None, 32:])
+        if last == 4:
+            break
+        new = w.copy()
+        for b in range(n):
+            e = mass[b] * np.exp(w[b, :32, None] + w[b, None, 32:]) * context[b // 8] / z[b // 8]
+            e = np.concatenate([e.sum(1), e.sum(0)])
+            new[b] = np.clip(w[b] + lm.WORD_RATE * (cell[b] - e - lm.WORD_DECAY * w[b]) / (e + lm.WORD_DECAY), -5, 5)
+        w = new
+    assert np.allclose(got.weights * lm.STEP, w) and np.allclose(got.log_sums, np.log10(z)) and np.abs(w).max() > 0.1
+    for c, c1, c2 in ((3, 1, 2), (7, 0, 0)):
+        inside = [x for x in vocab if classes[lm.group_of(x)] == c and x in counts]
+        share = lambda b, k: k * np.exp(w[b, c1] + w[b, 32 + c2]) / z[c, c1, c2]
+        assert abs(sum(share(bucket[x], counts[x] + 1) for x in inside) + sum(share(b, 1) for b in range(c * 8, c * 8 + 8)) - 1) < 1e-9
+    code, t = lm.Codes()(texts_[0]), texts_[0]
+    c = lm.with_ends(classes[code >> lm.HASH_BITS])
+    want = sum((w[bucket[x], c[i + 2]] + w[bucket[x], 32 + c[i + 1]]) / np.log(10) for i, x in enumerate(t)) - sum(np.log10(z[c[i], c[i - 1], c[i - 2]]) for i in range(3, len(c)))
+    assert abs(got.log10(code, classes, c) - want) < 1e-6
+
+
 def test_class_model_is_a_distribution():
     rng = np.random.default_rng(0)
     w, b = rng.normal(size=(lm_scores.BUCKETS, lm_scores.CLASSES)), rng.normal(size=lm_scores.CLASSES)
