@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def group_of(word: bytes) -> int:
-    return zlib.crc32(word[:12].decode("utf-8", "ignore")[:3].encode()) % GROUPS
+    first = word[:3]
+    return zlib.crc32(first if first.isascii() else word[:12].decode("utf-8", "ignore")[:3].encode()) % GROUPS
 
 
 def code_of(word: bytes) -> int:
@@ -362,11 +364,11 @@ class Words:
     weights: np.ndarray
     log_sums: np.ndarray
 
-    def log10(self, codes: np.ndarray, classes: np.ndarray, c: np.ndarray) -> float:
-        """Of the weights less the sums, over a text's words and its end; c: with_ends(). The log of count + 1 is added elsewhere."""
-        at = buckets_of(codes, classes, len(self.weights))
-        own = self.weights[at, c[2:-2]].astype(np.int64).sum() + self.weights[at, CLASSES + c[1:-3]].astype(np.int64).sum()
-        return float(own * STEP / np.log(10) - self.log_sums[c[3:], c[2:-1], c[1:-2]].sum(dtype=np.float64))
+    def log10(self, at: np.ndarray, c: np.ndarray) -> float:
+        """Of the weights less the sums, over a text's words and its end; at: the words' buckets, c: with_ends(). The log of count + 1 is added elsewhere."""
+        flat, at = self.weights.reshape(-1), at * (2 * CLASSES)
+        own = int(flat.take(at + c[2:-2]).sum(dtype=np.int64)) + int(flat.take(at + (c[1:-3] + CLASSES)).sum(dtype=np.int64))
+        return own * STEP / np.log(10) - float(self.log_sums.reshape(-1).take((c[3:] * CLASSES + c[2:-1]) * CLASSES + c[1:-2]).sum(dtype=np.float64))
 
 
 def updated(w: np.ndarray, cells: np.ndarray, mass: np.ndarray, ratio: np.ndarray, rate: float) -> np.ndarray:
@@ -486,22 +488,26 @@ def score(docs: DataFrame) -> DataFrame:
         has_end = int(END in place)
         end = float(logs_[place[END]]) if has_end else 0.0
         get, nowhere = place.get, len(frequent)
-        logs_, code_ = np.append(logs_, 0.0), np.array([*map(code_of, frequent), 0], np.uint32)
+        code = np.array([*map(code_of, frequent), 0], np.uint32)
+        logs_, class_, bucket_ = np.append(logs_, 0.0), of_group[code >> HASH_BITS], buckets_of(code, of_group, len(words_.weights))
+        nowheres = repeat(nowhere)
         for b in batches:
             cols = {k: [] for k in ("n_tokens", "n_near", "s_near", "s_model", "tail", "tail_n")}
             for t in raw_texts(b, "text"):
                 words = words_of(t)
-                found = np.array([get(x, nowhere) for x in words], np.int64)
-                code, rare = code_[found], Counter()
-                for i in np.flatnonzero(found == nowhere).tolist():
-                    x = words[i]
-                    code[i] = code_of(x)
-                    rare[x] += 1
-                c = with_ends(of_group[code >> HASH_BITS])
+                found = np.array(list(map(get, words, nowheres)), np.int64)
+                own, bucket = class_.take(found), bucket_.take(found)
+                gaps = np.flatnonzero(found == nowhere)
+                far = [words[i] for i in gaps.tolist()]
+                rare = Counter(far)
+                if far:
+                    code = np.array(list(map(code_of, far)), np.uint32)
+                    own[gaps], bucket[gaps] = of_group[code >> HASH_BITS], buckets_of(code, of_group, len(words_.weights))
+                c = with_ends(own)
                 cols["n_tokens"].append(len(words) + 1)
                 cols["n_near"].append(len(words) - rare.total() + has_end)
-                cols["s_near"].append(float(logs_[found].sum()) + end)
-                cols["s_model"].append(float(table_[event_codes(c)].sum(dtype=np.float64)) + words_.log10(code, of_group, c))
+                cols["s_near"].append(float(logs_.take(found).sum()) + end)
+                cols["s_model"].append(float(table_.take(event_codes(c)).sum(dtype=np.float64)) + words_.log10(bucket, c))
                 if not has_end:
                     rare[END] += 1
                 cols["tail"].append(list(rare.keys()))
