@@ -46,20 +46,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return s.select("skey", "source_size", "weight", "target", "budget")
 
 
+def identity() -> tuple[F.Column, F.Column, F.Column]:
+    """(id and text, source key, digest of all three) of a row; the first and the last tell rows apart that aren't equal."""
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit("|"), F.md5(F.coalesce("text", F.lit(""))))
+    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    return own, skey, F.md5(F.concat_ws("|", own, skey))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, epochs, part, mkey) for each row.
 
     taken = epochs * size + part: the row goes in whole `epochs` times and once more
     with its first `part` words (0 for most rows). mkey is a digest of id, source and text that
-    tells rows apart; equal rows share it. Null source: a source of its own, last.
-    Null or empty text: size 0, taken 0. Null doc_id: keyed as its own value; repeated
+    tells rows apart; equal rows share it. Keys come from id and text, so rows of one id, null too, lie apart. Null source: a source of its own, last.
+    Null or empty text: size 0, taken 0. Repeated
     rows are separate rows with the same key, and which of two equal ones comes first
-    doesn't show. Empty table: no rows. Other columns are ignored.
+    doesn't show. Empty table: no rows. Other columns are ignored. Texts of any length count in whole.
+    Sources are numbered and their targets worked out in one task: a row for each source, not for each document.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))))
-    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    mkey = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), skey, F.coalesce(F.col("text"), F.lit(""))))
-    base = docs.select("doc_id", skey.alias("skey"), word_count(F.col("text")).alias("size"), key.alias("key"), mkey.alias("mkey"))
+    own, skey, mkey = identity()
+    base = docs.select("doc_id", skey.alias("skey"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}|"), own)).alias("key"), mkey.alias("mkey"))
     base = save(base, "mix").withColumn("range", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     ranges = base.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
     before = F.sum("range_size").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("range_size")
@@ -83,27 +89,28 @@ def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     A row whose last copy is cut keeps that copy's first `part` words with the white
     space before them. Rows that are equal in id, source and text get their takes
     summed and dealt out as whole copies of one of them. n_chars, where there is one,
-    is that of the new text.
+    is that of the new text. Null and empty texts, which have no words, aren't taken. Null ids and
+    sources are rows like others. Empty table: no rows. docs may hold columns of any names.
     """
-    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    mkey = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), skey, F.coalesce(F.col("text"), F.lit(""))))
-    plan = mix(docs, **settings).groupBy("mkey").agg(F.sum("epochs").alias("__e"), F.sum("part").alias("__p"), F.max("size").alias("__s"), F.count("*").alias("__n"))
+    inner = {c: c if c in ("doc_id", "source", "text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)}
+    docs_ = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in inner.items()))
+    plan = mix(docs_, **settings).groupBy("mkey").agg(F.sum("epochs").alias("e"), F.sum("part").alias("p"), F.max("size").alias("s"), F.count("*").alias("n"))
     plan = save(plan, "mix-plan")
-    repeated = plan.where("__n > 1").limit(1).count() > 0
-    plan = plan.where("__e > 0 or __p > 0")
-    whole = F.col("__e") + F.when(F.col("__s") > 0, F.floor(F.col("__p") / F.col("__s"))).otherwise(F.lit(0))
-    plan = plan.select(F.col("mkey").alias("__m"), whole.cast("int").alias("__w"), F.when(F.col("__s") > 0, F.col("__p") % F.col("__s")).otherwise(F.lit(0)).cast("int").alias("__c"))
-    equal = docs.withColumn("__m", mkey)
+    repeated = plan.where("n > 1").limit(1).count() > 0
+    plan = plan.where("e > 0 or p > 0")
+    whole = F.col("e") + F.when(F.col("s") > 0, F.floor(F.col("p") / F.col("s"))).otherwise(F.lit(0))
+    plan = plan.select("mkey", whole.cast("int").alias("w"), F.when(F.col("s") > 0, F.col("p") % F.col("s")).otherwise(F.lit(0)).cast("int").alias("cut"))
+    equal = docs_.withColumn("mkey", identity()[2])
     if repeated:
-        equal = equal.dropDuplicates(["__m"])
-    copies = F.filter(F.concat(F.when(F.col("__w") > 0, F.array_repeat(F.lit(-1), F.col("__w"))).otherwise(F.array().cast("array<int>")), F.array("__c")), lambda x: x != 0)
-    out = equal.join(plan, "__m").withColumn("__take", F.explode(copies))
+        equal = equal.dropDuplicates(["mkey"])
+    copies = F.filter(F.concat(F.when(F.col("w") > 0, F.array_repeat(F.lit(-1), F.col("w"))).otherwise(F.array().cast("array<int>")), F.array("cut")), lambda x: x != 0)
+    out = equal.join(plan, "mkey").withColumn("take", F.explode(copies))
     pieces = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("__take") > 0, F.array_join(F.slice(pieces, 1, F.greatest(F.col("__take"), F.lit(1))), "")).otherwise(F.col("text"))
+    text = F.when(F.col("take") > 0, F.array_join(F.slice(pieces, 1, F.greatest(F.col("take"), F.lit(1))), "")).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__take") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("take") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(k).alias(c) for c, k in inner.items()))
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +122,7 @@ OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '~')) AS key
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s0 AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY skey),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY skey) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS most FROM s0),
