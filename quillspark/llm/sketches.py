@@ -11,8 +11,9 @@ WIDTH = 5
 #: One shingle hash in so many is kept: those in the lowest part of the 64-bit range.
 SCALE = 4
 SPACE = " \t\n\x0b\x0c\r"
-#: Rows a range of doc_id should hold, and the most ranges whose bounds the driver handles.
-RANGE_ROWS, MOST_RANGES, FAN = 1024, 65536, 256
+#: Rows a range of doc_id should hold, and the most ranges whose bounds the driver handles: beyond that ranges are longer, and Spark
+#: sorts and reads them through disk. A range of one id, or of none, that is SPLIT times as long is parted by hashes of the texts.
+RANGE_ROWS, MOST_RANGES, FAN, SPLIT = 256, 65536, 256, 4
 
 
 def word_hashes(text: F.Column) -> F.Column:
@@ -81,28 +82,34 @@ def id_ranges(ids: DataFrame) -> tuple[list[int], DataFrame]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text and of its edited text, and likeness to the edited text's and the next document's.
 
-    Next: ascending doc_id, null ids last, equal ids by text; after the last the first.
+    Next: ascending doc_id, null ids last, equal ids by a hash of the text, then the text; after the last the first.
     A single row is its own next. Null text: empty. A text without words has the empty
-    fingerprint; two such are alike (1.0). Empty table: no rows. Other columns are ignored.
+    fingerprint; two such are alike (1.0). Repeated rows are rows each. Empty table: no rows. Other columns are ignored.
     Texts move in one shuffle by range of doc_id; the range bounds are computed first, so a
     lost task is redone with the same ones.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", hashed)
     coarse, fine = id_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null"))
     at = F.size(F.filter(F.array(*map(F.lit, coarse)).cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
     ids_in = lambda df: (df.withColumn("coarse", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at)).join(F.broadcast(fine), "coarse", "left")
                          .withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(2**31 - 1)).otherwise(F.col("first") + F.size(F.filter("fine", lambda b: b <= F.col("doc_id"))))).drop("coarse", "first", "fine"))
-    firsts = ids_in(rows.select("doc_id")).groupBy("range").agg(F.min("doc_id").alias("doc_id"))
-    order = Window.orderBy("range")
+    whole = F.when(F.min("doc_id").eqNullSafe(F.max("doc_id")), F.least(F.lit(65536), F.ceil(F.count("*") / RANGE_ROWS))).otherwise(F.lit(1)).cast("long")
+    long_ = ids_in(rows.select("doc_id")).groupBy("range").agg(F.count("*").alias("n"), whole.alias("parts")).where(F.col("n") > SPLIT * RANGE_ROWS).select("range", "parts").where("parts > 1")
+    many = F.broadcast(long_)  # a row for each range, MOST_RANGES + 2 at most
+    part = F.shiftright(F.shiftright("hash", 32) * F.coalesce("parts", F.lit(1).cast("long")), 31).cast("int")
+    placed = lambda df: ids_in(df).join(many, "range", "left").withColumn("part", part).drop("parts")
+    order = Window.orderBy("range", "part")
     last = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.withColumn("for_range", F.coalesce(F.lag("range").over(order), F.max("range").over(last))).select("for_range", F.col("doc_id").alias("first_id"))
-    firsts = F.broadcast(firsts)  # MOST_RANGES + 1 rows at most
-    heads = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("for_range").agg(F.min("text").alias("head"))
-    heads = with_sketch(heads, "head", "head_sk").withColumnRenamed("for_range", "hr")
-    main = with_sketch(ids_in(rows).repartition("range"), "text", "sk")  # texts move alone, sketches are made after
-    w = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    firsts = placed(rows.select("doc_id", "hash")).groupBy("range", "part").agg(F.min(F.struct("doc_id", "hash")).alias("f"))
+    here = F.struct("range", "part")
+    firsts = firsts.withColumn("of", F.coalesce(F.lag(here).over(order), F.max(here).over(last))).select("of", F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("first_hash"))
+    heads = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))).groupBy("of").agg(F.min("text").alias("head"))
+    heads = with_sketch(heads, "head", "head_sk").select(F.col("of.range").alias("hr"), F.col("of.part").alias("hp"), "head", "head_sk", "head_sk_tag")
+    main = with_sketch(placed(rows).repartition("range", "part"), "text", "sk")  # texts move alone, sketches are made after
+    w = Window.partitionBy("range", "part").orderBy(F.col("doc_id").asc_nulls_last(), "hash", "text")
     main = main.withColumn("nx", F.lead(F.struct("text", "sk", "sk_tag")).over(w))
-    main = main.join(heads, main.range == heads.hr, "left")
+    main = main.join(heads, (F.col("range") == F.col("hr")) & (F.col("part") == F.col("hp")), "left")
     head = F.struct(F.col("head").alias("text"), F.col("head_sk").alias("sk"), F.col("head_sk_tag").alias("sk_tag"))
     main = main.withColumn("nx", F.coalesce("nx", head)).select("doc_id", "text", "sk", "sk_tag", F.col("nx.text").alias("next_text"), F.col("nx.sk").alias("next_sk"), F.col("nx.sk_tag").alias("next_sk_tag"))
     n = F.length("text")
