@@ -1,4 +1,8 @@
-"""Secret scans: fixed patterns, and strings that a dictionary-primed zstandard can't shorten in a sensitive context."""
+"""Secret scans: fixed patterns, and strings that a dictionary-primed zstandard can't shorten in a sensitive context.
+
+The dictionary is what stands around a candidate and the names that the corpus itself assigns values to
+most often, counted over all documents.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from math import log2
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import map_rows, prepare, table, texts
 
@@ -21,7 +26,10 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates of the novelty scan: unbroken strings of at least this length.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]{6,})*")
+#: Names before a colon or an equals sign; the dictionary takes the MOST_NAMES that are in most documents, LEAST_DOCS at least.
+NAME = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z_][A-Za-z0-9_-]{2,39})["']?[ \t]*[:=]""")
+MOST_NAMES, LEAST_DOCS = 512, 5
 SENSITIVE = re.compile(r"(?i:secret|token|passw|passphrase|pwd|credential|auth|bearer|api|key|private|signature|session|cookie|access)", re.A)
 #: Code points before a candidate in which a sensitive word must stand, and around it that count as its surroundings.
 BEFORE, AROUND = 48, 2048
@@ -34,6 +42,7 @@ END = re.compile(r"\s*-----END")
 NOVEL, SHARE = 0.7, 0.9
 #: Alphabets of random strings, least first; + / _ = - count besides as they occur.
 ALPHABETS = sorted((string.digits, "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase, "234567" + string.ascii_uppercase, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.ascii_letters, string.digits + string.ascii_letters), key=len)
+#: Names that count besides those of the corpus.
 IDENTIFIERS = "access_key access_token account admin api_key apikey auth authorization bearer client client_id client_secret config connection cookie credential database default endpoint environment function header host import instance key localhost login name null password passwd port private_key production public_key refresh_token request response return secret secret_key server service session signature string token url user username value version"
 
 
@@ -45,9 +54,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novelty(candidate: str, around: str) -> float:
+def novelty(candidate: str, around: str, names: str = "") -> float:
     """Marginal bytes a character: compressed size of the candidate less that of nothing, primed with its surroundings and the identifiers."""
-    primer = zstandard.ZstdCompressionDict(f"{IDENTIFIERS} {around}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primer = zstandard.ZstdCompressionDict(f"{names} {IDENTIFIERS} {around}".encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     squeeze = zstandard.ZstdCompressor(level=6, dict_data=primer, write_content_size=False)
     return (len(squeeze.compress(candidate.encode())) - len(squeeze.compress(b""))) / len(candidate)
 
@@ -61,16 +70,16 @@ def random_cost(alphabet: str, length: int) -> float:
 
 def enough(candidate: str) -> float:
     """Least novelty that makes the candidate a find."""
-    signs = "".join(sorted(set(candidate.rstrip("=")) & set("+/_=-")))
-    rest = set(candidate) - set("+/_=-")
+    signs = "".join(sorted(set(candidate.rstrip("=")) & set("+/_=-.")))
+    rest = set(candidate) - set("+/_=-.")
     alphabet = next(a for a in ALPHABETS if rest <= set(a)) + signs
     n = len(candidate)
     return min(NOVEL, SHARE * random_cost(alphabet, n if n < 256 else min(1 << n.bit_length() - 1, 1 << 14)))
 
 
-def unlike_words(candidate: str, around: str) -> bool:
+def unlike_words(candidate: str, around: str, names: str = "") -> bool:
     """Whether pairs of letters as common as in the surroundings and the identifiers would spell the candidate in no fewer bits than equally likely letters."""
-    known, own = re.findall("[a-z]+", f"{IDENTIFIERS} {around}".lower()), re.findall("[a-z]+", candidate.lower())
+    known, own = re.findall("[a-z]+", f"{names} {IDENTIFIERS} {around}".lower()), re.findall("[a-z]+", candidate.lower())
     one, two = Counter("".join(known)), Counter(a + b for w in known for a, b in zip(w, w[1:]))
     first, total = Counter("".join(w[:-1] for w in known)), sum(one.values())
     p = {c: (one[c] + 0.5) / (total + 13) for c in string.ascii_lowercase}
@@ -78,7 +87,7 @@ def unlike_words(candidate: str, around: str) -> bool:
     return bits >= log2(26) * sum(map(len, own))
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, base: list[tuple[int, int, int]], names: str = "") -> list[tuple[int, int, int]]:
     """Strings outside the base spans, in a sensitive context, that stay long when compressed.
 
     A candidate is in the context of the one before if only a GAP parts them, so the context
@@ -96,7 +105,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if based or not sensitive:
             continue
         around = text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND]
-        if novelty(m[0], around) < enough(m[0]) or not (re.search("[0-9]", m[0]) or unlike_words(m[0], around)):
+        if novelty(m[0], around, names) < enough(m[0]) or not (re.search("[0-9]", m[0]) or unlike_words(m[0], around, names)):
             continue
         joined = bool(out) and bool(GAP.fullmatch(text, out[-1][2], s))
         if joined:
@@ -113,17 +122,36 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: str, names: str = "") -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text."""
     base = base_spans(text)
-    return base, sorted(base + novel_spans(text, base))
+    return base, sorted(base + novel_spans(text, base, names))
+
+
+def corpus_names(docs: DataFrame, most: int = MOST_NAMES, least: int = LEAST_DOCS) -> str:
+    """The names that most documents assign a value to, at most `most` in order, as one string: counted over all documents, pre-aggregated in each task."""
 
+    def count(batches):
+        held: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_pydict({"name": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
+        for b in batches:
+            for t in texts(b):
+                held.update({m[1] for m in NAME.finditer(t)} if ":" in t or "=" in t else ())
+            if len(held) > 200_000:
+                yield out()
+                held.clear()
+        yield out()
+
+    prepare(docs.sparkSession)
+    found = docs.select("text").mapInArrow(count, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return " ".join(r.name for r in found.orderBy(F.desc("n"), "name").limit(most).collect())
 
-def _start():
+
+def _start(names: str):
     def fn(batch: pa.RecordBatch) -> dict:
         cols = {"n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": [], "n_novel": []}
         for t in texts(batch):
-            base, every = scan(t)
+            base, every = scan(t, names)
             kinds = [k for _, k, _ in every]
             for name, k in (("n_assign", 0), ("n_access", 1), ("n_hex", 2), ("n_novel", 3)):
                 cols[name].append(kinds.count(k))
@@ -138,20 +166,20 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (doc_id) with n_assign, n_access, n_hex, base_sha256, spans, n_novel.
 
     Each row on its own: null or empty text has no spans; null ids, repeated rows and
-    empty tables pass through; other columns are ignored.
+    empty tables pass through; other columns are ignored. Texts of any length are read in whole.
     """
-    prepare(docs.sparkSession)
+    names = corpus_names(docs)
     keep = keep or ["doc_id"]
     fields = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint"
-    return map_rows(docs.select(*dict.fromkeys([*keep, "text"])), _start, fields, keep)
+    return map_rows(docs.select(*dict.fromkeys([*keep, "text"])), lambda: _start(names), fields, keep)
 
 
-def mask(text: str | None) -> str | None:
+def mask(text: str | None, names: str = "") -> str | None:
     """The text with each span written over by its kind: [assign], [access], [hex] or [novel]."""
     if not text:
         return text
     out, at = [], 0
-    for s, k, e in scan(text)[1]:
+    for s, k, e in scan(text, names)[1]:
         if s >= at:
             out += [text[at:s], f"[{KINDS[k]}]"]
         at = max(at, e)
@@ -159,15 +187,18 @@ def mask(text: str | None) -> str | None:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with the same columns, secrets in `text` masked; n_chars, where there is one, is that of the new text. Null texts stay null."""
-    prepare(docs.sparkSession)
+    """docs with the same columns, secrets in `text` masked; n_chars, where there is one, is that of the new text.
+
+    Null texts stay null, empty ones empty; null ids and repeated rows are rows like others. Empty table: no rows. Other columns pass through.
+    """
+    names_of = corpus_names(docs)
     schema = docs.schema
     i, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
         for b in batches:
             old = b.column(i).to_pylist()
-            new = [mask(t) for t in old]
+            new = [mask(t, names_of) for t in old]
             b = b.set_column(i, names[i], pa.array(new, b.column(i).type))
             if "n_chars" in names:
                 j = names.index("n_chars")
