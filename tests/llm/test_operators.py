@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import ann, lm_scores, mixing, near_dups, quality, secrets, sentencepieces, sketches, token_files, toxicity
-from quillspark.llm.common import components, scratch
+from quillspark.llm.common import components, save, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, key string, weight long"
 random.seed(4)
@@ -60,6 +60,18 @@ def test_mixing(spark, docs, none):
     assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
 
 
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b c", "s", "x", 3), (None, "d e", None, "y", 3), (2, None, "t", "z", 0)], "doc_id long, text string, source string, mkey string, n_chars int")
+    d = d.withColumns({"w": F.lit(5), "cut": F.lit(6), "take": F.lit(7), "e": F.lit(8), "c3": F.lit(9)})
+    got = mixing.mixed_rows(d)
+    assert got.columns == d.columns and {r.mkey for r in got.collect()} <= {"x", "y"} and {(r.w, r.cut, r["take"], r.e, r.c3) for r in got.collect()} == {(5, 6, 7, 8, 9)}
+
+
+def test_mixing_rows_of_one_id_lie_apart(spark):
+    d = spark.createDataFrame([(i, f"a b {k}", "s") for i in (None, 7) for k in range(40)], "doc_id long, text string, source string")
+    assert mixing.mix(d).select("mkey").distinct().count() == 80
+
+
 def test_mixing_repeated_rows(spark):
     d = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e", "t")], "doc_id long, text string, source string")
     assert sum(len(words(r.text)) for r in mixing.mixed_rows(d).collect()) == sum(r.taken for r in mixing.mix(d).collect())
@@ -199,6 +211,18 @@ def test_secrets(spark, none):
     assert secrets.masked(d).columns == d.columns
 
 
+def test_secrets_with_dots_and_names_of_the_corpus(spark):
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", k=n))
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{draw(60)}.{draw(43)}"
+    assert secrets.mask(f"the bearer is {jwt} here") == "the bearer is [novel] here"
+    d = spark.createDataFrame([(i, f"quorum_replica_threshold_42 = {i}; other{i}: 1") for i in range(9)] + [(9, None), (10, "")], "doc_id long, text string")
+    names = secrets.corpus_names(d)
+    assert names == "quorum_replica_threshold_42"
+    assert secrets.novelty(names, "") > secrets.novelty(names, "", names)
+    assert secrets.corpus_names(d.limit(0)) == ""
+
+
 def test_secrets_of_many_lines_and_small_alphabets():
     rng = random.Random(9)
     draw = lambda letters, n: "".join(rng.choices(letters, k=n))
@@ -342,7 +366,9 @@ def test_class_model_is_a_distribution():
 
 def test_fingerprints(spark, docs, none):
     got = sketches.fingerprints(docs).collect()
-    order = sorted(((i, t or "") for i, t, *_ in ROWS), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    import xxhash
+
+    order = sorted(((i, t or "") for i, t, *_ in ROWS), key=lambda x: (x[0] is None, x[0] or 0, xxhash.xxh64(x[1].encode(), seed=42).intdigest() >> 1, x[1]))
     want = set()
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
         h = len(t) // 2
@@ -356,6 +382,44 @@ def test_fingerprints(spark, docs, none):
     assert sketches.fingerprints(none).count() == 0
 
 
+def brute_sketch(t):
+    import xxhash
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    word = [signed(xxhash.xxh64(w, seed=42).intdigest()) for w in words(t)]
+
+    def chain(run):
+        seed = 42
+        for h in run:
+            seed = xxhash.xxh64(struct.pack("<q", h), seed=seed).intdigest()
+        return signed(seed)
+
+    every = {chain(word[i : i + 5]) for i in range(max(1, len(word) - 4))} if word else set()
+    return every, {h for h in every if h < -(2**63) + 2**64 // sketches.SCALE}
+
+
+def test_likeness_by_brute_force(spark, monkeypatch):
+    """Sketches, and their likeness to the edited and the next text; equal and null ids that are parted by hashes of their texts."""
+    import xxhash
+
+    monkeypatch.setattr(sketches, "RANGE_ROWS", 3)
+    rows = [(i, text(30 + i)) for i in range(12)] + [(5, text(20 + i)) for i in range(30)] + [(None, text(20 + i)) for i in range(30)] + [(50, None), (51, "a b"), (52, "a b"), (53, LONG * 40)]
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, x[0] or 0, xxhash.xxh64(x[1].encode(), seed=42).intdigest() >> 1, x[1]))
+    want = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        h = len(t) // 2
+        edited = t[: len(t) - h] + nxt[:h]
+        like = []
+        for other in (edited, nxt):
+            (ea, a), (eb, b) = brute_sketch(t), brute_sketch(other)
+            like.append(1.0 if a == b and (a or ea == eb) else len(a & b) / min(len(a), len(b)) if a and b else 0.0)
+        print_ = ",".join(f"{h & (2**64 - 1):x}" for h in sorted(brute_sketch(t)[1]))
+        want.append((i, hashlib.sha256(edited.encode()).hexdigest(), *(round(x, 9) for x in like), print_ or None))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = [(r.doc_id, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9), None if r.fingerprint[:1] in ("", "-") else r.fingerprint) for r in sketches.fingerprints(d).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def shingled(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -378,6 +442,34 @@ def test_near_duplicates(spark, none):
     assert near_dups.near_duplicates(none).count() == 0
 
 
+def test_texts_of_one_id_and_repeats(spark):
+    """Many texts of one id, null ids, repeats of a row; columns whose names are used within."""
+    base = [text(60) for _ in range(30)]
+    rows = [(7, b) for b in base] + [(None, b) for b in base[:5]] + [(7, base[0])] * 20 + [(8, base[0].replace(base[0].split()[30], "zz", 1))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "rid": F.lit(2), "cluster": F.lit(3), "want": F.lit(4)})
+    got = near_dups.near_duplicates(d, keep=["key", "rid", "cluster", "want"])
+    assert got.columns[:5] == ["doc_id", "key", "rid", "cluster", "want"]
+    got = got.collect()
+    sets = [shingled(t) for _, t in rows]
+    links = sorted(sum(j != i and 5 * len(sets[i] & s) >= 4 * len(sets[i] | s) for j, s in enumerate(sets)) for i in range(len(rows)))
+    assert len(got) == len(rows) and sorted(r.n_links for r in got) == links
+
+
+def test_steps_grow_with_the_group(spark, monkeypatch):
+    """Near copies of one text: what is joined for 2,000 is about twice what is for 1,000, a few rows a set."""
+    base, made = text(60).split(), {}
+    monkeypatch.setattr(near_dups, "drop", lambda *frames: None)
+    for n in (1000, 2000):
+        rows = [(k, " ".join([*base[: k % 60], f"e{k}", *base[k % 60 + 1 :]])) for k in range(n)]
+        seen = {}
+        monkeypatch.setattr(near_dups, "save", lambda df, name, seen=seen: seen.setdefault(name, save(df, name)))
+        near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        lows = seen["near-lows"].select(F.explode("lows").alias("a"), F.array_min("lows").alias("b")).where("a <> b").distinct().count()
+        made[n] = {"nodes": lows, "links": seen["near-links"].count(), "roots": seen["near-links"].select(F.explode("lows")).count()}
+    assert all(v <= 1.5 * n for n, m in made.items() for v in m.values()), made
+    assert all(made[2000][k] <= 3 * made[1000][k] + 50 for k in made[1000]), made
+
+
 def test_components_of_long_chains(spark):
     """Two chains whose ids are in no order; the labels move along them in few rounds."""
     ids = list(range(1200))
@@ -437,3 +529,14 @@ def test_product_is_associative():
     a, b, c = ({(i, j): -random.randint(0, 9) for i in range(3) for j in range(3) if random.random() < 0.8} for _ in range(3))
     s = sentencepieces
     assert s.product(s.product(a, b), c) == s.product(a, s.product(b, c))
+
+
+def test_mixing_is_what_sql_gives(spark):
+    import duckdb
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    other = con.sql(mixing.OP1_SQL).df()
+    mine = mixing.op1_source_mixing(spark, data).toPandas()[list(other.columns)]
+    rows = lambda x: sorted(map(str, x.values.tolist()))
+    assert rows(mine) == rows(other)
