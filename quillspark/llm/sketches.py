@@ -13,7 +13,7 @@ SCALE = 4
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows a range of doc_id should hold, and the most ranges whose bounds the driver handles: beyond that ranges are longer, and Spark
 #: sorts and reads them through disk. A range of one id, or of none, that is SPLIT times as long is parted by hashes of the texts.
-RANGE_ROWS, MOST_RANGES, FAN, SPLIT = 256, 65536, 256, 4
+RANGE_ROWS, MOST_RANGES, FAN, SPLIT = 64, 65536, 256, 4
 
 
 def word_hashes(text: F.Column) -> F.Column:
@@ -94,8 +94,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     at = F.size(F.filter(F.array(*map(F.lit, coarse)).cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
     ids_in = lambda df: (df.withColumn("coarse", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at)).join(F.broadcast(fine), "coarse", "left")
                          .withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(2**31 - 1)).otherwise(F.col("first") + F.size(F.filter("fine", lambda b: b <= F.col("doc_id"))))).drop("coarse", "first", "fine"))
-    whole = F.when(F.min("doc_id").eqNullSafe(F.max("doc_id")), F.least(F.lit(65536), F.ceil(F.count("*") / RANGE_ROWS))).otherwise(F.lit(1)).cast("long")
-    long_ = ids_in(rows.select("doc_id")).groupBy("range").agg(F.count("*").alias("n"), whole.alias("parts")).where(F.col("n") > SPLIT * RANGE_ROWS).select("range", "parts").where("parts > 1")
+    length = max(RANGE_ROWS, docs.count() // MOST_RANGES)
+    whole = F.when(F.min("doc_id").eqNullSafe(F.max("doc_id")), F.ceil(F.count("*") / length)).otherwise(F.lit(1)).cast("long")
+    long_ = ids_in(rows.select("doc_id")).groupBy("range").agg(F.count("*").alias("n"), whole.alias("parts")).where(F.col("n") > SPLIT * length).select("range", "parts").where("parts > 1")
     many = F.broadcast(long_)  # a row for each range, MOST_RANGES + 2 at most
     part = F.shiftright(F.shiftright("hash", 32) * F.coalesce("parts", F.lit(1).cast("long")), 31).cast("int")
     placed = lambda df: ids_in(df).join(many, "range", "left").withColumn("part", part).drop("parts")
@@ -104,6 +105,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     firsts = placed(rows.select("doc_id", "hash")).groupBy("range", "part").agg(F.min(F.struct("doc_id", "hash")).alias("f"))
     here = F.struct("range", "part")
     firsts = firsts.withColumn("of", F.coalesce(F.lag(here).over(order), F.max(here).over(last))).select("of", F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("first_hash"))
+    firsts = F.broadcast(firsts)  # a row for each part, 2 * MOST_RANGES + 2 at most
     heads = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))).groupBy("of").agg(F.min("text").alias("head"))
     heads = with_sketch(heads, "head", "head_sk").select(F.col("of.range").alias("hr"), F.col("of.part").alias("hp"), "head", "head_sk", "head_sk_tag")
     main = with_sketch(placed(rows).repartition("range", "part"), "text", "sk")  # texts move alone, sketches are made after
