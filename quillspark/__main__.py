@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     from quillspark.api import Engine
 
     e = Engine(SparkSession.builder.getOrCreate(), a.repo, a.exclude_dir, a.exclude_prefix, a.state_dir)
-    run = {"index": e.index, "ingest": lambda: e.ingest(a.words), "query": lambda: e.search(" ".join(a.words), a.limit, surface="cli"), "files": lambda: e.files(a.limit or 200, a.offset), "open": lambda: e.open(a.words[0], *map(int, a.words[1:3])), "stats": e.stats, "self-check": lambda: e.self_check(a.words)}
+    run = {"index": e.index, "ingest": lambda: e.ingest(a.words), "query": lambda: e.respond(" ".join(a.words), a.limit, surface="cli"), "files": lambda: e.files(a.limit or 200, a.offset), "open": lambda: e.open(a.words[0], *map(int, a.words[1:3])), "stats": e.stats, "self-check": lambda: e.self_check(a.words)}
     out = run[a.command]()
     print(json.dumps(out, indent=2, default=str))
     return int(a.command == "self-check" and bool(out))

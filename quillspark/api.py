@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import line_range
 from quillspark.operators import query
 from quillspark.operators.audit import AuditLog
-from quillspark.operators.snippets import best_fragments, preview, preview_lines, window_lines
-from quillspark.plans.search import search
-from quillspark.plans.store import Store
+from quillspark.operators.snippets import best_fragments, preview, preview_lines, preview_truncated, window_lines
+from quillspark.plans.search import matches, search
+from quillspark.plans.store import MissingIndex, Store
 from quillspark.sources import config as C
-from quillspark.sources.tree import scan
+from quillspark.sources.tree import changes, scan
+from quillspark.streaming.upserts import keep_fresh
 
 
 def _terms(tree) -> set[str]:
@@ -28,24 +32,52 @@ def _terms(tree) -> set[str]:
 class Engine:
     def __init__(self, spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str = ".quillspark"):
         self.spark, self.root = spark, Path(root).resolve()
-        self.config = C.Config.of(names, prefixes, state_dir)
         self.names, self.prefixes = names, prefixes
         self.state = Path(state_dir) if Path(state_dir).is_absolute() else self.root / state_dir
+        inside = self.state.resolve()
+        # What the scan leaves out is a path below the root, however the state folder was given.
+        self.hidden = str(inside.relative_to(self.root)) if inside.is_relative_to(self.root) else state_dir
+        self.config = C.Config.of(names, prefixes, self.hidden)
         self.store, self.audit = Store(spark, str(self.state)), AuditLog(str(self.state / "audit.log"))
 
     def index(self) -> dict:
-        return self.store.reindex(scan(self.spark, str(self.root), self.names, self.prefixes, self.config.state_dir))
+        return self.store.reindex(scan(self.spark, str(self.root), self.names, self.prefixes, self.hidden))
+
+    def watch(self, checkpoint: str, every: str = "1 second"):
+        """A streaming query that keeps the index fresh: what changes in the tree is committed, and searches read it from then on."""
+        stream = changes(self.spark, str(self.root), self.names, self.prefixes, self.hidden)
+        return keep_fresh(self.store, stream, checkpoint, every)
 
     def ingest(self, paths: list[str]) -> dict:
-        """Paths that are left out by the rules change nothing; an empty list indexes all."""
+        """Paths that are left out by the rules, or lead out of the root through links, change nothing; an empty list indexes all."""
         if not paths:
             return self.index()
         found = [p for p in map(C.normalize_rel, paths) if p and self.config.wanted(p)]
-        rows = [(p, bytearray((self.root / p).read_bytes())) for p in found if (self.root / p).is_file()]
-        gone = [p for p in found if not (self.root / p).exists()]
+        inside = {p: self._inside(p) for p in found}
+        rows = [(p, bytearray(at.read_bytes())) for p, at in inside.items() if at is not None and at.is_file()]
+        gone = [p for p in found if not os.path.lexists(self.root / p)]
         files = self.spark.createDataFrame(rows, "rel_path string, content binary") if rows else None
         return self.store.update(files, gone)
 
+    def _inside(self, rel: str) -> Path | None:
+        """The path with its links followed, if it is still within the root and isn't left out there."""
+        at = (self.root / rel).resolve()
+        if not at.is_relative_to(self.root):
+            return None
+        return at if at == self.root / rel or self.config.wanted(str(at.relative_to(self.root))) else None
+
+    def is_root(self, path: str) -> bool:
+        """Whether a project root that a caller names is this engine's, links followed."""
+        return Path(path).resolve() == self.root
+
+    def respond(self, text: str, limit: int | None = None, **options) -> dict:
+        """search() with what the answer was made from."""
+        try:
+            updated = self.store.manifest()["commit_ms"]
+        except MissingIndex:
+            updated = None
+        return {"hits": self.search(text, limit, **options), "meta": {"generated_at_epoch_ms": int(time.time() * 1000), "index_last_updated_epoch_ms": updated, "repo_root": str(self.root)}}
+
     def search(self, text: str, limit: int | None = None, most: int = C.DEFAULT_LIMIT, max_tokens: int | None = None, snippets: bool = True, surface: str = "api") -> list[dict]:
         """Hits, best first, with a snippet and its lines: the best stretch for the words, else a preview, else the summary (no lines)."""
         if not text.strip():
@@ -78,16 +110,19 @@ class Engine:
         rows = best.select("doc_id", "snippet", "html", line_range(F.col("body"), F.col("snippet")).alias("at")).collect()
         return {r.doc_id: {"snippet": r.snippet, "html": r.html, "origin": "query", "truncated": False, "line_start": r.at and r.at.line_start, "line_end": r.at and r.at.line_end} for r in rows}
 
-    def snippet(self, doc_id: str, text: str | None = None, window: int = C.WINDOW_DEFAULT, max_tokens: int | None = None, html: bool = True) -> dict:
-        row = self.store.corpus().docs.where(F.col("doc_id") == doc_id).select("doc_id", "rel_path", "summary", "token_estimate", preview(F.col("body"), window_lines(window)).alias("p"), preview_lines(F.col("body"), window_lines(window)).alias("at")).limit(1).collect()
+    def snippet(self, doc_id: str, text: str | None = None, window: int = C.WINDOW_DEFAULT, max_tokens: int | None = None, html: bool = True, off: bool = False) -> dict:
+        """A document and the best stretch for `text`, else its first lines. html=False: no markup; off: no snippet at all."""
+        row = self.store.corpus().docs.where(F.col("doc_id") == doc_id).select("doc_id", "rel_path", "summary", "token_estimate", preview(F.col("body"), window_lines(window)).alias("p"), preview_lines(F.col("body"), window_lines(window)).alias("at"), preview_truncated(F.col("body"), window_lines(window)).alias("cut")).limit(1).collect()
         if not row:
             return {"doc": None, "snippet": None}
         doc = row[0].asDict()
-        shown, at = doc.pop("p"), doc.pop("at")
+        shown, at, cut = doc.pop("p"), doc.pop("at"), doc.pop("cut")
+        if off:
+            return {"doc": doc, "snippet": None}
         if max_tokens is not None and doc["token_estimate"] > max_tokens:
             return {"doc": doc, "snippet": None}
         found = self._snippets([doc_id], text).get(doc_id) if text else None
-        out = dict({**found, "line_start": None, "line_end": None} if found else {"snippet": shown, "html": None, "origin": "preview", "truncated": shown.endswith("…"), "line_start": at["line_start"], "line_end": at["line_end"]})
+        out = dict(found if found else {"snippet": shown, "html": None, "origin": "preview", "truncated": cut, "line_start": at["line_start"], "line_end": at["line_end"]})
         if not html:
             out["html"] = None
         return {"doc": doc, "snippet": out}
@@ -128,11 +163,13 @@ class Engine:
         """A finding for each term with a hit; a report in the state folder and one audit record either way."""
         asked = [t.strip() for t in terms if t.strip()]
         asked += [t for t in C.SENSITIVE_TERMS if defaults and t.lower() not in {x.lower() for x in asked}]
-        findings, c = [], self.store.corpus()
-        for t in asked:
-            paths = [r.doc_id for r in search(c, t, limit + 1, with_docs=False).orderBy(F.desc("score"), "doc_id").collect()]
-            if paths:
-                findings.append({"term": t, "paths": paths[:limit], "more": len(paths) > limit})
+        c, found = self.store.corpus(), {}
+        if asked:
+            parts = [matches(c, query.understand(t)).withColumn("term", F.lit(t)) for t in asked]
+            place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "doc_id"))
+            for r in reduce(DataFrame.unionByName, parts).withColumn("place", place).where(F.col("place") <= limit + 1).orderBy("term", "place").collect():
+                found.setdefault(r.term, []).append(r.doc_id)
+        findings = [{"term": t, "paths": found[t][:limit], "more": len(found[t]) > limit} for t in asked if t in found]
         (self.state / "self_check_report.json").write_text(json.dumps({"repo": str(self.root), "checked_at": datetime.now(timezone.utc).isoformat(), "findings": findings}))
         self.audit.append("self_check", "fail" if findings else "pass")
         return findings

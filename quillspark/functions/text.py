@@ -72,19 +72,36 @@ def lines(body: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(trimmed)
 
 
-def condense(text_lines: Column, n: int = SNIPPET_CHARS) -> Column:
-    """Lines joined, sentences (less their end signs) added until n code points are reached, then cut to n."""
+def _sentences(text_lines: Column, n: int) -> Column:
+    """Lines joined, and of that the sentences (less their end signs) until n code points are reached."""
     bare = F.filter(F.transform(text_lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     sentences = F.split(collapse_whitespace(F.array_join(bare, " ")), r"[.!?]+\s+")
-    joined = F.aggregate(sentences, F.lit(""), lambda a, x: F.when(F.length(a) >= n, a).when(a == "", x).otherwise(F.concat_ws(" ", a, x)))
-    return truncate_to_limit(joined, n)
+    return F.aggregate(sentences, F.lit(""), lambda a, x: F.when(F.length(a) >= n, a).when(a == "", x).otherwise(F.concat_ws(" ", a, x)))
+
+
+def condense(text_lines: Column, n: int = SNIPPET_CHARS) -> Column:
+    """The first sentences of the lines, cut to n code points."""
+    return truncate_to_limit(_sentences(text_lines, n), n)
+
+
+def condense_cuts(text_lines: Column, n: int = SNIPPET_CHARS) -> Column:
+    """Whether condense() cuts its last sentence."""
+    return F.length(_sentences(text_lines, n)) > n
 
 
 def line_range(body: Column, fragment: Column) -> Column:
-    """struct(line_start, line_end) of the fragment's first place in the body; null if it isn't there."""
+    """struct(line_start, line_end) of the fragment's first place in the body, else from the first line that holds the fragment's first line
+    that isn't blank to the first one from there that holds its last (that line alone, if none does); null if there is none."""
     at = F.instr(body, fragment)
     start = F.length(F.regexp_replace(F.substring(body, F.lit(1), at - 1), "[^\n]", "")) + 1
-    return F.when(at > 0, F.struct(start.alias("line_start"), (start + F.length(F.regexp_replace(F.rtrim(fragment), "[^\n]", ""))).alias("line_end")))
+    whole = F.struct(start.alias("line_start"), (start + F.greatest(F.size(lines(fragment)), F.lit(1)) - 1).alias("line_end"))
+    parts = F.filter(lines(fragment), lambda x: x.rlike(r"(?U)\S"))
+    first, last = F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)
+    holds = lambda x: F.filter(F.transform(lines(body), lambda y, i: F.when(F.contains(y, x), i + 1)), lambda i: i.isNotNull())
+    begin = F.array_min(holds(first))
+    end = F.coalesce(F.array_min(F.filter(holds(last), lambda i: i >= begin)), begin)
+    near = F.when(begin.isNotNull(), F.struct(begin.alias("line_start"), end.alias("line_end")))
+    return F.when(F.length(fragment) > 0, F.when(at > 0, whole).otherwise(near))
 
 
 def line_slice(body: Column, start: int | None = None, end: int | None = None) -> Column:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import regex
+
 FIELDS = ("body", "summary", "rel_path")
+#: The index's words (operators/index.py): letters with their marks, and numbers.
+WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
 class QueryError(ValueError):
@@ -54,7 +58,7 @@ _LEX = re.compile(r'\s*(?:(?P<q>"(?:[^"\\]|\\.)*")(?:~(?P<slop>\d+))?|(?P<p>[()]
 
 
 def words_in(text: str) -> tuple[str, ...]:
-    return tuple(w for w in re.findall(r"[^\W_]+", text.lower()) if len(w.encode()) < 40)
+    return tuple(w for w in WORD.findall(text.lower()) if len(w.encode()) < 40)
 
 
 def parse(text: str, fields: tuple[str, ...] = FIELDS):
@@ -122,11 +126,12 @@ def _one(items, k, fields):
     if m["r"]:
         if m["rf"] not in known:
             raise QueryError(f"field {m['rf']} isn't indexed")
-        return Range(m["rf"], None if m["rl"] == "*" else m["rl"].lower(), None if m["rh"] == "*" else m["rh"].lower(), m["ro"] == "[", m["rc"] == "]"), k + 1
+        low, high = (None if x == "*" else _as_indexed(m["rf"], x) for x in (m["rl"], m["rh"]))
+        return Range(m["rf"], low, high, m["ro"] == "[", m["rc"] == "]"), k + 1
     if m["i"]:
         if m["if"] not in known:
             raise QueryError(f"no field {m['if']}")
-        return Among(m["if"], tuple(v.strip('"').lower() for v in m["iv"].split())), k + 1
+        return Among(m["if"], tuple(_as_indexed(m["if"], v.strip('"')) for v in m["iv"].split())), k + 1
     if m["w"] == "*":
         return All(), k + 1
     if m["q"] or m["w"]:
@@ -137,6 +142,11 @@ def _one(items, k, fields):
     raise QueryError(f"{m[0]!r} isn't expected here")
 
 
+def _as_indexed(field_name: str, value: str) -> str:
+    """Words of tokenized fields are lower-case in the index; a path is one term as it stands."""
+    return value if field_name == "rel_path" else value.lower()
+
+
 def _boosted(tree, items, k):
     if k < len(items) and items[k]["b"]:
         tree, k = _times(tree, float(items[k]["bv"])), k + 1
@@ -152,8 +162,8 @@ def _times(t, x):
 
 
 def sanitize(text: str) -> str:
-    """Letters, digits, white space and _ stay, all else is a space; runs of space are one."""
-    return " ".join("".join(c if c.isalnum() or c.isspace() or c == "_" else " " for c in text).split())
+    """Letters with their marks, numbers, white space and _ stay, all else is a space; runs of space are one."""
+    return " ".join("".join(c if c == "_" or c.isspace() or WORD.match(c) else " " for c in text).split())
 
 
 def understand(text: str, fields: tuple[str, ...] = FIELDS):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import SNIPPET_CHARS, condense, lines
+from quillspark.functions.text import SNIPPET_CHARS, condense, condense_cuts, lines
 from quillspark.sources.config import PREVIEW_LINES, WINDOW_LEAST, WINDOW_MOST
 
 SPLIT = r"[\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+"
@@ -20,6 +20,11 @@ def preview(body: Column, n: int = PREVIEW_LINES) -> Column:
     return condense(F.slice(lines(body), 1, n))
 
 
+def preview_truncated(body: Column, n: int = PREVIEW_LINES) -> Column:
+    """Whether the body has more than n lines, or its first n make more than a preview holds."""
+    return (F.size(lines(body)) > n) | condense_cuts(F.slice(lines(body), 1, n))
+
+
 def preview_lines(body: Column, n: int = PREVIEW_LINES) -> Column:
     """struct(line_start, line_end): the first and the last line of the preview's window that isn't blank; nulls without one."""
     at = F.filter(F.transform(F.slice(lines(body), 1, n), lambda x, i: F.when(x.rlike(r"(?U)\S"), i + 1)), lambda i: i.isNotNull())

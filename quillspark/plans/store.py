@@ -1,12 +1,19 @@
-"""A versioned index on Parquet: each commit is a new folder, a manifest names the one that is read."""
+"""An index in segments on Parquet, in any folder that Spark can write to.
+
+A commit adds one segment with the tables of the changed documents, and the ids whose
+rows in older segments are dead by it; a manifest names the segments that are read. So an update
+writes in proportion to the change, and readers of an older manifest go on. Segments are
+put together when there are many, and folders that no manifest of the last two names are deleted.
+"""
 
 from __future__ import annotations
 
 import fcntl
 import json
-import os
+import re
 import time
 from contextlib import contextmanager
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +22,15 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import summarize
 from quillspark.operators import index, query
 from quillspark.plans.search import Corpus
-from quillspark.streaming.upserts import resolve
+
+#: Segments that are put together to one.
+MOST_SEGMENTS = 8
+TABLES = {
+    "docs": "doc_id string, rel_path string, body string, summary string, token_estimate bigint",
+    "postings": "field string, term string, doc_id string, tf int, positions array<int>",
+    "lengths": "field string, doc_id string, dl bigint",
+    "dead": "doc_id string",
+}
 
 
 class MissingIndex(FileNotFoundError):
@@ -26,74 +41,177 @@ class IndexBusy(RuntimeError):
     """Another writer holds the index; reading goes on."""
 
 
-class Store:
-    """Documents as versions (seq, deleted), with the tables derived from the live ones."""
+class Folder:
+    """Small files of a folder through Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.path = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(self.conf)
+        self.path = self.fs.makeQualified(self.path)
+        self.local = self.path.toUri().getPath() if self.fs.getScheme() == "file" else None
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.path, name)
+
+    def make(self) -> None:
+        """Only its owner may enter it."""
+        mode = self.jvm.org.apache.hadoop.fs.permission.FsPermission("700")
+        if not self.fs.exists(self.path):
+            self.fs.mkdirs(self.path, mode)
+        self.fs.setPermission(self.path, mode)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path)] if self.fs.exists(self.path) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Whole or not at all: another name first."""
+        part = self.at(f".{name}.tmp")
+        stream = self.fs.create(part, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not self.fs.rename(part, self.at(name)):
+            raise IndexBusy(f"{name} is there already")
+
+    def size(self) -> int:
+        return self.fs.getContentSummary(self.path).getLength()
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
 
+
+class Store:
     def __init__(self, spark: SparkSession, state_dir: str):
-        self.spark, self.dir = spark, Path(state_dir)
+        self.spark, self.dir, self.folder = spark, str(state_dir).rstrip("/"), Folder(spark, str(state_dir))
+
+    def _manifests(self) -> list[int]:
+        return sorted(int(m[1]) for x in self.folder.names() if (m := re.fullmatch(r"manifest-(\d+)\.json", x)))
 
     def manifest(self) -> dict:
-        p = self.dir / "manifest.json"
-        if not p.exists():
+        done = self._manifests()
+        if not done:
             raise MissingIndex(f"index not found in {self.dir}")
-        return json.loads(p.read_text())
+        return json.loads(self.folder.read(f"manifest-{done[-1]:08d}.json"))
 
     @contextmanager
     def writing(self):
-        """One writer at a time, by a lock on a file of the state folder that ends with its process."""
-        self.dir.mkdir(mode=0o700, parents=True, exist_ok=True)
-        with (self.dir / "writer.lock").open("w") as f:
-            try:
-                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-            except OSError:
-                raise IndexBusy(f"another process writes to {self.dir}") from None
+        """One writer at a time: by a lock that ends with its process in a local folder, by a file that only one can create elsewhere."""
+        self.folder.make()
+        if self.folder.local:
+            with (Path(self.folder.local) / "writer.lock").open("w") as f:
+                try:
+                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                except OSError:
+                    raise IndexBusy(f"another process writes to {self.dir}") from None
+                yield
+            return
+        try:
+            self.folder.fs.create(self.folder.at("writer.lock"), False).close()
+        except Exception as e:
+            raise IndexBusy(f"another process writes to {self.dir}; if none does, delete its writer.lock") from e
+        try:
             yield
-
-    def _commit(self, docs: DataFrame, seq: int) -> dict:
-        self.dir.mkdir(mode=0o700, parents=True, exist_ok=True)
-        os.chmod(self.dir, 0o700)
-        at = f"v{seq:08d}"
-        base = f"{self.dir}/{at}"
-        docs.write.mode("overwrite").parquet(f"{base}/docs")
-        live = self.spark.read.parquet(f"{base}/docs")
-        index.postings(live, query.FIELDS).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{base}/postings")
-        index.doc_lengths(live, query.FIELDS).write.mode("overwrite").parquet(f"{base}/lengths")
-        index.field_stats(self.spark.read.parquet(f"{base}/docs"), query.FIELDS).coalesce(1).write.mode("overwrite").parquet(f"{base}/stats")
-        m = {"version": seq, "path": at, "num_docs": live.count(), "commit_ms": int(time.time() * 1000)}
-        tmp = self.dir / "manifest.json.tmp"
-        tmp.write_text(json.dumps(m))
-        os.replace(tmp, self.dir / "manifest.json")
+        finally:
+            self.folder.drop("writer.lock")
+
+    def _segment(self, docs: DataFrame, seq: int) -> str:
+        """Write the tables of a segment; docs are tokenized once they lie there."""
+        at = f"{self.dir}/seg-{seq:08d}"
+        docs.write.mode("overwrite").parquet(f"{at}/docs")
+        mine = self._read(f"seg-{seq:08d}", "docs")
+        # By document too, so that a frequent term's list is many tasks and files.
+        index.postings(mine, query.FIELDS).repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+        index.doc_lengths(mine, query.FIELDS).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{at}/lengths")
+        return at
+
+    def _commit(self, seq: int, segments: list[dict], stats: dict, marks: dict) -> dict:
+        old = self._manifests()
+        m = {"version": seq, "segments": segments, "stats": stats, "num_docs": stats.get("rel_path", [0, 0])[0], "marks": marks, "commit_ms": int(time.time() * 1000)}
+        self.folder.write(f"manifest-{seq:08d}.json", json.dumps(m))
+        before = json.loads(self.folder.read(f"manifest-{old[-1]:08d}.json")) if old else {"segments": []}
+        held = {s["name"] for s in (*segments, *before["segments"])}
+        for name in self.folder.names():
+            if name.startswith("seg-") and name not in held:
+                self.folder.drop(name)
+        for v in old[:-1]:
+            self.folder.drop(f"manifest-{v:08d}.json")
         return m
 
-    def reindex(self, files: DataFrame) -> dict:
+    @staticmethod
+    def _sums(lengths: DataFrame) -> dict[str, list[int]]:
+        return {r.field: [r.n, r.total] for r in lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()}  # a row for each field
+
+    def write(self, docs: DataFrame, marks: dict | None = None) -> dict:
+        """A new index of docs (doc_id, rel_path, body, summary, token_estimate)."""
         with self.writing():
-            try:
-                seq = self.manifest()["version"] + 1
-            except MissingIndex:
-                seq = 1
-            return self._commit(index.docs_table(files, summarize("body")), seq)
+            seq = (self._manifests() or [0])[-1] + 1
+            at = self._segment(docs, seq)
+            return self._commit(seq, [{"name": f"seg-{seq:08d}", "seq": seq, "dead": False}], self._sums(self._read(f"seg-{seq:08d}", "lengths")), marks or {})
+
+    def reindex(self, files: DataFrame) -> dict:
+        return self.write(index.docs_table(files, summarize("body")))
 
-    def update(self, files: DataFrame | None, deleted: list[str] = ()) -> dict:
+    def update(self, files: DataFrame | None, deleted: list[str] = (), marks: dict | None = None) -> dict:
         """Upserts and deletions in one commit; a key that isn't there is no error."""
+        gone = self.spark.createDataFrame([(d,) for d in deleted], "doc_id string") if deleted else None
+        return self.change(None if files is None else index.docs_table(files, summarize("body")), gone, marks)
+
+    def change(self, docs: DataFrame | None, gone: DataFrame | None, marks: dict | None = None) -> dict:
+        """docs replace those of equal ids, ids of `gone` go: one segment with them and the ids that are dead in older ones. One row a doc_id is expected."""
         with self.writing():
             m = self.manifest()
-            seq = m["version"] + 1
-            old = self.corpus().docs.withColumns({"seq": F.lit(0).cast("long"), "deleted": F.lit(False)})
-            new = old
-            if files is not None:
-                new = new.unionByName(index.docs_table(files, summarize("body")).withColumns({"seq": F.lit(1).cast("long"), "deleted": F.lit(False)}))
-            if deleted:
-                gone = self.spark.createDataFrame([(d,) for d in deleted], "doc_id string")
-                new = new.unionByName(gone.withColumns({"seq": F.lit(2).cast("long"), "deleted": F.lit(True)}), allowMissingColumns=True)
-            return self._commit(resolve(new).drop("seq", "deleted"), seq)
+            seq, name = m["version"] + 1, f"seg-{m['version'] + 1:08d}"
+            docs = self._open(m, "docs").limit(0) if docs is None else docs
+            at = self._segment(docs, seq)
+            ids = self._read(name, "docs").select("doc_id")
+            (ids if gone is None else ids.unionByName(gone.select("doc_id"))).distinct().write.mode("overwrite").parquet(f"{at}/dead")
+            dead = self._read(name, "dead")
+            less, more = self._sums(self._open(m, "lengths").join(dead, "doc_id", "left_semi")), self._sums(self._read(f"seg-{seq:08d}", "lengths"))
+            stats = {f: [m["stats"].get(f, [0, 0])[i] - less.get(f, [0, 0])[i] + more.get(f, [0, 0])[i] for i in (0, 1)] for f in {*m["stats"], *more}}
+            segments = [*m["segments"], {"name": name, "seq": seq, "dead": True}]
+            marks = {**m.get("marks", {}), **(marks or {})}
+            out = self._commit(seq, segments, stats, marks)
+            if len(segments) >= MOST_SEGMENTS:
+                out = self._together(out)
+            return out
+
+    def _together(self, m: dict) -> dict:
+        """One segment of what is live; nothing is tokenized again."""
+        seq = m["version"] + 1
+        at = f"{self.dir}/seg-{seq:08d}"
+        self._open(m, "docs").write.mode("overwrite").parquet(f"{at}/docs")
+        self._open(m, "postings").repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+        self._open(m, "lengths").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{at}/lengths")
+        return self._commit(seq, [{"name": f"seg-{seq:08d}", "seq": seq, "dead": False}], m["stats"], m.get("marks", {}))
+
+    def _read(self, segment: str, name: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.dir}/{segment}/{name}")
+
+    def _open(self, m: dict, name: str) -> DataFrame:
+        """A table's live rows: those whose id no later segment names as dead. Filters reach each segment's files."""
+        read = lambda s, x: self._read(s["name"], x)
+        parts = [read(s, name).withColumn("seg", F.lit(s["seq"])) for s in m["segments"]]
+        rows = reduce(DataFrame.unionByName, parts)
+        dead = [read(s, "dead").select(F.col("doc_id").alias("dead_id"), F.lit(s["seq"]).alias("dead_at")) for s in m["segments"] if s["dead"]]
+        if dead:
+            last = reduce(DataFrame.unionByName, dead).groupBy("dead_id").agg(F.max("dead_at").alias("dead_at"))
+            rows = rows.join(last, (F.col("doc_id") == F.col("dead_id")) & (F.col("seg") < F.col("dead_at")), "left_anti")
+        return rows.drop("seg")
 
     def corpus(self) -> Corpus:
-        base = f"{self.dir}/{self.manifest()['path']}"
-        r = self.spark.read.parquet
-        return Corpus(r(f"{base}/docs"), r(f"{base}/postings"), r(f"{base}/lengths"), r(f"{base}/stats"))
+        m = self.manifest()
+        rows = [(f, n, t, t / n if n else None) for f, (n, t) in sorted(m["stats"].items())]
+        stats = self.spark.createDataFrame(rows, "field string, n_docs long, total_tokens long, avgdl double")
+        return Corpus(*(self._open(m, x) for x in ("docs", "postings", "lengths")), stats)
 
     def stats(self) -> dict:
         m = self.manifest()
-        size = sum(p.stat().st_size for p in self.dir.rglob("*"))
-        parts = len(list((self.dir / m["path"] / "docs").glob("part-*")))
-        return {"num_docs": m["num_docs"], "state_dir": str(self.dir), "index_size_bytes": size, "segments": parts, "avg_bytes_per_doc": size // m["num_docs"] if m["num_docs"] else None, "last_updated_epoch_ms": m["commit_ms"]}
+        size = self.folder.size()
+        return {"num_docs": m["num_docs"], "state_dir": self.dir, "index_size_bytes": size, "segments": len(m["segments"]), "avg_bytes_per_doc": size // m["num_docs"] if m["num_docs"] else None, "last_updated_epoch_ms": m["commit_ms"]}

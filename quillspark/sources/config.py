@@ -22,7 +22,7 @@ EXCLUDED_NAMES = (
 EXCLUDED_PREFIXES = ("logs/", "docker/.data/", "docker-data/", ".docker/")
 DEFAULT_LIMIT, FILES_DEFAULT, FILES_MOST, OFFSET_MOST = 8, 200, 1000, 50_000
 OPEN_BYTES = 512 * 1024
-QUERY_BYTES = 4096
+QUERY_BYTES, REQUEST_BYTES = 4096, 16384
 WINDOW_DEFAULT, WINDOW_LEAST, WINDOW_MOST, PREVIEW_LINES = 40, 10, 400, 60
 SENSITIVE_TERMS = ("SECRET_TOKEN", "API_KEY", "PRIVATE KEY", "-----BEGIN PRIVATE KEY-----", "PASSWORD", "ACCESS_TOKEN")
 

@@ -6,6 +6,7 @@ import json
 import os
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -88,14 +89,14 @@ class _Reader(DataSourceReader):
 
 
 class ChangeSource(TreeSource):
-    """format('docchanges') as a stream: op (upsert or delete), rel_path, content, seq."""
+    """format('docchanges') as a stream: op (upsert or delete), rel_path, seq."""
 
     @classmethod
     def name(cls) -> str:
         return "docchanges"
 
     def schema(self) -> str:
-        return "op string, rel_path string, content binary, seq bigint"
+        return "op string, rel_path string, seq bigint"
 
 
 class _Changes(SimpleDataSourceStreamReader):
@@ -112,23 +113,23 @@ class _Changes(SimpleDataSourceStreamReader):
         old, seq, rows = start["files"], start["seq"], []
         for rel in sorted(old.keys() - now.keys()):
             seq += 1
-            rows.append(("delete", rel, None, seq))
+            rows.append(("delete", rel, seq))
         for rel in sorted(now):
             if old.get(rel) != now[rel]:
                 seq += 1
-                rows.append(("upsert", rel, read_file(self.root, rel), seq))
+                rows.append(("upsert", rel, seq))
         return iter(rows), {"seq": seq, "files": now}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        """After a failure: the same rows from the two listings; a file that is gone by now reads as empty."""
+        """After a failure: the same rows from the two listings."""
         old, now, seq, rows = start["files"], end["files"], start["seq"], []
         for rel in sorted(old.keys() - now.keys()):
             seq += 1
-            rows.append(("delete", rel, None, seq))
+            rows.append(("delete", rel, seq))
         for rel in sorted(now):
             if old.get(rel) != now[rel]:
                 seq += 1
-                rows.append(("upsert", rel, read_file(self.root, rel), seq))
+                rows.append(("upsert", rel, seq))
         return iter(rows)
 
     def commit(self, end: dict) -> None:
@@ -140,6 +141,13 @@ def scan(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str =
     return spark.read.format("doctree").option("path", root).option("names", json.dumps(list(names))).option("prefixes", json.dumps(list(prefixes))).option("stateDir", state_dir).load()
 
 
-def changes(spark: SparkSession, root: str, names=(), prefixes=()) -> DataFrame:
+def changes(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str = ".quillspark") -> DataFrame:
+    """The stream op, rel_path, content, seq; contents are read by the tasks, and a file that is gone by then reads as empty."""
     spark.dataSource.register(ChangeSource)
-    return spark.readStream.format("docchanges").option("path", root).option("names", json.dumps(list(names))).option("prefixes", json.dumps(list(prefixes))).load()
+    found = spark.readStream.format("docchanges").option("path", root).option("names", json.dumps(list(names))).option("prefixes", json.dumps(list(prefixes))).option("stateDir", state_dir).load()
+
+    @F.pandas_udf("binary")
+    def content(op: pd.Series, rel: pd.Series) -> pd.Series:
+        return pd.Series([read_file(root, r) if o == "upsert" else None for o, r in zip(op, rel)], dtype=object)
+
+    return found.select("op", "rel_path", content("op", "rel_path").alias("content"), "seq")

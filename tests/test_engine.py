@@ -107,6 +107,116 @@ def test_engine(spark, repo):
     assert [r["outcome"] for r in log] == ["pass", "fail"] and log[1]["prev_hash"] == log[0]["hash"]
 
 
+def test_words_of_queries_and_index_agree(spark):
+    texts = ["हिन्दी भाषा", "Ελλάδα ΟΔΟΣ", "naïve cafe\u0301", "a_b c-d 3½ Ⅻ", "தமிழ் மொழி", "中文 字", "x²y"]
+    from quillspark.operators.index import tokens
+
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("w")).collect():
+        assert list(Q.words_in(r.t)) == r.w, r.t
+    rows = [(str(i), str(i), t, "") for i, t in enumerate(texts)]
+    c = Corpus.of(spark.createDataFrame(rows, "doc_id string, rel_path string, body string, summary string"))
+    for i, t in enumerate(texts):
+        assert str(i) in {r.doc_id for r in matches(c, Q.understand(t, ("body",))).collect()}, t
+
+
+def test_paths_keep_their_case(spark):
+    rows = [(p, p, "x", "") for p in ("Docs/A.md", "docs/a.md", "Docs/Z.md")]
+    c = Corpus.of(spark.createDataFrame(rows, "doc_id string, rel_path string, body string, summary string"))
+    hits = lambda q: {r.doc_id for r in matches(c, Q.understand(q)).collect()}
+    assert hits("rel_path:[Docs/ TO Docs/Y]") == {"Docs/A.md"} and hits("rel_path: IN [docs/a.md Docs/Z.md]") == {"docs/a.md", "Docs/Z.md"}
+    assert hits("body:[X TO Y]") == {"Docs/A.md", "docs/a.md", "Docs/Z.md"}
+
+
+def test_line_ranges(spark):
+    body = "one\n\ntwo words\nthree\ntwo again\nend"
+    ask = ["two words\nthree", "two\n...\nend", "one\nnowhere", "absent", "", "\n", "one\n", "end"]
+    got = spark.createDataFrame([(body, a) for a in ask], "b string, f string").select("f", X.line_range(F.col("b"), F.col("f")).alias("r")).collect()
+    assert [r.r and (r.r.line_start, r.r.line_end) for r in got] == [(3, 4), (3, 6), (1, 1), None, None, (1, 1), (1, 1), (6, 6)]
+
+
+def test_links_out_of_the_root(spark, repo, tmp_path_factory):
+    out = tmp_path_factory.mktemp("outside") / "far.md"
+    out.write_text("OUTSIDE roadmap")
+    e = Engine(spark, str(repo), prefixes=["secret"], state_dir=str(repo / "state"))
+    assert e.hidden == "state" and not e.config.wanted("state/x.md")
+    e.index()
+    (repo / "link.md").symlink_to(out)
+    (repo / "near.md").symlink_to(repo / "secret/note.md")
+    e.ingest(["link.md", "near.md"])
+    assert e.search("OUTSIDE OR SKIPPED_SECRET") == [] and e.is_root(str(repo / "docs/..")) and not e.is_root(str(out.parent))
+    long = "\n".join(f"line {i}" for i in range(100))
+    (repo / "long.md").write_text(long)
+    (repo / "dots.md").write_text("it ends so…")
+    e.ingest(["long.md", "dots.md"])
+    assert e.snippet("long.md")["snippet"]["truncated"] and not e.snippet("dots.md")["snippet"]["truncated"]
+    assert e.snippet("dots.md", off=True)["snippet"] is None and e.snippet("dots.md", "ends", html=False)["snippet"]["html"] is None
+    found = e.respond("roadmap", 1)
+    assert found["meta"]["repo_root"] == str(repo) and found["meta"]["index_last_updated_epoch_ms"] <= found["meta"]["generated_at_epoch_ms"]
+
+
+def test_segments(spark, tmp_path):
+    """Updates write small segments; what is searched is as if all had been indexed at once; many are put together; old folders go."""
+    from quillspark.functions.text import summarize
+    from quillspark.operators import index
+    from quillspark.plans import store as S
+
+    s = S.Store(spark, str(tmp_path / "s"))
+    with pytest.raises(S.MissingIndex):
+        s.manifest()
+    files = lambda d: spark.createDataFrame([(k, bytearray(v.encode())) for k, v in d.items()], "rel_path string, content binary")
+    now = {f"{i}.md": f"word{i % 3} shared text {i}" for i in range(30)}
+    s.reindex(files(now))
+    for k in range(S.MOST_SEGMENTS + 2):
+        more, gone = {f"{k}.md": f"fresh{k} shared", f"n{k}.md": "word1 new"}, [f"{20 + k}.md", "absent.md"]
+        s.update(files(more), gone)
+        now = {p: t for p, t in (now | more).items() if p not in gone}
+        m = s.manifest()
+        assert len(m["segments"]) <= S.MOST_SEGMENTS and m["num_docs"] == len(now) == s.stats()["num_docs"]
+        if k in (2, S.MOST_SEGMENTS + 1):
+            whole = Corpus.of(index.docs_table(files(now), summarize("body")))
+            for q in ("word1", "shared fresh1", '"shared text"', "-word1 +shared", "*"):
+                a, b = ({r.doc_id: round(r.score, 9) for r in matches(c, Q.understand(q)).collect()} for c in (s.corpus(), whole))
+                assert a == b, (k, q)
+    named = {x["name"] for x in m["segments"]}
+    assert named <= set(s.folder.names()) and len([x for x in s.folder.names() if x.startswith("seg-")]) <= S.MOST_SEGMENTS + 1
+    assert s.update(None, ["0.md"])["num_docs"] == len(now) - 1
+
+
+def test_live_index(spark, repo, tmp_path_factory):
+    e = Engine(spark, str(repo), prefixes=["secret"])
+    e.index()
+    q = e.watch(str(tmp_path_factory.mktemp("cp")))
+
+    def waits(test):
+        end = time.time() + 60
+        while time.time() < end and not test():
+            time.sleep(0.5)
+        return test()
+
+    try:
+        (repo / "live.md").write_text("PERISCOPE roadmap")
+        assert waits(lambda: [h["doc_id"] for h in e.search("PERISCOPE")] == ["live.md"])
+        (repo / "live.md").unlink()
+        (repo / "other.md").write_text("PERISCOPE two")
+        assert waits(lambda: [h["doc_id"] for h in e.search("PERISCOPE")] == ["other.md"])
+    finally:
+        q.stop()
+
+
+def test_audit_finds_edited_records(spark, tmp_path):
+    from quillspark.operators.audit import damaged
+
+    a, b = AuditLog(str(tmp_path / "a.log")), AuditLog(str(tmp_path / "a.log"))
+    for i in range(6):
+        (a if i % 2 else b).append("self_check", "pass", n="x" * 3000 * (i % 3))
+    rows = [json.loads(x) for x in a.path.read_text().splitlines()]
+    assert [r["prev_hash"] for r in rows] == [None, *(r["hash"] for r in rows[:-1])]
+    lines = a.path.read_text().splitlines()
+    lines[2] = lines[2].replace('"pass"', '"fail"')
+    a.path.write_text("\n".join([*lines, "no json"]) + "\n")
+    assert [r.intact for r in damaged(spark.read.text(str(a.path)).coalesce(1)).collect()] == [True, True, False, True, True, True, False]
+
+
 def test_audit_rotation(tmp_path):
     a = AuditLog(str(tmp_path / "a.log"), most_bytes=1)
     first = a.append("x", "ok")
@@ -117,6 +227,18 @@ def test_audit_rotation(tmp_path):
 def test_rate_limit(spark):
     d = spark.createDataFrame([(1, 0.0, 1), (1, 0.1, 2), (1, 0.2, 3), (1, 31.0, 4), (2, 0.0, 5)], "k int, s double, i int")
     assert [r.allowed for r in rate_limited(d, "k", "s", "i", 2, 2).orderBy("i").collect()] == [True, True, False, True, True]
+    assert all(r.allowed for r in rate_limited(d, "k", "s", "i", 0).collect()) and all(r.allowed for r in rate_limited(d, "k", "s", "i", 0, secure=True).collect())
+    many = spark.createDataFrame([(None if i % 3 == 0 else i % 3, float(i // 3), i) for i in range(9000)], "k int, s double, i int")
+    got = {(r.k, r.i) for r in rate_limited(many, "k", "s", "i", 2, 2).where("allowed").collect()}
+    want = set()
+    for k in (None, 1, 2):
+        held, last = 2.0, 0.0
+        for s_, i in sorted((float(i // 3), i) for i in range(9000) if (None if i % 3 == 0 else i % 3) == k):
+            held, last = min(2.0, held + (s_ - last) * (2 / 60)), s_
+            if held >= 1:
+                held -= 1
+                want.add((k, i))
+    assert got == want
 
 
 def test_resolve(spark):
