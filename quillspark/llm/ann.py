@@ -2,7 +2,7 @@
 
 Coarse and product centroids are fitted in numpy on a bounded sample; every row is
 indexed. Neighbouring cells form groups, a query is sent once to each group in which it
-probes cells, and a group's vectors and queries are dealt into blocks, so a cell that holds a
+probes cells, with what its nearest must reach by a known sample, and a group's vectors and queries are dealt into blocks, so a cell that holds a
 third of all rows is many small units. In a unit, asymmetric distance tables give each
 query a short list from the cells it probes (of equal codes the smallest ids), which is
 reranked at once with the original vectors that lie beside the codes.
@@ -27,8 +27,10 @@ SUBSPACES, CODEWORDS = 32, 256
 #: and candidates that the probed cells must hold for each wanted neighbour.
 COVER, COVER_QUERIES, LEAST_FACTOR = 0.9, 400, 16
 SHORT_LIST = 192
-#: Cells are FINE times the square root of the rows, at most MOST_CELLS; a group of cells should hold GROUP vectors.
+#: Cells are FINE times the square root of the rows, at most MOST_CELLS; a group of cells should hold GROUP vectors, or as many as FINE times that root.
 FINE, MOST_CELLS, GROUP = 8, 4096, 1024
+#: Vectors that the product's codewords are fitted on, and rounds.
+BOOK_SAMPLE, ROUNDS = 8192, 6
 BLOCK, QUERY_BLOCK, AT_ONCE = 4096, 4096, 64
 
 
@@ -98,7 +100,7 @@ def fit(sample: np.ndarray, n_rows: int, k: int = K, cover: float = COVER, seed:
     apart, sample = sample[: len(sample) // 3].astype(np.float64), sample[len(sample) // 3 :].astype(np.float64)
     k = max(2, round(k * len(apart) / n_rows))
     cells = int(min(MOST_CELLS, max(1, len(sample) // 8), max(1, round(FINE * n_rows**0.5))))
-    coarse = kmeans(sample, cells, 12, rng)
+    coarse = kmeans(sample, cells, ROUNDS, rng)
     dim = sample.shape[1]
     parts = min(SUBSPACES, dim)
     bounds = [round(i * dim / parts) for i in range(parts + 1)]
@@ -109,8 +111,8 @@ def fit(sample: np.ndarray, n_rows: int, k: int = K, cover: float = COVER, seed:
     scale = np.sqrt((np.bincount(at, own, len(coarse)) + 1e-3 * own.mean()) / (np.bincount(at, minlength=len(coarse)) + 0.1))
     scale = np.where(scale > 0, scale, 1.0)
     r = r / scale[at, None]
-    books = [kmeans(r[:, a:b], CODEWORDS, 10, rng) for a, b in zip(bounds, bounds[1:])]
-    group = nearest(coarse, kmeans(coarse, max(1, min(len(coarse), n_rows // GROUP)), 8, rng))
+    books = [kmeans(r[:BOOK_SAMPLE, a:b], CODEWORDS, ROUNDS, rng) for a, b in zip(bounds, bounds[1:])]
+    group = nearest(coarse, kmeans(coarse, max(1, min(len(coarse), n_rows // max(GROUP, int(FINE * n_rows**0.5)))), ROUNDS, rng))
     return Index(coarse, books, bounds, probes_for(apart, coarse, k, cover) if len(apart) else len(coarse), group, scale)
 
 
@@ -145,9 +147,12 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
         return spark.createDataFrame([], schema)
     n, dim = dims["count"], dims["d"]
     rows = usable(vectors, dim)
-    chosen = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("v").toArrow()
-    index = fit(matrix(chosen.column("v").combine_chunks()), n, k, cover)
+    chosen = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("v", "vec_id").toArrow()
+    taken = matrix(chosen.column("v").combine_chunks())
+    index = fit(taken, n, k, cover)
+    third = max(1, len(taken) // 3)
     shared = spark.sparkContext.broadcast(index)
+    known = spark.sparkContext.broadcast((chosen.column("vec_id").to_numpy()[:third], taken[:third]))  # a third of the bounded sample
 
     def place():
         ix = shared.value
@@ -167,25 +172,37 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
     least = min(n, LEAST_FACTOR * k)
 
     def route():
-        ix = shared.value
+        ix, (ids, some) = shared.value, known.value
 
         def fn(batch):
             v = matrix(batch.column(batch.schema.get_field_index("v")))
-            order = np.argsort(-(v @ ix.coarse.T), axis=1, kind="stable") if len(v) else np.zeros((0, 0), int)
-            out = []
-            for o in order:
-                enough = int(np.searchsorted(np.cumsum(cells[o]), least)) + 1
-                visit = o[: max(probes, enough)]
-                visit = np.sort(visit[cells[visit] > 0])
-                of = group[visit]
-                out.append([{"group": int(g), "cells": visit[of == g].tolist()} for g in np.unique(of)])
-            return {"visits": out}
+            own = batch.column(batch.schema.get_field_index("vec_id")).to_numpy()
+            out, bounds_, mosts = [], [], []
+            for s in range(0, len(v), AT_ONCE):
+                q = v[s : s + AT_ONCE]
+                # What k known vectors reach is reached by the k nearest of all.
+                score = np.where(ids[None, :] == own[s : s + AT_ONCE, None], -np.inf, q @ some.T)
+                reach = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) >= k else np.full(len(q), -np.inf)
+                bounds_.append(reach - 1e-9 * np.abs(np.where(np.isinf(reach), 0, reach)))
+                for o in np.argsort(-(q @ ix.coarse.T), axis=1, kind="stable"):
+                    enough = int(np.searchsorted(np.cumsum(cells[o]), least)) + 1
+                    visit = o[: max(probes, enough)]
+                    visit = np.sort(visit[cells[visit] > 0])
+                    of, place = np.unique(group[visit], return_inverse=True)
+                    size = np.bincount(place, cells[visit])
+                    most = 1  # from each group, so that k are found however few reach the bound
+                    while most < k and np.minimum(most, size).sum() < k + 1:
+                        most += 1
+                    out.append([{"group": int(g), "cells": visit[place == i].tolist()} for i, g in enumerate(of)])
+                    mosts.append(most)
+            return {"visits": out, "bound": np.concatenate([[], *bounds_]).tolist(), "least": mosts}
 
         return fn
 
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    routed = map_rows(queries, route, "visits array<struct<group:int,cells:array<int>>>", ["vec_id", "v"])
-    routed = save(routed.select(F.col("vec_id").alias("query_id"), "v", F.explode("visits").alias("x")).select("query_id", "v", "x.group", "x.cells"), "ann-queries")
+    queries = queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    routed = map_rows(queries, route, "visits array<struct<group:int,cells:array<int>>>, bound double, least int", ["vec_id", "v"])
+    routed = save(routed.select(F.col("vec_id").alias("query_id"), "v", "bound", "least", F.explode("visits").alias("x")).select("query_id", "v", "bound", "least", "x.group", "x.cells"), "ann-queries")
     load = {r.group: r["count"] for r in routed.groupBy("group").count().collect()}
     held = np.bincount(group, cells, len(cells)).astype(int)
     shape = spark.createDataFrame([(c, int(g), max(1, -(-int(held[g]) // BLOCK)), -(-load.get(int(g), 0) // QUERY_BLOCK)) for c, g in enumerate(group)], "cell int, group int, vb int, qb int")
@@ -193,7 +210,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
     by_cell, by_group = F.broadcast(shape), F.broadcast(shape.drop("cell").distinct())
     part = lambda x, m: F.pmod(F.xxhash64(x), F.col(m).cast("long")).cast("int")
     v_units = indexed.join(by_cell, "cell").where("qb > 0").select("group", part("vec_id", "vb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"), "vec_id", "v", "code", "cell")
-    q_units = routed.join(by_group, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("i"), part("query_id", "qb").alias("j"), "query_id", F.col("v").alias("qv"), "cells")
+    q_units = routed.join(by_group, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("i"), part("query_id", "qb").alias("j"), "query_id", F.col("v").alias("qv"), "cells", "bound", "least")
 
     def unit(q: pa.Table, c: pa.Table) -> pa.Table:
         ix = shared.value
@@ -209,6 +226,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
         probed = np.zeros((len(qids), len(ix.coarse)), bool)
         probed[np.repeat(np.arange(len(qids)), size), flat] = True
         probed = probed[:, own]
+        bound, fewest = q.column("bound").to_numpy(), q.column("least").to_numpy()
         places = np.arange(len(ids) - 1, -1, -1, dtype=np.int64)
         short = min(SHORT_LIST, len(ids))
         out = []
@@ -228,7 +246,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
             score[np.isinf(np.take_along_axis(near, best, 1))] = -np.inf
             order = np.lexsort((ids[best], -score), axis=1)[:, :k]
             score = np.take_along_axis(score, order, 1)
-            fine = ~np.isinf(score)
+            fine = ~np.isinf(score) & ((score >= bound[now, None]) | (np.arange(score.shape[1])[None, :] < fewest[now, None]))
             found = np.take_along_axis(ids[best], order, 1)
             out.append((np.repeat(qids[now], fine.sum(1)), found[fine], score[fine]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
