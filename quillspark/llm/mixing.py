@@ -89,7 +89,7 @@ def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     A row whose last copy is cut keeps that copy's first `part` words with the white
     space before them. Rows that are equal in id, source and text get their takes
     summed and dealt out as whole copies of one of them. n_chars, where there is one,
-    is that of the new text. Null and empty texts, which have no words, aren't taken. Null ids and
+    is that of the new text. Null and empty texts, which have no words, go as often as their source has whole epochs. Null ids and
     sources are rows like others. Empty table: no rows. docs may hold columns of any names.
     """
     inner = {c: c if c in ("doc_id", "source", "text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)}

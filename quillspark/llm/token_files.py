@@ -265,7 +265,10 @@ def write_token_files(docs: DataFrame, out_dir: str, end_id: int = END_ID, kind:
 
 
 def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that the manifest lists."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that the manifest lists.
+
+    Null ids come back as null, repeated documents as often as they were written. An empty manifest: no rows.
+    """
     prepare(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(out_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 

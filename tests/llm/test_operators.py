@@ -511,6 +511,32 @@ def test_pieces(spark, docs, none):
         assert np.frombuffer(p.encode(x), "<u4").tolist() == want == sentencepieces.encode_chunked(p, x, random.choice([1, 3, 9]))
 
 
+def test_odd_characters_in_token_files():
+    """Pieces that are cut and remembered give what the library gives for the whole text."""
+    rng = random.Random(6)
+    enc = token_files.Encoder(token_files.tokenizer_path())
+    import pyarrow as pa
+
+    bits = ["a", "th", "The", " ", "  ", "\n", "\x1f", "\x85", "\xa0", "\u2028", "ﬁ", "é", "e\u0301", "İ", "ß", "中", "😀", "0", "...", ",", ".", "<|end|>", "<|END|>", "\u200d", "Ⅻ", "x" * 50, "\u0905\u093f"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["word " * 30_000]
+    got = enc(pa.array([t.encode() for t in texts], pa.binary()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_very_long_texts(spark):
+    """Whole texts, not prefixes: what stands at the end of a long one counts."""
+    long = " ".join(VOCAB[i % 300] for i in range(60_000))
+    clean, bad = [text(40) for _ in range(150)], [text(20) + " stupid " + text(20) for _ in range(60)]
+    s = toxicity.Scorer(toxicity.fit(clean + bad, [0] * 150 + [1] * 60))
+    assert s(long + " stupid stupid stupid") > s(long)
+    assert secrets.scan(long + ' api_key = "abcdef123"')[0] == [(len(long) + 1, 0, len(long) + 1 + len("api_key = \"abcdef123"))]
+    d = spark.createDataFrame([(1, long), (2, long + " end"), (3, long), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dups.near_duplicates(d).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
+    m = quality.train(d, d.select("doc_id", F.lit(1).alias("quality")))
+    assert m is None or m.text_nats(long + "#" * 50) > m.text_nats(long) + 50
+
+
 def test_tree_of_matrices(spark):
     p = sentencepieces.Pieces(sentencepieces.model_path())
     texts = ["", "xx" * 40, LONG[:700], "中" * 333, " " * 50 + "th" * 90, LONG[:90]]
