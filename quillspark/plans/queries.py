@@ -5,6 +5,7 @@ documents stand for a corpus of files: rel_path = lang/source/doc_id.md, body =
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -119,12 +120,6 @@ def search_no_snippets(spark, d):
     return search(corpus(spark, d), "license", 20, ("body",)).select("doc_id", F.round("score", 6).alias("score"), F.lit("").alias("snippet"))
 
 
-@register()
-def search_multi_field(spark, d):
-    x = docs(spark, d).withColumn("summary", X.summarize("body"))
-    return search(Corpus.of(x), "license token", 20, with_docs=False).select("doc_id", F.round("score", 6).alias("score"))
-
-
 @register(f"WITH {DOCS} SELECT doc_id FROM docs ORDER BY doc_id LIMIT 50 OFFSET 100")
 def docs_page(spark, d):
     return docs(spark, d).select("doc_id").orderBy("doc_id").offset(100).limit(50)
@@ -252,6 +247,22 @@ def summary(spark, d):
     return t(spark, d, "documents").select("doc_id", X.summarize("text").alias("summary"))
 
 
+def of_summaries(sql: str) -> str:
+    """The same SQL over the tables made from the summaries."""
+    for x in ("docs", "toks", "occ", "len", "st"):
+        sql = re.sub(rf"\b{x}\b(?!\()", f"summary_{x}", sql)
+    return sql
+
+
+SUMMARY_TOKENS = TOKENS + ", " + SEGMENTS + r""", summary_docs AS (SELECT lang || '/' || source || '/' || documents.doc_id || '.md' AS doc_id, CASE WHEN length(s) <= 360 THEN s ELSE regexp_replace(s[1:359], '\s+$', '') || '…' END AS body FROM documents JOIN whole USING (doc_id)), """ + of_summaries(TOKENS[len(DOCS) + 2 :])
+
+
+@register(f"WITH {SUMMARY_TOKENS}, s AS ({summed(*(f(bm25(tf(w))) for f in (str, of_summaries) for w in ('license', 'token')))}) SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 20)")
+def search_multi_field(spark, d):
+    x = docs(spark, d).withColumn("summary", X.summarize("body"))
+    return search(Corpus.of(x), "license token", 20, with_docs=False).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @register(LINES.join(["WITH ", r""", few AS (SELECT doc_id, trim(regexp_replace(string_agg(regexp_replace(line, '^\s+|\s+$', '', 'g'), ' ' ORDER BY n), '\s+', ' ', 'g')) AS x FROM raw WHERE n <= 60 AND regexp_matches(line, '\S') GROUP BY doc_id),
 sentences AS (SELECT doc_id, unnest(list_zip(range(len(y)), y), recursive := false) AS z FROM (SELECT doc_id, regexp_split_to_array(x, '[.!?]+\s+') AS y FROM few)),
 placed AS (SELECT doc_id, z[1] AS i, z[2] AS s, sum(length(z[2]) + 1) OVER (PARTITION BY doc_id ORDER BY z[1]) - length(z[2]) - 2 AS before FROM sentences),
