@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +35,27 @@ def preview_lines(body: Column, n: int = PREVIEW_LINES) -> Column:
 def fragments(docs: DataFrame, most: int = SNIPPET_CHARS) -> DataFrame:
     """(doc_id, frag, place, run): the runs of words and of what is between, dealt greedily into stretches of at most `most` bytes that begin with a word."""
     runs = F.regexp_extract_all(F.col("body"), F.lit(SPLIT), F.lit(0))
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("frag"), F.array().cast("array<int>").alias("of"))
 
-    def step(a, run):
-        n = F.octet_length(run)
-        new = run.rlike(WORD) & (a["used"] > 0) & (a["used"] + n > most)
-        frag = a["frag"] + new.cast("int")
-        return F.struct(F.when(new, n).otherwise(a["used"] + n).alias("used"), frag.alias("frag"), F.concat(a["of"], F.array(frag)).alias("of"))
+    @F.pandas_udf("array<int>")
+    def numbers(all_runs: pd.Series) -> pd.Series:
+        import regex
 
-    of = F.aggregate(runs, zero, step, lambda a: a["of"])
+        word = regex.compile(r"[\p{Alphabetic}\p{N}]")
+
+        def deal(own):
+            used, frag, out = 0, 0, []
+            for run in own if own is not None else ():
+                n = len(run.encode())
+                if used and used + n > most and word.match(run):
+                    frag, used = frag + 1, n
+                else:
+                    used += n
+                out.append(frag)
+            return out
+
+        return all_runs.map(deal)
+
+    of = numbers(runs)
     return docs.select("doc_id", F.posexplode(F.arrays_zip(runs.alias("run"), of.alias("frag"))).alias("place", "x")).select("doc_id", F.col("x.frag").alias("frag"), "place", F.col("x.run").alias("run"))
 
 

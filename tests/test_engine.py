@@ -119,6 +119,20 @@ def test_words_of_queries_and_index_agree(spark):
         assert str(i) in {r.doc_id for r in matches(c, Q.understand(t, ("body",))).collect()}, t
 
 
+def test_stretches(spark):
+    from quillspark.operators.snippets import best_fragments, fragments
+
+    body = " ".join(f"w{i}" for i in range(3000)) + " needle " + "x" * 50
+    d = spark.createDataFrame([("a", body), ("b", ""), ("c", None)], "doc_id string, body string")
+    rows = fragments(d, 100).orderBy("doc_id", "place").collect()
+    assert "".join(r.run for r in rows) == body
+    size = {}
+    for r in rows:
+        size[r.frag] = size.get(r.frag, 0) + len(r.run)
+    assert max(size.values()) <= 101 and list(size) == sorted(size) and len(size) > 150
+    assert "<b>needle</b>" in best_fragments(d, {"needle": 1}).collect()[0].html
+
+
 def test_paths_keep_their_case(spark):
     rows = [(p, p, "x", "") for p in ("Docs/A.md", "docs/a.md", "Docs/Z.md")]
     c = Corpus.of(spark.createDataFrame(rows, "doc_id string, rel_path string, body string, summary string"))
