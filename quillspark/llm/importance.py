@@ -13,8 +13,6 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import count
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,84 +21,102 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.bare_words import BARE_WORD, bare_words
+from quillspark.llm.bare_words import BARE_WORD, TABLE
 from quillspark.llm.common import prepare, raw_texts, save, table
 
 BUCKETS, WIDTH, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Bytes of text that a task counts at once (a longer text is a block by itself), and that a shard stands for.
-BLOCK_BYTES, SHARD_BYTES = 12 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 20 << 20, 16 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Place of a row within its partition in monotonically_increasing_id().
 ROW_BITS = 33
 
 
 class Block:
-    """The n-grams of some texts: for each width the distinct ones as a sorted array of strings (`strings`), the place among them of each
-    run (`runs`), and of which text the run is (`of`)."""
+    """The n-grams of some texts: for each width the distinct ones as an array of strings that end in a new line (`strings`), by the rank of
+    their words, the place among them of each run (`runs`), and which text it is of (`of`). No word holds a new line."""
 
     def __init__(self, raws: list[bytes]):
-        number = defaultdict(count().__next__)
-        parts = [bare_words(r) for r in raws]
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        ids = np.fromiter((i for p in parts for i in map(number.__getitem__, p)), np.int64, int(self.sizes.sum()))
-        of = np.repeat(np.arange(len(parts)), self.sizes)
-        words = sorted(number)
-        rank = np.empty(len(words), np.int64)
-        rank[[number[w] for w in words]] = np.arange(len(words))
-        first = rank[ids] if len(ids) else ids
-        vocabulary = pa.array(words, pa.binary())
-        self.strings, self.runs, self.of = [vocabulary], [first], [of]
-        self.keys = [np.frombuffer(b"".join(zlib.crc32(w).to_bytes(4, "little") + zlib.adler32(w).to_bytes(4, "little") for w in words), np.uint64)]
+        text = np.frombuffer(b" ".join(raws).translate(TABLE), np.uint8)
+        inside = text != 32
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])])
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(text[inside].tobytes())]).dictionary_encode()
+        of = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, "right")
+        self.sizes = np.bincount(of, minlength=len(raws)).astype(np.int64)
+        order = pc.sort_indices(words.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        ids, bare = words.indices.to_numpy().astype(np.int64), words.dictionary.take(order)
+        ended = pc.binary_join_element_wise(bare, b"", b"\n")
+        self.strings, self.runs, self.of, self.pairs = [ended], [rank[ids]], [of], []
+        where = np.arange(len(of))
         for width in range(2, WIDTH + 1):
             at = np.flatnonzero(of[: len(of) - width + 1] == of[width - 1 :]) if len(of) >= width else np.zeros(0, np.int64)
-            before = self.runs[-1][np.searchsorted(self.where, at)] if width > 2 else first[at]
-            pairs, run = np.unique((before << np.int64(32)) | first[at + width - 1], return_inverse=True)
+            pairs, run = np.unique((self.runs[-1][np.searchsorted(where, at)] << np.int64(32)) | self.runs[0][at + width - 1], return_inverse=True)
             left, right = pairs >> np.int64(32), pairs & np.int64(2**32 - 1)
-            self.strings.append(pc.binary_join_element_wise(self.strings[-1].take(pa.array(left)), vocabulary.take(pa.array(right)), b" "))
-            self.keys.append((self.keys[-1][left] ^ (self.keys[-1][left] >> np.uint64(29))) * MULT + self.keys[0][right])
+            start = (prefix if width > 2 else bare).take(pa.array(left))
+            self.strings.append(pc.binary_join_element_wise(start, ended.take(pa.array(right)), b" "))
+            if width < WIDTH:
+                prefix = pc.binary_join_element_wise(start, bare.take(pa.array(right)), b" ")
+            self.pairs.append((left, right))
             self.runs.append(run.ravel())
             self.of.append(of[at])
-            self.where = at
+            where = at
 
     def shards(self, n: int) -> Iterator[tuple[int, bytes]]:
-        """(shard, packed strings with their counts), for each shard that gets some."""
+        """(shard, packed strings with their counts), for each shard that gets some. The shard follows from the words' hashes."""
         every = [[] for _ in range(n)]
-        for strings, key, run in zip(self.strings, self.keys, self.runs):
+        word = crcs(self.strings[0]).astype(np.uint64) * MULT
+        for width, (strings, run) in enumerate(zip(self.strings, self.runs)):
+            if width:
+                left, right = self.pairs[width - 1]
+                key = (key[left] ^ (key[left] >> np.uint64(29))) * MULT + word[right]
+            else:
+                key = word
             to = ((key ^ (key >> np.uint64(32))) * MULT >> np.uint64(33)).astype(np.int64) % n
             order = np.argsort(to, kind="stable")
-            counts = np.bincount(run, minlength=len(strings))[order]
-            strings = strings.take(pa.array(order))
-            ends = np.searchsorted(to[order], np.arange(n + 1))
+            counts, strings, ends = np.bincount(run, minlength=len(strings))[order], strings.take(pa.array(order)), np.searchsorted(to[order], np.arange(n + 1))
             for shard in np.flatnonzero(np.diff(ends)).tolist():
-                every[shard].append((strings.slice(ends[shard], ends[shard + 1] - ends[shard]), counts[ends[shard] : ends[shard + 1]]))
+                own = slice(ends[shard], ends[shard + 1])
+                every[shard].append((strings[own], counts[own]))
         for shard, parts in enumerate(every):
             if parts:
-                yield shard, packed(pa.concat_arrays([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
+                yield shard, packed([s for s, _ in parts], np.concatenate([c for _, c in parts]))
 
     def sums(self, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(runs, sum of the gains of all runs' buckets) of each text."""
+        """(runs, sum of the gains of all runs' buckets) of each text. Each distinct string is hashed once."""
         n, total = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes), np.int64)
         for strings, run, of in zip(self.strings, self.runs, self.of):
             n += np.bincount(of, minlength=len(n))
-            np.add.at(total, of, gain[buckets(strings)][run])
+            np.add.at(total, of, gain[crcs(strings) % BUCKETS][run])
         return n, total
 
 
-def buckets(strings: pa.Array) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, strings.to_pylist()), np.int64, len(strings)) % BUCKETS
+def raw(strings: pa.Array) -> bytes:
+    if not len(strings):
+        return b""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return memoryview(strings.buffers()[2])[ends[0] : ends[-1]].tobytes() if ends[-1] > ends[0] else b""
 
 
-def packed(strings: pa.Array, counts: np.ndarray) -> bytes:
-    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
-    data = memoryview(strings.buffers()[2])[ends[0] : ends[-1]] if ends[-1] > ends[0] else b""
-    return struct.pack("<q", len(strings)) + zstandard.ZstdCompressor(level=1).compress(b"".join([np.diff(ends).astype("<i4").tobytes(), counts.astype("<i8").tobytes(), data]))
+def crcs(strings: pa.Array) -> np.ndarray:
+    """crc32 of each string without its new line."""
+    return np.fromiter(map(zlib.crc32, raw(strings).split(b"\n")[:-1]), np.int64, len(strings))
+
+
+def packed(strings: list[pa.Array], counts: np.ndarray) -> bytes:
+    """Counts by planes of bytes, most of which are zeros, and the strings."""
+    planes = counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return struct.pack("<q", len(counts)) + zstandard.ZstdCompressor(level=3).compress(b"".join([planes, *map(raw, strings)]))
 
 
 def unpacked(blob: bytes) -> tuple[pa.Array, np.ndarray]:
     (n,) = struct.unpack_from("<q", blob)
-    raw = zstandard.ZstdDecompressor().decompress(blob[8:])
-    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i4", n))]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[12 * n :])]), np.frombuffer(raw, "<i8", n, 4 * n)
+    data = zstandard.ZstdDecompressor().decompress(blob[8:])
+    counts = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n).T).view("<i8").ravel()
+    ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8, offset=8 * n) == 10) + 1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[8 * n :])]), counts
 
 
 def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
@@ -132,11 +148,11 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
-        parts = [unpacked(b) for b in group.column("blob").to_pylist()]
+        parts = [unpacked(b.as_py()) for b in group.column("blob")]
         counted = pa.table({"s": pa.chunked_array([s for s, _ in parts]), "n": np.concatenate([c for _, c in parts])}).group_by("s").aggregate([("n", "sum")])
         held = np.zeros(BUCKETS, np.int64)
         for s, c in zip(counted["s"].chunks, counted["n_sum"].chunks):
-            np.add.at(held, buckets(s), c.to_numpy())
+            np.add.at(held, crcs(s) % BUCKETS, c.to_numpy())
         some = np.flatnonzero(held)
         return pa.table({"bucket": some, "n": held[some]})
 
