@@ -26,68 +26,65 @@ from quillspark.llm.common import prepare, raw_texts, save, table
 
 BUCKETS, WIDTH, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Bytes of text that a task counts at once (a longer text is a block by itself), and that a shard stands for.
-BLOCK_BYTES, SHARD_BYTES = 20 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 12 << 20, 16 << 20
+#: Strings that are Python objects at once.
+AT_ONCE = 100_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Place of a row within its partition in monotonically_increasing_id().
 ROW_BITS = 33
 
 
 class Block:
-    """The n-grams of some texts: for each width the distinct ones as an array of strings that end in a new line (`strings`), by the rank of
-    their words, the place among them of each run (`runs`), and which text it is of (`of`). No word holds a new line."""
+    """The words of some texts: `bare`, the distinct ones in order, `words`, the place among them of each, and `of`, the text that it is in."""
 
     def __init__(self, raws: list[bytes]):
         text = np.frombuffer(b" ".join(raws).translate(TABLE), np.uint8)
         inside = text != 32
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        starts, ends = edges[::2], np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])])
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(text[inside].tobytes())]).dictionary_encode()
-        of = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, "right")
-        self.sizes = np.bincount(of, minlength=len(raws)).astype(np.int64)
-        order = pc.sort_indices(words.dictionary)
+        starts, ends = edges[::2], np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int32)
+        every = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(text[inside].tobytes())]).dictionary_encode()
+        self.of = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, "right").astype(np.int32)
+        self.sizes = np.bincount(self.of, minlength=len(raws)).astype(np.int64)
+        order = pc.sort_indices(every.dictionary)
         rank = np.empty(len(order), np.int64)
         rank[order.to_numpy()] = np.arange(len(order))
-        ids, bare = words.indices.to_numpy().astype(np.int64), words.dictionary.take(order)
-        ended = pc.binary_join_element_wise(bare, b"", b"\n")
-        self.strings, self.runs, self.of, self.pairs = [ended], [rank[ids]], [of], []
-        where = np.arange(len(of))
+        self.bare, self.words = every.dictionary.take(order), rank[every.indices.to_numpy()]
+
+    def grams(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each width: the distinct n-grams as strings that end in a new line (no word holds one), by the rank of their words; a number that follows
+        from each one's words; the place among them of each run; and the text that it is of. One width is held at a time."""
+        strings = pc.binary_join_element_wise(self.bare, b"", b"\n")
+        ended, word = strings, crcs(strings).astype(np.uint64) * MULT
+        key, run, of = word, self.words, self.of
+        yield strings, key, run, of
+        before, start = self.bare, np.ones(len(of), bool)
         for width in range(2, WIDTH + 1):
-            at = np.flatnonzero(of[: len(of) - width + 1] == of[width - 1 :]) if len(of) >= width else np.zeros(0, np.int64)
-            pairs, run = np.unique((self.runs[-1][np.searchsorted(where, at)] << np.int64(32)) | self.runs[0][at + width - 1], return_inverse=True)
-            left, right = pairs >> np.int64(32), pairs & np.int64(2**32 - 1)
-            start = (prefix if width > 2 else bare).take(pa.array(left))
-            self.strings.append(pc.binary_join_element_wise(start, ended.take(pa.array(right)), b" "))
-            if width < WIDTH:
-                prefix = pc.binary_join_element_wise(start, bare.take(pa.array(right)), b" ")
-            self.pairs.append((left, right))
-            self.runs.append(run.ravel())
-            self.of.append(of[at])
-            where = at
+            here = np.zeros(len(self.of), bool)  # where a run of this width begins
+            here[: max(0, len(here) - width + 1)] = self.of[: max(0, len(here) - width + 1)] == self.of[width - 1 :]
+            last = self.words[np.flatnonzero(here) + width - 1]
+            pairs, run = np.unique((run[here[start]] << np.int64(32)) | last, return_inverse=True)
+            left, right, run = pairs >> np.int64(32), pairs & np.int64(2**32 - 1), run.ravel()
+            start, of, first = here, self.of[here], before.take(pa.array(left))
+            strings = pc.binary_join_element_wise(first, ended.take(pa.array(right)), b" ")
+            key = (key[left] ^ (key[left] >> np.uint64(29))) * MULT + word[right]
+            before = pc.binary_join_element_wise(first, self.bare.take(pa.array(right)), b" ") if width < WIDTH else None
+            del first, pairs, left, right, last
+            yield strings, key, run, of
 
     def shards(self, n: int) -> Iterator[tuple[int, bytes]]:
-        """(shard, packed strings with their counts), for each shard that gets some. The shard follows from the words' hashes."""
-        every = [[] for _ in range(n)]
-        word = crcs(self.strings[0]).astype(np.uint64) * MULT
-        for width, (strings, run) in enumerate(zip(self.strings, self.runs)):
-            if width:
-                left, right = self.pairs[width - 1]
-                key = (key[left] ^ (key[left] >> np.uint64(29))) * MULT + word[right]
-            else:
-                key = word
+        """(shard, packed strings with their counts), for each width and each shard that gets some."""
+        for strings, key, run, _ in self.grams():
             to = ((key ^ (key >> np.uint64(32))) * MULT >> np.uint64(33)).astype(np.int64) % n
             order = np.argsort(to, kind="stable")
             counts, strings, ends = np.bincount(run, minlength=len(strings))[order], strings.take(pa.array(order)), np.searchsorted(to[order], np.arange(n + 1))
             for shard in np.flatnonzero(np.diff(ends)).tolist():
                 own = slice(ends[shard], ends[shard + 1])
-                every[shard].append((strings[own], counts[own]))
-        for shard, parts in enumerate(every):
-            if parts:
-                yield shard, packed([s for s, _ in parts], np.concatenate([c for _, c in parts]))
+                yield shard, packed(strings[own], counts[own])
 
     def sums(self, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(runs, sum of the gains of all runs' buckets) of each text. Each distinct string is hashed once."""
         n, total = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes), np.int64)
-        for strings, run, of in zip(self.strings, self.runs, self.of):
+        for strings, _, run, of in self.grams():
             n += np.bincount(of, minlength=len(n))
             np.add.at(total, of, gain[crcs(strings) % BUCKETS][run])
         return n, total
@@ -102,13 +99,16 @@ def raw(strings: pa.Array) -> bytes:
 
 def crcs(strings: pa.Array) -> np.ndarray:
     """crc32 of each string without its new line."""
-    return np.fromiter(map(zlib.crc32, raw(strings).split(b"\n")[:-1]), np.int64, len(strings))
+    out = np.empty(len(strings), np.int64)
+    for k in range(0, len(out), AT_ONCE):
+        out[k : k + AT_ONCE] = list(map(zlib.crc32, raw(strings[k : k + AT_ONCE]).split(b"\n")[:-1]))
+    return out
 
 
-def packed(strings: list[pa.Array], counts: np.ndarray) -> bytes:
+def packed(strings: pa.Array, counts: np.ndarray) -> bytes:
     """Counts by planes of bytes, most of which are zeros, and the strings."""
     planes = counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return struct.pack("<q", len(counts)) + zstandard.ZstdCompressor(level=3).compress(b"".join([planes, *map(raw, strings)]))
+    return struct.pack("<q", len(counts)) + zstandard.ZstdCompressor(level=3).compress(planes + raw(strings))
 
 
 def unpacked(blob: bytes) -> tuple[pa.Array, np.ndarray]:
