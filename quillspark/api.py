@@ -16,7 +16,7 @@ from quillspark.functions.text import line_range
 from quillspark.operators import query
 from quillspark.operators.audit import AuditLog
 from quillspark.operators.snippets import best_fragments, preview, preview_lines, preview_truncated, window_lines
-from quillspark.plans.search import matches, search
+from quillspark.plans.search import Corpus, matches, search
 from quillspark.plans.store import MissingIndex, Store
 from quillspark.sources import config as C
 from quillspark.sources.tree import changes, scan
@@ -87,7 +87,7 @@ class Engine:
         c = self.store.corpus()
         hits = search(c, text, C.resolve_limit(surface, limit, most), max_tokens=max_tokens)
         top = hits.orderBy(F.desc("score"), "doc_id").select("doc_id", "rel_path", "score", "summary", "token_estimate", preview(F.col("body")).alias("preview"), preview_lines(F.col("body")).alias("preview_lines")).collect()
-        found = self._snippets([r.doc_id for r in top], text) if snippets else {}
+        found = self._snippets(c, [r.doc_id for r in top], query.understand(text)) if snippets else {}
         out = []
         for r in top:
             hit, own = r.asDict(), found.get(r.doc_id)
@@ -99,12 +99,11 @@ class Engine:
             out.append({**hit, "snippet": (shown or r.summary) if snippets else "", "line_start": start, "line_end": end})
         return out
 
-    def _snippets(self, ids: list[str], text: str) -> dict[str, dict]:
-        terms = _terms(query.understand(text))
+    def _snippets(self, c: Corpus, ids: list[str], tree) -> dict[str, dict]:
+        terms = _terms(tree)
         if not ids or not terms:
             return {}
-        c = self.store.corpus()
-        df = {r.term: r.n for r in c.postings.where((F.col("field") == "body") & F.col("term").isin(list(terms))).groupBy("term").agg(F.count("*").alias("n")).collect()}
+        df = c.frequencies("body", sorted(terms))
         few = c.docs.where(F.col("doc_id").isin(ids))
         best = best_fragments(few, {t: df.get(t, 0) for t in terms}).join(few.select("doc_id", "body"), "doc_id")
         rows = best.select("doc_id", "snippet", "html", line_range(F.col("body"), F.col("snippet")).alias("at")).collect()
@@ -112,7 +111,8 @@ class Engine:
 
     def snippet(self, doc_id: str, text: str | None = None, window: int = C.WINDOW_DEFAULT, max_tokens: int | None = None, html: bool = True, off: bool = False) -> dict:
         """A document and the best stretch for `text`, else its first lines. html=False: no markup; off: no snippet at all."""
-        row = self.store.corpus().docs.where(F.col("doc_id") == doc_id).select("doc_id", "rel_path", "summary", "token_estimate", preview(F.col("body"), window_lines(window)).alias("p"), preview_lines(F.col("body"), window_lines(window)).alias("at"), preview_truncated(F.col("body"), window_lines(window)).alias("cut")).limit(1).collect()
+        c = self.store.corpus()
+        row = c.docs.where(F.col("doc_id") == doc_id).select("doc_id", "rel_path", "summary", "token_estimate", preview(F.col("body"), window_lines(window)).alias("p"), preview_lines(F.col("body"), window_lines(window)).alias("at"), preview_truncated(F.col("body"), window_lines(window)).alias("cut")).limit(1).collect()
         if not row:
             return {"doc": None, "snippet": None}
         doc = row[0].asDict()
@@ -121,8 +121,13 @@ class Engine:
             return {"doc": doc, "snippet": None}
         if max_tokens is not None and doc["token_estimate"] > max_tokens:
             return {"doc": doc, "snippet": None}
-        found = self._snippets([doc_id], text).get(doc_id) if text else None
-        out = dict(found if found else {"snippet": shown, "html": None, "origin": "preview", "truncated": cut, "line_start": at["line_start"], "line_end": at["line_end"]})
+        found = None
+        if text and text.strip():
+            try:  # one parse over the body, without the ladder
+                found = self._snippets(c, [doc_id], query.parse(text, ("body",))).get(doc_id)
+            except query.QueryError:
+                pass
+        out = dict({**found, "line_start": None, "line_end": None} if found else {"snippet": shown, "html": None, "origin": "preview", "truncated": cut, "line_start": at["line_start"], "line_end": at["line_end"]})
         if not html:
             out["html"] = None
         return {"doc": doc, "snippet": out}

@@ -23,21 +23,57 @@ def docs_table(files: DataFrame, summary: F.Column | None = None) -> DataFrame:
     return d.withColumn("summary", F.lit("") if summary is None else summary).withColumn("token_estimate", estimate_tokens(F.col("body")))
 
 
-def occurrences(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(field, doc_id, term, pos). rel_path is one untokenized term; the others are split into lower-case words."""
+def occurrences(docs: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(field, doc_id, term, pos, dl, *keep); dl: the document's words in the field. rel_path is one untokenized term; the others are split into lower-case words."""
     out = None
     for f in fields:
         if f == "rel_path":
-            part = docs.select(F.lit(f).alias("field"), "doc_id", F.col(f).alias("term"), F.lit(0).alias("pos"))
+            part = docs.select(F.lit(f).alias("field"), "doc_id", F.col(f).alias("term"), F.lit(0).alias("pos"), F.lit(1).cast("long").alias("dl"), *keep)
         else:
-            part = docs.select(F.lit(f).alias("field"), "doc_id", F.posexplode(tokens(F.col(f))).alias("pos", "term")).where(F.octet_length("term") < LONGEST).select("field", "doc_id", "term", "pos")
+            own = docs.select("doc_id", tokens(F.col(f)).alias("all"), *keep).withColumn("dl", F.size(F.filter("all", _short)).cast("long"))
+            part = own.select(F.lit(f).alias("field"), "doc_id", "dl", F.posexplode("all").alias("pos", "term"), *keep).where(_short(F.col("term"))).select("field", "doc_id", "term", "pos", "dl", *keep)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _short(t: F.Column) -> F.Column:
+    return F.octet_length(t) < LONGEST
+
+
 def postings(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(field, term, doc_id, tf, positions)."""
-    return occurrences(docs, fields).groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(field, term, doc_id, tf, dl, positions)."""
+    return _by_document(occurrences(docs, fields), ("field", "term", "doc_id"))
+
+
+def _by_document(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return found.groupBy(*keys).agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+#: Documents in a range, so the most entries of a block are 2 to this.
+RANGE_BITS = 7
+
+
+def ranged(docs: DataFrame) -> DataFrame:
+    """docs sorted by doc_id, with `range`: the number of a run of at most 2 ** RANGE_BITS neighbours. To be written before it is used twice."""
+    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
+
+
+def blocks(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Postings in blocks, one for each term and range: (field, term, range, n, cf, sky, ids, tfs, dls, positions), sorted, the arrays by document.
+
+    sky: the pairs of tf and dl that no other of the block is better than in both, from which the block's largest
+    weight follows whatever the mean length is. Words move in one shuffle by range of (field, term, range).
+    """
+    laid = occurrences(docs, fields, ("range",)).repartitionByRange("field", "term", "range")
+    per = _by_document(laid, ("field", "term", "range", "doc_id"))
+    e = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl", "positions")))
+    whole = per.groupBy("field", "term", "range").agg(e.alias("e"))
+    best = F.array_sort(F.transform("e", lambda x: F.struct((-x["tf"]).alias("t"), x["dl"].alias("dl"))))
+    last = lambda acc: F.get(acc, F.size(acc) - 1)["dl"]
+    sky = F.aggregate(best, F.array().cast("array<struct<tf:int,dl:bigint>>"), lambda acc, x: F.when((F.size(acc) == 0) | (x["dl"] < last(acc)), F.concat(acc, F.array(F.struct((-x["t"]).alias("tf"), x["dl"].alias("dl"))))).otherwise(acc))
+    part = lambda k: F.transform("e", lambda x: x[k])
+    cf = F.aggregate("e", F.lit(0).cast("long"), lambda acc, x: acc + x["tf"])
+    return whole.select("field", "term", "range", F.size("e").cast("long").alias("n"), cf.alias("cf"), sky.alias("sky"), part("doc_id").alias("ids"), part("tf").alias("tfs"), part("dl").alias("dls"), part("positions").alias("positions")).sortWithinPartitions("field", "term", "range")
 
 
 def doc_lengths(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:

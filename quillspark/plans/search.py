@@ -1,7 +1,12 @@
-"""Query trees to DataFrame plans: postings filtered by term, BM25 summed by document, top k, late fetch of the winners."""
+"""Query trees to DataFrame plans: postings filtered by term, BM25 summed by document, top k, late fetch of the winners.
+
+Over a store, document frequencies come from its dictionary, and the top k of trees of single words
+leaves out the ranges of documents whose blocks can't reach it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -13,19 +18,56 @@ from quillspark.operators import index, query
 K1, B = 1.2, 0.75
 
 
+#: Ranges whose documents are scored first, for a bound that the others must reach; with fewer ranges than FEW_RANGES all are scored.
+FIRST_RANGES, FEW_RANGES = 16, 256
+#: A bound that is less than the k-th score by rounding still counts.
+ROUNDING = 1e-9
+
+
 @dataclass
 class Corpus:
-    """Documents and, derived from them or read from a store, postings, lengths and field statistics."""
+    """Documents and, derived from them or read from a store, postings (field, term, doc_id, tf, dl, positions) and field statistics.
+
+    hits: postings without positions. A store has a dictionary, terms (field, term, df, cf), and blocks, from which postings are made, too;
+    ranges (seg, range), if given, are those whose documents still count.
+    """
 
     docs: DataFrame
     postings: DataFrame
-    lengths: DataFrame
     stats: DataFrame
+    hits: DataFrame | None = None
+    terms: DataFrame | None = None
+    blocks: DataFrame | None = None
+    live: Callable[[DataFrame], DataFrame] | None = None
+    version: int | None = None
+
+    def __post_init__(self):
+        self.hits = self.postings.drop("positions") if self.hits is None else self.hits
 
     @classmethod
     def of(cls, docs: DataFrame, fields: tuple[str, ...] = query.FIELDS) -> Corpus:
         """Everything from the documents at hand. Term filters reach below the postings' aggregation."""
-        return cls(docs, index.postings(docs, fields), index.doc_lengths(docs, fields), index.field_stats(docs, fields))
+        return cls(docs, index.postings(docs, fields), index.field_stats(docs, fields))
+
+    @classmethod
+    def of_blocks(cls, docs: DataFrame, blocks: DataFrame, terms: DataFrame, stats: DataFrame, live: Callable[[DataFrame], DataFrame], version: int | None = None) -> Corpus:
+        """blocks: as operators.index makes them, with seg; live: drops rows (seg, doc_id, ...) of documents that were replaced or deleted."""
+
+        def rows(*more: str) -> DataFrame:
+            e = blocks.select("seg", "field", "term", F.explode(F.arrays_zip("ids", "tfs", "dls", *more)).alias("e"))
+            return live(e.select("seg", "field", "term", F.col("e.ids").alias("doc_id"), F.col("e.tfs").alias("tf"), F.col("e.dls").alias("dl"), *(F.col(f"e.{x}").alias(x) for x in more))).drop("seg")
+
+        return cls(docs, rows("positions"), stats, rows(), terms, blocks, live, version)
+
+    def only(self, ranges: DataFrame) -> Corpus:
+        """The same statistics, but only the documents of these ranges (seg, range)."""
+        return self.of_blocks(self.docs, self.blocks.join(ranges, ["seg", "range"], "left_semi"), self.terms, self.stats, self.live, self.version)
+
+    def frequencies(self, field: str, words: list[str]) -> dict[str, int]:
+        """Documents that hold each word; a row a word reaches the driver."""
+        wanted = lambda df: df.where((F.col("field") == field) & F.col("term").isin(words))
+        rows = wanted(self.hits).groupBy("term").agg(F.count("*").alias("df")) if self.terms is None else wanted(self.terms)
+        return {r.term: r.df for r in rows.select("term", "df").collect()}
 
 
 def _within(p, j: int, slop: int):
@@ -33,9 +75,9 @@ def _within(p, j: int, slop: int):
 
 
 def _phrase(c: Corpus, t: query.Term, f: str) -> DataFrame:
-    """(doc_id, tf) of documents that hold the words in order, each at most slop places further than next to the one before."""
+    """(doc_id, tf, dl) of documents that hold the words in order, each at most slop places further than next to the one before."""
     words = t.words
-    rows = c.postings.where((F.col("field") == f) & F.col("term").isin(list(set(words)))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    rows = c.postings.where((F.col("field") == f) & F.col("term").isin(list(set(words)))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("dl").alias("dl"))
     at = [F.coalesce(F.element_at("at", w), F.array().cast("array<int>")) for w in words]
 
     def follows(p):
@@ -43,7 +85,7 @@ def _phrase(c: Corpus, t: query.Term, f: str) -> DataFrame:
         return reduce(lambda a, b: a & b, near)
 
     hits = F.filter(at[0], lambda p: follows(p))
-    return rows.withColumn("tf", F.size(hits)).where("tf > 0").select("doc_id", "tf")
+    return rows.withColumn("tf", F.size(hits)).where("tf > 0").select("doc_id", "tf", "dl")
 
 
 def _bm25() -> Column:
@@ -55,34 +97,91 @@ def _bm25() -> Column:
 
 
 def _scored(c: Corpus, hits: DataFrame, f: str, boost: float) -> DataFrame:
-    """BM25 of (doc_id, tf), with df = the hits' number."""
+    """BM25 of (doc_id, tf, dl), with df = the hits' number."""
     st = c.stats.where(F.col("field") == f).select("n_docs", "avgdl", F.lit(float(boost)).alias("boost"))
     one = F.broadcast(st.join(F.broadcast(hits.agg(F.count("*").alias("df")))))  # one row
-    return hits.join(c.lengths.where(F.col("field") == f).select("doc_id", "dl"), "doc_id").join(one).select("doc_id", _bm25().alias("score"))
+    return hits.join(one).select("doc_id", _bm25().alias("score"))
 
 
 def _plain(tree) -> bool:
     return isinstance(tree, query.Term) and len(tree.words) <= 1
 
 
+def _asked(terms: list[query.Term]) -> list[tuple]:
+    return [(i, f, t.raw if f == "rel_path" else t.words[0], t.boost) for i, t in enumerate(terms) for f in t.fields if f == "rel_path" or t.words]
+
+
+def _wanted(asked: list[tuple]) -> Column:
+    fields = sorted({f for _, f, _, _ in asked})
+    return reduce(lambda a, b: a | b, ((F.col("field") == f) & F.col("term").isin(sorted({w for _, g, w, _ in asked if g == f})) for f in fields))
+
+
+def _facts(c: Corpus, asked: list[tuple]) -> DataFrame:
+    """(field, term, clause, boost, df, n_docs, avgdl): a row for each word asked that the index has."""
+    words = F.inline(F.array(*(F.struct(F.lit(i).alias("clause"), F.lit(f).alias("field"), F.lit(w).alias("term"), F.lit(float(x)).alias("boost")) for i, f, w, x in asked)))
+    if c.terms is None:
+        df = c.hits.where(_wanted(asked)).groupBy("field", "term").agg(F.count("*").alias("df"))
+    else:
+        df = c.terms.where(_wanted(asked)).select("field", "term", "df")
+    facts = c.docs.sparkSession.range(1).select(words).join(df, ["field", "term"])
+    return F.broadcast(facts.join(c.stats.select("field", "n_docs", "avgdl"), "field"))
+
+
 def _plain_scores(c: Corpus, terms: list[query.Term]) -> DataFrame:
-    """(doc_id, clause, score) for terms of one word, all in one pass over the postings and one over the lengths; clause is the term's place in the list."""
-    asked = [(i, f, t.raw if f == "rel_path" else t.words[0], t.boost) for i, t in enumerate(terms) for f in t.fields if f == "rel_path" or t.words]
+    """(doc_id, clause, score) for terms of one word, all in one pass over the postings; clause is the term's place in the list."""
+    asked = _asked(terms)
     if not asked:
         return c.docs.select("doc_id", F.lit(0).alias("clause"), F.lit(0.0).alias("score")).where(F.lit(False))
-    fields = sorted({f for _, f, _, _ in asked})
-    wanted = reduce(lambda a, b: a | b, ((F.col("field") == f) & F.col("term").isin(sorted({w for _, g, w, _ in asked if g == f})) for f in fields))
-    hits = c.postings.where(wanted).select("field", "term", "doc_id", "tf")
-    rows = F.inline(F.array(*(F.struct(F.lit(i).alias("clause"), F.lit(f).alias("field"), F.lit(w).alias("term"), F.lit(float(x)).alias("boost")) for i, f, w, x in asked)))
-    facts = c.docs.sparkSession.range(1).select(rows).join(hits.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
-    facts = F.broadcast(facts.join(c.stats.select("field", "n_docs", "avgdl"), "field"))  # a row for each word asked
-    lengths = c.lengths.where(F.col("field").isin(fields)).select("field", "doc_id", "dl")
-    out = hits.join(facts, ["field", "term"]).join(lengths, ["field", "doc_id"]).select("doc_id", "clause", _bm25().alias("score"))
+    hits = c.hits.where(_wanted(asked)).select("field", "term", "doc_id", "tf", "dl")
+    out = hits.join(_facts(c, asked), ["field", "term"]).select("doc_id", "clause", _bm25().alias("score"))
     if any(len(t.fields) > 1 for t in terms):
         out = out.groupBy("doc_id", "clause").agg(F.sum("score").alias("score"))
     return out
 
 
+def _leaves(tree) -> list | None:
+    """The words that add to the score of a tree of single words; None for a tree with anything else in it."""
+    if _plain(tree):
+        return [tree]
+    if not isinstance(tree, query.Bool) or any(_leaves(x) is None for x in tree.never):
+        return None
+    parts = [_leaves(x) for x in (*tree.must, *tree.should)]
+    return None if None in parts else [t for p in parts for t in p]
+
+
+def bounds(c: Corpus, terms: list[query.Term]) -> DataFrame:
+    """(seg, range, bound): what no document's score exceeds, from the blocks' best pairs of tf and dl. Reads no entries."""
+    asked = _asked(terms)
+    b = c.blocks.where(_wanted(asked)).select("seg", "range", "field", "term", "sky").join(_facts(c, asked), ["field", "term"])
+    pairs = b.select("seg", "range", "field", "clause", "term", "df", "n_docs", "avgdl", "boost", F.inline("sky"))
+    most = pairs.groupBy("seg", "range", "field", "clause", "term").agg(F.max(_bm25()).alias("w"))
+    return most.groupBy("seg", "range").agg((F.sum(F.greatest("w", F.lit(0.0))) * (1 + ROUNDING)).alias("bound"))
+
+
+def reaching(c: Corpus, tree, k: int) -> DataFrame | None:
+    """The ranges (seg, range) that the best k documents of the tree lie in, or None where all have to be scored.
+
+    A few ranges with the largest bounds are scored first; what their k-th document has, the others must be able to reach. Equal
+    scores can be reached too, so ties come out the same. At most FEW_RANGES rows and k scores reach the driver.
+    """
+    terms = _leaves(tree)
+    if c.blocks is None or not terms or not _asked(terms):
+        return None
+    per_range = bounds(c, terms)
+    best = per_range.orderBy(F.desc("bound"), "seg", "range").limit(FEW_RANGES).collect()
+    if len(best) < FEW_RANGES:
+        return None
+    first = c.docs.sparkSession.createDataFrame([(r.seg, r["range"]) for r in best[: max(FIRST_RANGES, 2 * k >> index.RANGE_BITS)]], "seg int, range long")
+    top = matches(c.only(F.broadcast(first)), tree).orderBy(F.desc("score"), "doc_id").limit(k).collect()
+    if len(top) < k:
+        return None
+    least = top[-1].score
+    if best[-1].bound < least:  # all that can reach it are at hand
+        rows = [(r.seg, r["range"]) for r in best if r.bound >= least]
+        return F.broadcast(c.docs.sparkSession.createDataFrame(rows, "seg int, range long"))
+    return per_range.where(F.col("bound") >= least).select("seg", "range")
+
+
 def _sum(parts: list[DataFrame]) -> DataFrame:
     if len(parts) == 1:
         return parts[0]
@@ -131,7 +230,9 @@ def search(c: Corpus, text: str, limit: int = 8, fields: tuple[str, ...] = query
     """The best `limit` documents, ties by doc_id; max_tokens filters after the limit."""
     if limit < 1:
         raise ValueError("limit must be 1 or more")
-    top = matches(c, query.understand(text, fields)).orderBy(F.desc("score"), "doc_id").limit(limit)
+    tree = query.understand(text, fields)
+    ranges = reaching(c, tree, limit)
+    top = matches(c if ranges is None else c.only(ranges), tree).orderBy(F.desc("score"), "doc_id").limit(limit)
     if not with_docs:
         return top
     out = F.broadcast(top).join(c.docs, "doc_id")  # `limit` rows at most

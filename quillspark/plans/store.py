@@ -1,21 +1,26 @@
-"""An index in segments on Parquet, in any folder that Spark can write to.
+"""The index on disk: segments of Parquet tables in folders, and manifests that name the ones that are read.
 
-A commit adds one segment with the tables of the changed documents, and the ids whose
-rows in older segments are dead by it; a manifest names the segments that are read. So an update
-writes in proportion to the change, and readers of an older manifest go on. Segments are
-put together when there are many, and folders that no manifest of the last two names are deleted.
+A commit writes one segment: the changed documents, their postings in blocks, a dictionary whose counts are what the
+commit adds and takes away, and the ids that it makes dead in older segments. Segments are merged by size, a tail of small ones at a time,
+so a document is written again once a size class. Readers hold a lease on the version that they opened: its
+segments stay until the lease is given back or runs out.
 """
 
 from __future__ import annotations
 
 import fcntl
 import json
+import math
 import re
+import threading
 import time
+import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
+from functools import partial, reduce
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +28,17 @@ from quillspark.functions.text import summarize
 from quillspark.operators import index, query
 from quillspark.plans.search import Corpus
 
-#: Segments that are put together to one.
-MOST_SEGMENTS = 8
+#: Segments of a size class that are merged, and the factor from class to class.
+FAN = 4
+#: Seconds that a reader's lease and a writer's lock last without being renewed.
+LEASE_SECONDS, LOCK_SECONDS = 900, 60
+#: Changed ids that are looked up by a list in the scan, and dead ones that are broadcast (some 50 MB); beyond that they are joined.
+FEW_IDS, MANY_DEAD = 1000, 500_000
+DOCS = "doc_id string, rel_path string, body string, summary string, token_estimate bigint"
 TABLES = {
-    "docs": "doc_id string, rel_path string, body string, summary string, token_estimate bigint",
-    "postings": "field string, term string, doc_id string, tf int, positions array<int>",
-    "lengths": "field string, doc_id string, dl bigint",
+    "docs": f"{DOCS}, range bigint",
+    "postings": "field string, term string, range bigint, n bigint, cf bigint, sky array<struct<tf:int,dl:bigint>>, ids array<string>, tfs array<int>, dls array<bigint>, positions array<array<int>>",
+    "terms": "field string, term string, df bigint, cf bigint",
     "dead": "doc_id string",
 }
 
@@ -41,6 +51,24 @@ class IndexBusy(RuntimeError):
     """Another writer holds the index; reading goes on."""
 
 
+def tail_to_merge(segments: list[dict]) -> int | None:
+    """The place from which on segments are merged, oldest first; None if none are due.
+
+    FAN segments of one size class at the end, with nothing larger between, become one; so do all when half of what they hold is dead.
+    """
+    sizes = [max(1, s["docs"] + s["dead"]) for s in segments]
+    if len(segments) > 1 and 2 * sum(s["dead"] for s in segments[1:]) >= max(2, sum(s["docs"] for s in segments)):
+        return 0
+    classes = [int(math.log(n, FAN) + 1e-9) for n in sizes]
+    for c in sorted({*classes}):
+        start = len(classes)
+        while start and classes[start - 1] <= c:
+            start -= 1
+        if classes[start:].count(c) >= FAN:
+            return start
+    return None
+
+
 class Folder:
     """Small files of a folder through Hadoop's file systems."""
 
@@ -73,13 +101,34 @@ class Folder:
 
     def write(self, name: str, text: str) -> None:
         """Whole or not at all: another name first."""
-        part = self.at(f".{name}.tmp")
+        part = self.at(f".{name}.{uuid.uuid4().hex[:8]}.tmp")
         stream = self.fs.create(part, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not self.fs.rename(part, self.at(name)):
+        if self.fs.exists(self.at(name)) or not self.fs.rename(part, self.at(name)) or self.read(name) != text:
             raise IndexBusy(f"{name} is there already")
 
+    def create(self, name: str, text: str) -> bool:
+        """Whether the file is new; one that is there stays as it is."""
+        try:
+            stream = self.fs.create(self.at(name), False)
+        except Py4JJavaError:
+            return False
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def put(self, name: str, text: str) -> None:
+        stream = self.fs.create(self.at(name), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def move(self, name: str, to: str) -> bool:
+        try:
+            return bool(self.fs.rename(self.at(name), self.at(to)))
+        except Py4JJavaError:
+            return False
+
     def size(self) -> int:
         return self.fs.getContentSummary(self.path).getLength()
 
@@ -87,22 +136,100 @@ class Folder:
         self.fs.delete(self.at(name), True)
 
 
+class Lock:
+    """A file that names its owner and when it runs out. The owner renews it; one that has run out is moved away by the next writer, and only one can move it."""
+
+    def __init__(self, folder: Folder, seconds: float | None = None):
+        self.folder, self.seconds, self.me, self.done = folder, LOCK_SECONDS if seconds is None else seconds, uuid.uuid4().hex, threading.Event()
+
+    def _text(self) -> str:
+        return json.dumps({"owner": self.me, "until": time.time() + self.seconds})
+
+    def holder(self) -> dict | None:
+        try:
+            return json.loads(self.folder.read("writer.lock"))
+        except (Py4JJavaError, ValueError):  # gone, or not written yet
+            return None
+
+    def acquire(self) -> None:
+        if not self.folder.create("writer.lock", self._text()):
+            held = self.holder()
+            if held is None or held["until"] > time.time():
+                raise IndexBusy("another process writes to the index")
+            if not self.folder.move("writer.lock", f"stale-{held['owner']}.lock") or not self.folder.create("writer.lock", self._text()):
+                raise IndexBusy("another process took over a lock that had run out")
+        self.check()
+        threading.Thread(target=self._renew, daemon=True).start()
+
+    def _renew(self) -> None:
+        while not self.done.wait(self.seconds / 3):
+            held = self.holder()
+            if held is not None and held["owner"] == self.me and not self.done.is_set():
+                self.folder.put("writer.lock", self._text())
+
+    def check(self) -> None:
+        held = self.holder()
+        if held is None or held["owner"] != self.me:
+            raise IndexBusy("the lock has been taken over")
+
+    def release(self) -> None:
+        self.done.set()
+        held = self.holder()
+        if held is not None and held["owner"] == self.me:
+            self.folder.drop("writer.lock")
+
+
 class Store:
     def __init__(self, spark: SparkSession, state_dir: str):
         self.spark, self.dir, self.folder = spark, str(state_dir).rstrip("/"), Folder(spark, str(state_dir))
+        self.me, self.leases, self.lock = uuid.uuid4().hex[:12], {}, None
 
     def _manifests(self) -> list[int]:
         return sorted(int(m[1]) for x in self.folder.names() if (m := re.fullmatch(r"manifest-(\d+)\.json", x)))
 
-    def manifest(self) -> dict:
+    def manifest(self, version: int | None = None) -> dict:
+        """The newest, or that of a version that is still held."""
         done = self._manifests()
-        if not done:
+        if not done or version is not None and version not in done:
             raise MissingIndex(f"index not found in {self.dir}")
-        return json.loads(self.folder.read(f"manifest-{done[-1]:08d}.json"))
+        return json.loads(self.folder.read(f"manifest-{done[-1] if version is None else version:08d}.json"))
+
+    def lease(self, version: int, seconds: float | None = None) -> None:
+        """Hold a version for so long; a store holds each version once, and renews what it holds when half of its time is over."""
+        seconds = LEASE_SECONDS if seconds is None else seconds
+        if self.leases.get(version, 0) > time.time() + seconds / 2:
+            return
+        until = time.time() + seconds
+        try:
+            self.folder.put(f"lease-{version:08d}-{self.me}.json", json.dumps({"until": until}))
+        except Py4JJavaError:  # a reader that may not write: the last two versions stay anyway
+            return
+        self.leases[version] = until
+
+    def release(self, version: int | None = None) -> None:
+        """Give back one version, or all that this store holds."""
+        for v in [version] if version is not None else list(self.leases):
+            if self.leases.pop(v, None):
+                self.folder.drop(f"lease-{v:08d}-{self.me}.json")
+
+    def _held(self) -> set[int]:
+        """Versions under a lease; those that have run out are deleted."""
+        out = set()
+        for x in self.folder.names():
+            if m := re.fullmatch(r"lease-(\d+)-\w+\.json", x):
+                try:
+                    until = json.loads(self.folder.read(x))["until"]
+                except (Py4JJavaError, ValueError):  # given back or being written
+                    until = math.inf
+                if until > time.time():
+                    out.add(int(m[1]))
+                else:
+                    self.folder.drop(x)
+        return out
 
     @contextmanager
-    def writing(self):
-        """One writer at a time: by a lock that ends with its process in a local folder, by a file that only one can create elsewhere."""
+    def writing(self) -> Iterator[None]:
+        """One writer at a time: by a lock that ends with its process in a local folder, elsewhere by a lease that its writer renews."""
         self.folder.make()
         if self.folder.local:
             with (Path(self.folder.local) / "writer.lock").open("w") as f:
@@ -112,48 +239,59 @@ class Store:
                     raise IndexBusy(f"another process writes to {self.dir}") from None
                 yield
             return
-        try:
-            self.folder.fs.create(self.folder.at("writer.lock"), False).close()
-        except Exception as e:
-            raise IndexBusy(f"another process writes to {self.dir}; if none does, delete its writer.lock") from e
+        self.lock = Lock(self.folder)
+        self.lock.acquire()
         try:
             yield
         finally:
-            self.folder.drop("writer.lock")
+            self.lock.release()
+            self.lock = None
 
     def _segment(self, docs: DataFrame, seq: int) -> str:
-        """Write the tables of a segment; docs are tokenized once they lie there."""
-        at = f"{self.dir}/seg-{seq:08d}"
-        docs.write.mode("overwrite").parquet(f"{at}/docs")
-        mine = self._read(f"seg-{seq:08d}", "docs")
-        # By document too, so that a frequent term's list is many tasks and files.
-        index.postings(mine, query.FIELDS).repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
-        index.doc_lengths(mine, query.FIELDS).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{at}/lengths")
-        return at
+        """Write documents and postings of a segment; docs are tokenized once they lie there. Returns its name, which no failed attempt shares."""
+        name = f"seg-{seq:08d}-{uuid.uuid4().hex[:8]}"
+        index.ranged(docs.select("doc_id", "rel_path", "body", "summary", "token_estimate")).write.parquet(f"{self.dir}/{name}/docs")
+        # By range of documents too, so that a frequent term's blocks are many tasks and files.
+        index.blocks(self._read(name, "docs"), query.FIELDS).write.partitionBy("field").parquet(f"{self.dir}/{name}/postings")
+        return name
+
+    def _dictionary(self, name: str, others: list[DataFrame]) -> dict[str, int]:
+        """Write what the segment's postings and `others` (field, term, df, cf) come to, and return the sums of cf by field."""
+        own = self._read(name, "postings").groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+        rows = own
+        if others:
+            rows = reduce(DataFrame.unionByName, [own, *others]).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 or cf <> 0")
+        self._put_terms(name, rows)
+        return {r.field: r.cf for r in self._read(name, "terms").groupBy("field").agg(F.sum("cf").alias("cf")).collect()}  # a row a field
+
+    def _put_terms(self, name: str, rows: DataFrame) -> None:
+        rows.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{self.dir}/{name}/terms")
 
     def _commit(self, seq: int, segments: list[dict], stats: dict, marks: dict) -> dict:
+        if self.lock:
+            self.lock.check()
         old = self._manifests()
-        m = {"version": seq, "segments": segments, "stats": stats, "num_docs": stats.get("rel_path", [0, 0])[0], "marks": marks, "commit_ms": int(time.time() * 1000)}
+        m = {"version": seq, "segments": segments, "stats": stats, "num_docs": sum(s["docs"] for s in segments) - sum(s["dead"] for s in segments), "marks": marks, "commit_ms": int(time.time() * 1000), "writer": self.me}
         self.folder.write(f"manifest-{seq:08d}.json", json.dumps(m))
-        before = json.loads(self.folder.read(f"manifest-{old[-1]:08d}.json")) if old else {"segments": []}
-        held = {s["name"] for s in (*segments, *before["segments"])}
+        stay = {seq, *old[-1:], *(self._held() & {*old})}
+        named = {s["name"] for s in segments}
+        for v in stay - {seq}:
+            named |= {s["name"] for s in json.loads(self.folder.read(f"manifest-{v:08d}.json"))["segments"]}
+        for v in old:
+            if v not in stay:
+                self.folder.drop(f"manifest-{v:08d}.json")
         for name in self.folder.names():
-            if name.startswith("seg-") and name not in held:
+            if name.startswith("seg-") and name not in named or name.startswith("stale-"):
                 self.folder.drop(name)
-        for v in old[:-1]:
-            self.folder.drop(f"manifest-{v:08d}.json")
         return m
 
-    @staticmethod
-    def _sums(lengths: DataFrame) -> dict[str, list[int]]:
-        return {r.field: [r.n, r.total] for r in lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()}  # a row for each field
-
     def write(self, docs: DataFrame, marks: dict | None = None) -> dict:
         """A new index of docs (doc_id, rel_path, body, summary, token_estimate)."""
         with self.writing():
             seq = (self._manifests() or [0])[-1] + 1
-            at = self._segment(docs, seq)
-            return self._commit(seq, [{"name": f"seg-{seq:08d}", "seq": seq, "dead": False}], self._sums(self._read(f"seg-{seq:08d}", "lengths")), marks or {})
+            name = self._segment(docs, seq)
+            totals, n = self._dictionary(name, []), self._read(name, "docs").count()
+            return self._commit(seq, [{"name": name, "seq": seq, "docs": n, "dead": 0}], {f: [n, totals.get(f, 0)] for f in query.FIELDS}, marks or {})
 
     def reindex(self, files: DataFrame) -> dict:
         return self.write(index.docs_table(files, summarize("body")))
@@ -163,53 +301,86 @@ class Store:
         gone = self.spark.createDataFrame([(d,) for d in deleted], "doc_id string") if deleted else None
         return self.change(None if files is None else index.docs_table(files, summarize("body")), gone, marks)
 
+    def _replaced(self, m: dict, ids: DataFrame) -> DataFrame:
+        """Live documents with one of the ids: a list in the scan for few, a join within their bounds else. Tables lie in the order of doc_id, so files and pages beside them aren't read."""
+        n, low, high = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+        if n <= FEW_IDS:
+            among = [r.doc_id for r in ids.collect()]
+            return self._open(m, "docs", lambda df: df.where(F.col("doc_id").isin(among)))
+        return self._open(m, "docs", lambda df: df.where(F.col("doc_id").between(low, high))).join(ids, "doc_id", "left_semi")
+
     def change(self, docs: DataFrame | None, gone: DataFrame | None, marks: dict | None = None) -> dict:
-        """docs replace those of equal ids, ids of `gone` go: one segment with them and the ids that are dead in older ones. One row a doc_id is expected."""
+        """docs replace those of equal ids, ids of `gone` go: one segment with them and the ids that are dead in older ones. One row a doc_id is expected.
+
+        Of the older segments only the documents that change are read; what they counted for is taken off in the new segment's dictionary.
+        """
         with self.writing():
             m = self.manifest()
-            seq, name = m["version"] + 1, f"seg-{m['version'] + 1:08d}"
-            docs = self._open(m, "docs").limit(0) if docs is None else docs
-            at = self._segment(docs, seq)
-            ids = self._read(name, "docs").select("doc_id")
-            (ids if gone is None else ids.unionByName(gone.select("doc_id"))).distinct().write.mode("overwrite").parquet(f"{at}/dead")
-            dead = self._read(name, "dead")
-            less, more = self._sums(self._open(m, "lengths").join(dead, "doc_id", "left_semi")), self._sums(self._read(f"seg-{seq:08d}", "lengths"))
-            stats = {f: [m["stats"].get(f, [0, 0])[i] - less.get(f, [0, 0])[i] + more.get(f, [0, 0])[i] for i in (0, 1)] for f in {*m["stats"], *more}}
-            segments = [*m["segments"], {"name": name, "seq": seq, "dead": True}]
-            marks = {**m.get("marks", {}), **(marks or {})}
-            out = self._commit(seq, segments, stats, marks)
-            if len(segments) >= MOST_SEGMENTS:
-                out = self._together(out)
+            seq = m["version"] + 1
+            name = self._segment(self.spark.createDataFrame([], DOCS) if docs is None else docs, seq)
+            own = self._read(name, "docs").select("doc_id")
+            self._write_ids(name, "changed", own if gone is None else own.unionByName(gone.select("doc_id")).distinct())
+            old = self._replaced(m, self.spark.read.schema(TABLES["dead"]).parquet(f"{self.dir}/{name}/changed"))
+            self._write_ids(name, "dead", old.select("doc_id"))
+            less = index.term_stats(old, query.FIELDS).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+            n, dead = own.count(), self._read(name, "dead").count()
+            totals = self._dictionary(name, [less] if dead else [])
+            stats = {f: [m["stats"].get(f, [0, 0])[0] + n - dead, m["stats"].get(f, [0, 0])[1] + totals.get(f, 0)] for f in query.FIELDS}
+            segments = [*m["segments"], {"name": name, "seq": seq, "docs": n, "dead": dead}]
+            out = self._commit(seq, segments, stats, {**m.get("marks", {}), **(marks or {})})
+            while (start := tail_to_merge(out["segments"])) is not None:
+                out = self._merge(out, start)
             return out
 
-    def _together(self, m: dict) -> dict:
-        """One segment of what is live; nothing is tokenized again."""
-        seq = m["version"] + 1
-        at = f"{self.dir}/seg-{seq:08d}"
-        self._open(m, "docs").write.mode("overwrite").parquet(f"{at}/docs")
-        self._open(m, "postings").repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
-        self._open(m, "lengths").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{at}/lengths")
-        return self._commit(seq, [{"name": f"seg-{seq:08d}", "seq": seq, "dead": False}], m["stats"], m.get("marks", {}))
+    def _write_ids(self, name: str, what: str, ids: DataFrame) -> None:
+        ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{self.dir}/{name}/{what}")
+
+    def _merge(self, m: dict, start: int) -> dict:
+        """One segment of the live documents of those from `start` on, with all that they made dead in older ones."""
+        seq, tail = m["version"] + 1, m["segments"][start:]
+        name = self._segment(self._open({**m, "segments": tail}, "docs"), seq)
+        n, dead = self._read(name, "docs").count(), 0
+        if start:
+            ids = reduce(DataFrame.unionByName, [self._read(s["name"], "dead") for s in tail if s["dead"]] or [self.spark.createDataFrame([], "doc_id string")]).distinct()
+            older = self._replaced({**m, "segments": m["segments"][:start]}, ids)
+            self._write_ids(name, "dead", older.select("doc_id"))
+            dead = self._read(name, "dead").count()
+            rows = reduce(DataFrame.unionByName, [self._read(s["name"], "terms") for s in tail])
+            self._put_terms(name, rows.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 or cf <> 0"))
+        else:
+            self._dictionary(name, [])
+        return self._commit(seq, [*m["segments"][:start], {"name": name, "seq": seq, "docs": n, "dead": dead}], m["stats"], m.get("marks", {}))
 
     def _read(self, segment: str, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.dir}/{segment}/{name}")
 
-    def _open(self, m: dict, name: str) -> DataFrame:
-        """A table's live rows: those whose id no later segment names as dead. Filters reach each segment's files."""
-        read = lambda s, x: self._read(s["name"], x)
-        parts = [read(s, name).withColumn("seg", F.lit(s["seq"])) for s in m["segments"]]
-        rows = reduce(DataFrame.unionByName, parts)
-        dead = [read(s, "dead").select(F.col("doc_id").alias("dead_id"), F.lit(s["seq"]).alias("dead_at")) for s in m["segments"] if s["dead"]]
-        if dead:
-            last = reduce(DataFrame.unionByName, dead).groupBy("dead_id").agg(F.max("dead_at").alias("dead_at"))
-            rows = rows.join(last, (F.col("doc_id") == F.col("dead_id")) & (F.col("seg") < F.col("dead_at")), "left_anti")
-        return rows.drop("seg")
-
-    def corpus(self) -> Corpus:
-        m = self.manifest()
+    def _rows(self, m: dict, name: str, within=lambda df: df) -> DataFrame:
+        return reduce(DataFrame.unionByName, [within(self._read(s["name"], name)).withColumn("seg", F.lit(s["seq"]).cast("int")) for s in m["segments"]])
+
+    def _live(self, m: dict, rows: DataFrame) -> DataFrame:
+        """rows (seg, doc_id, ...) without those whose id a later segment names as dead."""
+        dead = [self._read(s["name"], "dead").select(F.col("doc_id").alias("dead_id"), F.lit(s["seq"]).cast("int").alias("dead_at")) for s in m["segments"] if s["dead"]]
+        if not dead:
+            return rows
+        last = reduce(DataFrame.unionByName, dead).groupBy("dead_id").agg(F.max("dead_at").alias("dead_at"))
+        last = F.broadcast(last) if sum(s["dead"] for s in m["segments"]) <= MANY_DEAD else last
+        return rows.join(last, (F.col("doc_id") == F.col("dead_id")) & (F.col("seg") < F.col("dead_at")), "left_anti")
+
+    def _open(self, m: dict, name: str, within=lambda df: df) -> DataFrame:
+        """A table's live rows. Filters reach each segment's files."""
+        return self._live(m, self._rows(m, name, within)).drop("seg", "range")
+
+    def corpus(self, version: int | None = None, seconds: float | None = None) -> Corpus:
+        """What is searched: the newest version, or an older one that is held. It is leased for `seconds`; release(corpus.version) gives it back."""
+        for _ in range(3):
+            m = self.manifest(version)
+            self.lease(m["version"], seconds)
+            if m["version"] in self._manifests():
+                break  # else it went before the lease was there
         rows = [(f, n, t, t / n if n else None) for f, (n, t) in sorted(m["stats"].items())]
         stats = self.spark.createDataFrame(rows, "field string, n_docs long, total_tokens long, avgdl double")
-        return Corpus(*(self._open(m, x) for x in ("docs", "postings", "lengths")), stats)
+        terms = self._rows(m, "terms").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+        return Corpus.of_blocks(self._open(m, "docs"), self._rows(m, "postings"), terms, stats, partial(self._live, m), m["version"])
 
     def stats(self) -> dict:
         m = self.manifest()

@@ -1,4 +1,5 @@
 import json
+import math
 import time
 
 import pytest
@@ -8,6 +9,8 @@ from quillspark.api import Engine
 from quillspark.functions import text as X
 from quillspark.operators import query as Q
 from quillspark.operators.audit import AuditLog
+from quillspark.plans import search as SEARCH
+from quillspark.plans import store as S
 from quillspark.plans.search import Corpus, matches
 from quillspark.plans.store import IndexBusy
 from quillspark.sources.config import Config, normalize_prefix
@@ -168,32 +171,134 @@ def test_links_out_of_the_root(spark, repo, tmp_path_factory):
     assert found["meta"]["repo_root"] == str(repo) and found["meta"]["index_last_updated_epoch_ms"] <= found["meta"]["generated_at_epoch_ms"]
 
 
-def test_segments(spark, tmp_path):
-    """Updates write small segments; what is searched is as if all had been indexed at once; many are put together; old folders go."""
+def files_of(spark, d):
+    return spark.createDataFrame([(k, bytearray(v.encode())) for k, v in d.items()], "rel_path string, content binary")
+
+
+def same_answers(spark, store, now, queries=("word1", "shared fresh1", '"shared text"', "-word1 +shared", "*", "rel_path:[1 TO 2]")):
     from quillspark.functions.text import summarize
     from quillspark.operators import index
-    from quillspark.plans import store as S
 
+    whole, c = Corpus.of(index.docs_table(files_of(spark, now), summarize("body"))), store.corpus()
+    for q in queries:
+        a, b = ({r.doc_id: round(r.score, 9) for r in matches(x, Q.understand(q)).collect()} for x in (c, whole))
+        assert a == b, q
+    assert c.frequencies("body", ["shared", "text", "absent"]) == whole.frequencies("body", ["shared", "text", "absent"])
+    store.release()
+
+
+def test_segments(spark, tmp_path):
+    """Updates write small segments; what is searched is as if all had been indexed at once; small ones are merged, large ones stay; old folders go."""
     s = S.Store(spark, str(tmp_path / "s"))
     with pytest.raises(S.MissingIndex):
         s.manifest()
-    files = lambda d: spark.createDataFrame([(k, bytearray(v.encode())) for k, v in d.items()], "rel_path string, content binary")
-    now = {f"{i}.md": f"word{i % 3} shared text {i}" for i in range(30)}
-    s.reindex(files(now))
-    for k in range(S.MOST_SEGMENTS + 2):
-        more, gone = {f"{k}.md": f"fresh{k} shared", f"n{k}.md": "word1 new"}, [f"{20 + k}.md", "absent.md"]
-        s.update(files(more), gone)
+    now = {f"{i:02}.md": f"word{i % 3} shared text {i}" for i in range(40)}
+    base = s.reindex(files_of(spark, now))["segments"][0]["name"]
+    for k in range(5):
+        more, gone = {f"{k:02}.md": f"fresh{k} shared", f"n{k}.md": "word1 new"}, [f"{20 + k}.md", "absent.md"]
+        s.update(files_of(spark, more), gone)
         now = {p: t for p, t in (now | more).items() if p not in gone}
         m = s.manifest()
-        assert len(m["segments"]) <= S.MOST_SEGMENTS and m["num_docs"] == len(now) == s.stats()["num_docs"]
-        if k in (2, S.MOST_SEGMENTS + 1):
-            whole = Corpus.of(index.docs_table(files(now), summarize("body")))
-            for q in ("word1", "shared fresh1", '"shared text"', "-word1 +shared", "*"):
-                a, b = ({r.doc_id: round(r.score, 9) for r in matches(c, Q.understand(q)).collect()} for c in (s.corpus(), whole))
-                assert a == b, (k, q)
+        assert m["num_docs"] == len(now) == s.stats()["num_docs"] and m["segments"][0]["name"] == base
+        if k in (1, 4):
+            same_answers(spark, s, now)
+    assert len(m["segments"]) <= 3  # four of the small ones are one
     named = {x["name"] for x in m["segments"]}
-    assert named <= set(s.folder.names()) and len([x for x in s.folder.names() if x.startswith("seg-")]) <= S.MOST_SEGMENTS + 1
-    assert s.update(None, ["0.md"])["num_docs"] == len(now) - 1
+    assert named <= set(s.folder.names())
+    assert s.update(None, ["00.md"])["num_docs"] == len(now) - 1
+    now.pop("00.md")
+    s.update(files_of(spark, {p: "all shared anew" for p in now}), [])
+    same_answers(spark, s, {p: "all shared anew" for p in now})
+    assert len(s.manifest()["segments"]) == 1  # more than half was dead
+
+
+def test_a_change_reads_and_writes_what_it_changes(spark, tmp_path):
+    """200 updates of a file write each document a few times, by the classes of sizes."""
+    segments, written = [{"docs": 100_000, "dead": 0}], 0
+    for k in range(200):
+        segments.append({"docs": 1, "dead": k % 2})
+        while (start := S.tail_to_merge(segments)) is not None:
+            tail = segments[start:]
+            docs = sum(x["docs"] for x in tail)
+            segments[start:] = [{"docs": docs, "dead": sum(x["dead"] for x in tail)}]
+            written += docs
+    assert segments[0] == {"docs": 100_000, "dead": 0} and len(segments) < 20 and written <= 200 * (math.log(300, S.FAN) + 1)
+    s = S.Store(spark, str(tmp_path / "s"))
+    s.write(spark.range(20_000).selectExpr("cast(id as string) doc_id", "cast(id as string) rel_path", "concat('some text of ', id, ' ', repeat('word ', 20)) body", "'' summary", "1L token_estimate"))
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / "s" / name).rglob("*.parquet"))
+    m = s.update(files_of(spark, {"17": "another"}), ["18"])
+    old, new = m["segments"]
+    assert new["docs"] == 1 and new["dead"] == 2 and size(new["name"]) < 20_000 < 10 * size(old["name"]) and m["stats"]["body"] == [19_999, 20_000 * 24 - 2 * 24 + 1]
+
+
+def test_an_open_search_outlives_commits(spark, tmp_path):
+    s, writer = (S.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    writer.reindex(files_of(spark, {"a.md": "old words", "b.md": "more words"}))
+    c = s.corpus(seconds=300)
+    for k in range(4):
+        writer.update(files_of(spark, {"a.md": f"new{k}"}))
+    assert sorted(r.doc_id for r in matches(c, Q.understand("words")).collect()) == ["a.md", "b.md"]
+    assert sorted(r.doc_id for r in matches(s.corpus(c.version), Q.understand("old")).collect()) == ["a.md"]
+    kept = lambda: {x for x in s.folder.names() if x.startswith(("seg-", "lease-"))}
+    before = kept()
+    s.release()
+    writer.update(files_of(spark, {"c.md": "x"}))
+    writer.update(files_of(spark, {"c.md": "y"}))
+    assert len(kept()) < len(before) and not [x for x in kept() if x.startswith("lease-")]
+    with pytest.raises(S.MissingIndex):
+        s.corpus(c.version)
+    gone = S.Store(spark, str(tmp_path / "s"))
+    held = gone.corpus(seconds=0.01).version  # a reader that died
+    time.sleep(0.05)
+    for k in range(2):
+        writer.update(files_of(spark, {"d.md": f"{k}"}))
+    assert held not in writer._manifests() and not [x for x in kept() if x.startswith("lease-")]
+
+
+def test_a_lock_that_runs_out_is_taken_over(spark, tmp_path, monkeypatch):
+    """As outside a local folder: the writer renews its lock, a dead one's is moved away, and who lost it commits nothing."""
+    s, other = (S.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    s.folder.local = other.folder.local = None
+    s.reindex(files_of(spark, {"a.md": "one"}))
+    monkeypatch.setattr(S, "LOCK_SECONDS", 0.6)
+    with s.writing():
+        time.sleep(1)  # renewed
+        with pytest.raises(IndexBusy):
+            other.update(files_of(spark, {"b.md": "two"}))
+    dead = S.Lock(other.folder, 0.2)
+    dead.done.set()  # it renews nothing
+    dead.acquire()
+    with pytest.raises(IndexBusy):
+        s.update(None, ["a.md"])
+    time.sleep(0.3)
+    assert s.update(files_of(spark, {"b.md": "two"}))["num_docs"] == 2
+    with pytest.raises(IndexBusy):
+        dead.check()
+    with s.writing():
+        other.folder.put("writer.lock", json.dumps({"owner": "another", "until": 0}))
+        with pytest.raises(IndexBusy):
+            s._commit(99, [], {}, {})
+    assert 99 not in s._manifests()
+
+
+def test_ranges_that_cannot_reach_the_top_are_left_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SEARCH, "FEW_RANGES", 20)
+    s = S.Store(spark, str(tmp_path / "s"))
+    body = "concat('common ', case when id % 997 = 3 then 'common common rare' when id % 50 = 0 then 'common other ' else repeat('filler ', 5 + cast(id % 7 as int)) end, ' w', id % 11)"
+    docs = spark.range(6000).selectExpr("lpad(id, 5, '0') doc_id", "lpad(id, 5, '0') rel_path", f"{body} body", "'' summary", "1L token_estimate")
+    s.write(docs)
+    s.change(docs.where("doc_id in ('00003', '01000')").withColumn("body", F.lit("filler")), None)
+    c = s.corpus()
+    assert c.blocks.where("field = 'body' and term = 'common'").agg(F.max("n")).first()[0] == 128
+    for q, k in (("common", 5), ("common rare", 5), ("+common other^3", 10), ("common -rare", 9), ("(common OR w3) AND w5", 4)):
+        tree = Q.understand(q, ("body",))
+        ranges = SEARCH.reaching(c, tree, k)
+        few = matches(c if ranges is None else c.only(ranges), tree).orderBy(F.desc("score"), "doc_id").limit(k).collect()
+        assert few == matches(c, tree).orderBy(F.desc("score"), "doc_id").limit(k).collect() and len(few) == k, q
+        if q in ("common", "common rare"):  # what is scored falls
+            assert c.only(ranges).hits.where("field = 'body' and term = 'common'").count() < 1500
+    assert SEARCH.reaching(c, Q.understand('"common other"'), 3) is None and SEARCH.reaching(c, Q.understand("absent"), 3) is None
+    assert {(r.term, r.df, r.cf) for r in c.terms.where("field = 'body' and term in ('rare', 'other')").collect()} == {("rare", 5, 5), ("other", 119, 119)}
 
 
 def test_live_index(spark, repo, tmp_path_factory):
