@@ -26,7 +26,7 @@ from quillspark.llm.common import prepare, raw_texts, save, table
 
 BUCKETS, WIDTH, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Bytes of text that a task counts at once (a longer text is a block by itself), and that a shard stands for.
-BLOCK_BYTES, SHARD_BYTES = 12 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 12 << 20, 8 << 20
 #: Strings that are Python objects at once.
 AT_ONCE = 100_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +77,7 @@ class Block:
             to = ((key ^ (key >> np.uint64(32))) * MULT >> np.uint64(33)).astype(np.int64) % n
             order = np.argsort(to, kind="stable")
             counts, strings, ends = np.bincount(run, minlength=len(strings))[order], strings.take(pa.array(order)), np.searchsorted(to[order], np.arange(n + 1))
+            del order, to, key, run
             for shard in np.flatnonzero(np.diff(ends)).tolist():
                 own = slice(ends[shard], ends[shard + 1])
                 yield shard, packed(strings[own], counts[own])
@@ -108,7 +109,7 @@ def crcs(strings: pa.Array) -> np.ndarray:
 def packed(strings: pa.Array, counts: np.ndarray) -> bytes:
     """Counts by planes of bytes, most of which are zeros, and the strings."""
     planes = counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return struct.pack("<q", len(counts)) + zstandard.ZstdCompressor(level=3).compress(planes + raw(strings))
+    return struct.pack("<q", len(counts)) + zstandard.ZstdCompressor(level=5).compress(planes + raw(strings))
 
 
 def unpacked(blob: bytes) -> tuple[pa.Array, np.ndarray]:
@@ -145,6 +146,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raws in blocks(batches, BLOCK_BYTES):
             for shard, blob in Block(raws).shards(n):
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
@@ -154,6 +156,8 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         for s, c in zip(counted["s"].chunks, counted["n_sum"].chunks):
             np.add.at(held, crcs(s) % BUCKETS, c.to_numpy())
         some = np.flatnonzero(held)
+        del parts, counted
+        pa.default_memory_pool().release_unused()
         return pa.table({"bucket": some, "n": held[some]})
 
     dealt = texts.select("text").mapInArrow(deal, "shard long, blob binary")
@@ -177,6 +181,7 @@ def weighed(docs: DataFrame, gain: np.ndarray) -> DataFrame:
             block = Block(raws)
             n, weight = block.sums(gain)
             ids = pa.concat_arrays([b.column(0) for b in held])
+            pa.default_memory_pool().release_unused()
             for k in range(0, len(ids), 10_000):
                 s = slice(k, k + 10_000)
                 yield pa.RecordBatch.from_arrays([ids[s], *map(pa.array, (block.sizes[s], n[s], weight[s]))], names=["doc_id", "n_words", "n_features", "weight"])
