@@ -75,7 +75,7 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: Fraction
     keep = often[code] > 1
     owner, code = owner[keep], code[keep]
     rows, cols = (len(a), len(a)) if b is None else (len(a), len(b))
-    both = np.zeros((rows, cols), np.float32)
+    both = np.zeros((rows, cols), np.int32)
     order = np.argsort(code, kind="stable")  # owners of a shingle stay in ascending order
     owner, code = owner[order], code[order]
     _, first, often = np.unique(code, return_index=True, return_counts=True)
@@ -101,7 +101,7 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: Fraction
         lo, hi = np.searchsorted(code, (s, s + width))
         m = np.zeros((len(sets), width), np.float32)
         m[owner[lo:hi], code[lo:hi] - s] = 1
-        both += m[:rows] @ (m if b is None else m[rows:]).T
+        both += (m[:rows] @ (m if b is None else m[rows:]).T).astype(np.int32)  # exact: a slice has less than 2 ** 24 columns
     num, den = similarity.numerator, similarity.denominator
     out = np.empty((rows, cols), bool)
     right = n if b is None else n[rows:]
