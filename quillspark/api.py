@@ -19,7 +19,7 @@ from quillspark.operators.snippets import best_fragments, preview, preview_lines
 from quillspark.plans.search import Corpus, matches, search
 from quillspark.plans.store import MissingIndex, Store
 from quillspark.sources import config as C
-from quillspark.sources.tree import changes, scan
+from quillspark.sources.tree import changes, contents, scan
 from quillspark.streaming.upserts import keep_fresh
 
 
@@ -54,9 +54,9 @@ class Engine:
             return self.index()
         found = [p for p in map(C.normalize_rel, paths) if p and self.config.wanted(p)]
         inside = {p: self._inside(p) for p in found}
-        rows = [(p, bytearray(at.read_bytes())) for p, at in inside.items() if at is not None and at.is_file()]
+        rows = [(p,) for p, at in inside.items() if at is not None and at.is_file()]
         gone = [p for p in found if not os.path.lexists(self.root / p)]
-        files = self.spark.createDataFrame(rows, "rel_path string, content binary") if rows else None
+        files = contents(self.spark.createDataFrame(rows, "rel_path string"), str(self.root)).where("content is not null") if rows else None
         return self.store.update(files, gone)
 
     def _inside(self, rel: str) -> Path | None:
@@ -134,8 +134,10 @@ class Engine:
 
     def files(self, limit: int = C.FILES_DEFAULT, offset: int = 0) -> dict:
         limit, offset = max(1, min(C.FILES_MOST, limit)), max(0, min(C.OFFSET_MOST, offset))
-        docs = self.store.corpus().docs.select("doc_id", "rel_path", "summary", "token_estimate")
-        return {"results": [r.asDict() for r in docs.orderBy("doc_id").offset(offset).limit(limit).collect()], "total": docs.count(), "limit": limit, "offset": offset}
+        c = self.store.corpus()
+        docs = c.docs.select("doc_id", "rel_path", "summary", "token_estimate")
+        page = [r.asDict() for r in docs.orderBy("doc_id").offset(offset).limit(limit).collect()]
+        return {"results": page, "total": self.store.manifest(c.version)["num_docs"], "limit": limit, "offset": offset, "repo_root": str(self.root)}
 
     def open(self, path: str, start: int | None = None, end: int | None = None) -> dict:
         rel = C.normalize_rel(path)

@@ -10,7 +10,7 @@ from quillspark.functions.text import SNIPPET_CHARS, condense, condense_cuts, li
 from quillspark.sources.config import PREVIEW_LINES, WINDOW_LEAST, WINDOW_MOST
 
 SPLIT = r"[\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+"
-WORD = r"^[\p{IsAlphabetic}\p{N}]"
+NO_WORD_ENDS = r"[^\p{IsAlphabetic}\p{N}]+$"
 
 
 def window_lines(asked: int) -> int:
@@ -33,30 +33,29 @@ def preview_lines(body: Column, n: int = PREVIEW_LINES) -> Column:
 
 
 def fragments(docs: DataFrame, most: int = SNIPPET_CHARS) -> DataFrame:
-    """(doc_id, frag, place, run): the runs of words and of what is between, dealt greedily into stretches of at most `most` bytes that begin with a word."""
+    """(doc_id, frag, text), a row a stretch: the runs of words and of what is between, dealt greedily into stretches of at most `most` bytes that begin with a word."""
     runs = F.regexp_extract_all(F.col("body"), F.lit(SPLIT), F.lit(0))
 
-    @F.pandas_udf("array<int>")
-    def numbers(all_runs: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<string>")
+    def stretches(all_runs: pd.Series) -> pd.Series:
         import regex
 
         word = regex.compile(r"[\p{Alphabetic}\p{N}]")
 
         def deal(own):
-            used, frag, out = 0, 0, []
+            used, held, out = 0, [], []
             for run in own if own is not None else ():
                 n = len(run.encode())
                 if used and used + n > most and word.match(run):
-                    frag, used = frag + 1, n
-                else:
-                    used += n
-                out.append(frag)
-            return out
+                    out.append("".join(held))
+                    used, held = 0, []
+                used += n
+                held.append(run)
+            return [*out, "".join(held)] if held else out
 
         return all_runs.map(deal)
 
-    of = numbers(runs)
-    return docs.select("doc_id", F.posexplode(F.arrays_zip(runs.alias("run"), of.alias("frag"))).alias("place", "x")).select("doc_id", F.col("x.frag").alias("frag"), "place", F.col("x.run").alias("run"))
+    return docs.select("doc_id", F.posexplode(stretches(runs)).alias("frag", "text"))
 
 
 def escape(s: Column) -> Column:
@@ -67,16 +66,12 @@ def escape(s: Column) -> Column:
 
 def best_fragments(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     """(doc_id, snippet, html) of few documents (the winners of a search): the stretch with the largest sum of 1 / (1 + df) over `terms` (term -> df), the earliest on ties; none without a term."""
-    weight = F.coalesce(F.create_map(*[x for t, df in terms.items() for x in (F.lit(t), F.lit(1.0 / (1 + df)))])[F.lower("run")], F.lit(0.0))
-    runs = fragments(docs).withColumn("w", weight)
-    marked = F.when(F.col("w") > 0, F.concat(F.lit("<b>"), escape(F.col("run")), F.lit("</b>"))).otherwise(escape(F.col("run")))
-    def text(c: Column) -> Column:
-        """The stretch up to its last word."""
-        all_ = F.array_sort(F.collect_list(F.struct("place", c.alias("t"), F.col("run").rlike(WORD).alias("word"))))
-        upto = F.when(F.element_at(all_, -1)["word"], all_).otherwise(F.slice(all_, 1, F.size(all_) - 1))
-        return F.array_join(F.transform(upto, lambda x: x["t"]), "")
-
-    per = runs.groupBy("doc_id", "frag").agg(F.sum("w").alias("score"), text(F.col("run")).alias("snippet"), text(marked).alias("html")).where("score > 0")
-    best = per.groupBy("doc_id").agg(F.max_by(F.struct("snippet", "html"), F.struct("score", -F.col("frag"))).alias("b"))
+    weights = F.create_map(*[x for t, df in terms.items() for x in (F.lit(t), F.lit(1.0 / (1 + df)))])
+    weight = lambda run: F.coalesce(F.try_element_at(weights, F.lower(run)), F.lit(0.0))
+    runs = F.regexp_extract_all("text", F.lit(SPLIT), F.lit(0))
+    score = F.round(F.aggregate(runs, F.lit(0.0), lambda acc, run: acc + weight(run)), 12)
+    best = fragments(docs).withColumn("score", score).where("score > 0").groupBy("doc_id").agg(F.max_by("text", F.struct("score", -F.col("frag"))).alias("text"))
+    best = best.withColumn("text", F.regexp_replace("text", NO_WORD_ENDS, ""))  # up to its last word
+    marked = F.array_join(F.transform(runs, lambda run: F.when(weight(run) > 0, F.concat(F.lit("<b>"), escape(run), F.lit("</b>"))).otherwise(escape(run))), "")
     trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    return best.select("doc_id", trimmed("b.snippet").alias("snippet"), trimmed("b.html").alias("html"))
+    return best.select("doc_id", trimmed(F.col("text")).alias("snippet"), trimmed(marked).alias("html"))

@@ -17,6 +17,7 @@ from quillspark.functions import text as X
 from quillspark.operators import index, query
 from quillspark.operators.audit import verify
 from quillspark.operators.snippets import best_fragments, preview
+from quillspark.plans.percolate import percolate, trees
 from quillspark.plans.search import Corpus, matches, search
 from quillspark.plans.store import Store
 from quillspark.sources.config import Config
@@ -340,15 +341,44 @@ def audit_verify(spark, d):
     return verify(h, "user_id", "event_id", F.col("event_id").cast("string")).select("event_id", "linked")
 
 
-@register()
+ESCAPED = "replace(replace(replace(replace(run, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@register(rf"""WITH RECURSIVE {TOKENS}, s AS ({summed(bm25(tf('license')), bm25(tf('token')))}), best AS (SELECT doc_id FROM s ORDER BY score DESC, doc_id LIMIT 20),
+w AS (SELECT term, 1.0::DOUBLE / (1 + count(DISTINCT doc_id)) AS weight FROM occ WHERE term IN ('license', 'token') GROUP BY term),
+runs AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS run FROM (SELECT doc_id, regexp_extract_all(body, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS l FROM docs JOIN best USING (doc_id))),
+r AS (SELECT doc_id, k, run, octet_length(encode(run)) AS n, regexp_matches(run, '^[\p{{L}}\p{{N}}]') AS word, coalesce(weight, 0.0::DOUBLE) AS weight FROM runs LEFT JOIN w ON term = lower(run)),
+deal AS (SELECT doc_id, k, CAST(0 AS BIGINT) AS frag, n AS used FROM r WHERE k = 1
+UNION ALL SELECT r.doc_id, r.k, CASE WHEN d.used + r.n > {X.SNIPPET_CHARS} AND r.word THEN d.frag + 1 ELSE d.frag END, CASE WHEN d.used + r.n > {X.SNIPPET_CHARS} AND r.word THEN r.n ELSE d.used + r.n END FROM deal d JOIN r ON r.doc_id = d.doc_id AND r.k = d.k + 1),
+per AS (SELECT doc_id, frag, round(sum(weight), 12) AS score, max(k) FILTER (WHERE word) AS upto FROM deal JOIN r USING (doc_id, k) GROUP BY doc_id, frag),
+pick AS (SELECT doc_id, frag, upto FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, frag) AS place FROM per WHERE score > 0) WHERE place = 1)
+SELECT doc_id, regexp_replace(string_agg(run, '' ORDER BY k), '^\s+', '') AS snippet, regexp_replace(string_agg(CASE WHEN weight > 0 THEN '<b>' || {ESCAPED} || '</b>' ELSE {ESCAPED} END, '' ORDER BY k), '^\s+', '') AS html
+FROM deal JOIN r USING (doc_id, k) JOIN pick USING (doc_id, frag) WHERE k <= upto GROUP BY doc_id""")
 def snippet_best_fragment(spark, d):
     c = corpus(spark, d)
     hits = search(c, "license token", 20, ("body",))
     words = ["license", "token"]
-    df = {r.term: r.n for r in c.postings.where(F.col("term").isin(words)).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    df = c.frequencies("body", words)
     return best_fragments(hits.select("doc_id", "body"), {w: df.get(w, 0) for w in words})
 
 
+RULES = r"""rule AS (SELECT item_id || '/' || i AS query, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c, l[i + 4] AS d, l[i + 5] AS e FROM (SELECT item_id, l, unnest(range(1, len(l) - 4)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS l FROM benchmark)))"""
+
+
+@register(f"""WITH {TOKENS}, {RULES}, has AS (SELECT DISTINCT doc_id, term FROM occ),
+pair AS (SELECT DISTINCT query, x.doc_id FROM rule JOIN occ x ON x.term = b JOIN occ y ON y.term = c AND y.doc_id = x.doc_id AND y.pos = x.pos + 1),
+either AS (SELECT query, doc_id FROM pair UNION SELECT query, doc_id FROM rule JOIN has ON term = d),
+fit AS (SELECT query, h.doc_id FROM either JOIN rule USING (query) JOIN has h ON h.term = a AND h.doc_id = either.doc_id)
+SELECT f.query, count(*) AS n, min(f.doc_id) AS first_doc, max(f.doc_id) AS last_doc FROM fit f JOIN rule USING (query) LEFT JOIN has h ON h.term = e AND h.doc_id = f.doc_id WHERE h.doc_id IS NULL GROUP BY f.query""")
+def percolation(spark, d):
+    """A query for each place of the benchmark's texts, +word +("two words" OR word) -word, over all documents."""
+    words = t(spark, d, "benchmark").select("item_id", index.tokens(F.col("text")).alias("l"))
+    rule = words.where(F.size("l") > 5).select("item_id", "l", F.explode(F.sequence(F.lit(1), F.size("l") - 5)).alias("i"))
+    w = lambda k: F.get("l", F.col("i") + (k - 1))
+    asked = rule.select(F.concat_ws("/", "item_id", "i").alias("query"), F.concat(F.lit("+"), w(0), F.lit(' +("'), w(1), F.lit(" "), w(2), F.lit('" OR '), w(4), F.lit(") -"), w(5)).alias("text"))
+    return percolate(corpus(spark, d), trees(asked, ("body",))).groupBy("query").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
 _stored: dict[tuple, Store] = {}
 
 
@@ -387,8 +417,28 @@ stored_search("stored_search_or", "token license idiot", summed(bm25(tf("token")
 stored_search("stored_search_phrase", '"mit license"', bm25(phrase(["mit", "license"])))
 
 
-@register(f"WITH {TOKENS} SELECT count(*) AS num_docs, CAST(sum(dl) AS BIGINT) AS total_tokens FROM len")
+@register(f"WITH {TOKENS} SELECT count(*) AS num_docs, CAST(sum(dl) AS BIGINT) AS total_tokens, count(*) AS manifest_docs, CAST(sum(dl) AS BIGINT) AS manifest_tokens FROM len")
 def stored_stats(spark, d):
-    """From the manifest, which the update has kept right."""
-    m = stored(spark, d).manifest()
-    return spark.createDataFrame([(stored(spark, d).stats()["num_docs"], m["stats"]["body"][1])], "num_docs long, total_tokens long")
+    """What the segments' tables hold, beside what the manifest says, which the update has kept right."""
+    c = stored(spark, d).corpus()
+    held = c.docs.agg(F.count("*").alias("num_docs")).join(c.terms.where("field = 'body'").agg(F.sum("cf").alias("total_tokens")))
+    return held.join(c.stats.where("field = 'body'").select(F.col("n_docs").alias("manifest_docs"), F.col("total_tokens").alias("manifest_tokens")))
+
+
+@register(f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM occ GROUP BY term")
+def stored_dictionary(spark, d):
+    """Counts of each word over the segments, what the update replaced taken off."""
+    return stored(spark, d).corpus().terms.where("field = 'body'").select("term", "df", "cf")
+
+
+@register(f"WITH {TOKENS}, c AS (SELECT DISTINCT doc_id FROM occ WHERE term >= 'lic' AND term < 'lid') SELECT doc_id, 1.0::DOUBLE AS score FROM c")
+def stored_range(spark, d):
+    return matches(stored(spark, d).corpus(), query.Range("body", "lic", "lid", True, False))
+
+
+@register(f"WITH {TOKENS}, most AS (SELECT doc_id, pos, term, dl FROM occ JOIN len USING (doc_id) WHERE term IN ('the', 'license')), per AS (SELECT doc_id, term, count(*) AS tf, max(dl) AS dl FROM most GROUP BY doc_id, term) SELECT term, CAST(sum(tf) AS BIGINT) AS tf, CAST(max(tf) AS INT) AS most, min(dl) AS shortest, count(*) AS n FROM per GROUP BY term")
+def stored_blocks(spark, d):
+    """From the blocks of the stored segments: entries of two words, the largest tf and the least dl of each."""
+    c = stored(spark, d).corpus()
+    b = c.live(c.blocks.where("field = 'body' and term in ('the', 'license')").select("seg", "term", F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))))
+    return b.groupBy("term").agg(F.sum("tf").alias("tf"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.count("*").alias("n"))

@@ -42,13 +42,26 @@ def listing(root: str, config: Config) -> dict[str, tuple[float, int]]:
     return found
 
 
-def read_file(root: str, rel: str) -> bytes:
+def read_file(root: str, rel: str) -> bytes | None:
+    """None for a file that is gone, nothing for one that can't be read."""
     try:
         return (Path(root) / rel).read_bytes()
+    except FileNotFoundError:
+        return None
     except OSError:
         return b""
 
 
+def contents(paths: DataFrame, root: str) -> DataFrame:
+    """paths (rel_path, ...) + content, read by the tasks; null where the file is gone."""
+
+    @F.pandas_udf("binary")
+    def content(rel: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else read_file(root, r) for r in rel], dtype=object)
+
+    return paths.withColumn("content", content("rel_path"))
+
+
 def _config(options: dict) -> Config:
     return Config.of(json.loads(options.get("names", "[]")), json.loads(options.get("prefixes", "[]")), options.get("stateDir", ".quillspark"))
 
@@ -85,7 +98,9 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         for rel, (mtime, size) in partition.paths:
-            yield rel, read_file(self.root, rel), mtime, size
+            content = read_file(self.root, rel)
+            if content is not None:
+                yield rel, content, mtime, size
 
 
 class ChangeSource(TreeSource):
@@ -142,12 +157,9 @@ def scan(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str =
 
 
 def changes(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str = ".quillspark") -> DataFrame:
-    """The stream op, rel_path, content, seq; contents are read by the tasks, and a file that is gone by then reads as empty."""
+    """The stream op, rel_path, content, seq; contents are read by the tasks, and a file that is gone by then is left to the deletion that follows."""
     spark.dataSource.register(ChangeSource)
     found = spark.readStream.format("docchanges").option("path", root).option("names", json.dumps(list(names))).option("prefixes", json.dumps(list(prefixes))).option("stateDir", state_dir).load()
 
-    @F.pandas_udf("binary")
-    def content(op: pd.Series, rel: pd.Series) -> pd.Series:
-        return pd.Series([read_file(root, r) if o == "upsert" else None for o, r in zip(op, rel)], dtype=object)
-
-    return found.select("op", "rel_path", content("op", "rel_path").alias("content"), "seq")
+    read = contents(found, root).withColumn("content", F.when(F.col("op") == "upsert", F.col("content")))
+    return read.where("op = 'delete' or content is not null").select("op", "rel_path", "content", "seq")

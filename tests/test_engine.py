@@ -388,3 +388,12 @@ def test_change_stream(spark, repo, tmp_path_factory):
         assert waits(lambda x: "readme.md" not in x and "new.md" in x)
     finally:
         q.stop()
+
+
+def test_a_file_that_is_gone(spark, tmp_path):
+    """It is left out of a scan and of an ingest, and left to its deletion in a stream; it never becomes an empty document."""
+    from quillspark.sources.tree import contents
+
+    (tmp_path / "a.md").write_text("here")
+    got = contents(spark.createDataFrame([("a.md",), ("gone.md",)], "rel_path string"), str(tmp_path)).collect()
+    assert {r.rel_path: r.content for r in got} == {"a.md": bytearray(b"here"), "gone.md": None}
