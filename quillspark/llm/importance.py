@@ -27,6 +27,8 @@ from quillspark.llm.common import prepare, raw_texts, save, table
 BUCKETS, WIDTH, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Bytes of text that a task counts at once (a longer text is a block by itself), and that a shard stands for.
 BLOCK_BYTES, SHARD_BYTES = 12 << 20, 8 << 20
+#: Bits that each word of an n-gram takes in one number.
+BITS = 63 // WIDTH
 #: Strings that are Python objects at once.
 AT_ONCE = 100_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -71,13 +73,36 @@ class Block:
             del first, pairs, left, right, last
             yield strings, key, run, of
 
+    def counted(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """The strings of grams(), their numbers and their counts, without the places of the runs."""
+        if len(self.bare) >> BITS:  # so many words don't fit into one number
+            for strings, key, run, _ in self.grams():
+                yield strings, key, np.bincount(run, minlength=len(strings))
+            return
+        ended = pc.binary_join_element_wise(self.bare, b"", b"\n")
+        word = crcs(ended).astype(np.uint64) * MULT
+        for width in range(1, WIDTH + 1):
+            n = max(0, len(self.words) - width + 1)
+            at = np.flatnonzero(self.of[:n] == self.of[width - 1 :][:n])
+            runs = self.words[at]
+            for k in range(1, width):
+                runs = (runs << np.int64(BITS)) | self.words[at + k]
+            runs, counts = np.unique(runs, return_counts=True)
+            parts = [(runs >> np.int64(BITS * k)) & np.int64((1 << BITS) - 1) for k in range(width - 1, -1, -1)]
+            key = word[parts[0]]
+            for p in parts[1:]:
+                key = (key ^ (key >> np.uint64(29))) * MULT + word[p]
+            strings = pc.binary_join_element_wise(*(self.bare.take(pa.array(p)) for p in parts[:-1]), ended.take(pa.array(parts[-1])), b" ")
+            del at, runs, parts
+            yield strings, key, counts
+
     def shards(self, n: int) -> Iterator[tuple[int, bytes]]:
         """(shard, packed strings with their counts), for each width and each shard that gets some."""
-        for strings, key, run, _ in self.grams():
+        for strings, key, counts in self.counted():
             to = ((key ^ (key >> np.uint64(32))) * MULT >> np.uint64(33)).astype(np.int64) % n
-            order = np.argsort(to, kind="stable")
-            counts, strings, ends = np.bincount(run, minlength=len(strings))[order], strings.take(pa.array(order)), np.searchsorted(to[order], np.arange(n + 1))
-            del order, to, key, run
+            order = np.argsort(to.astype(np.uint16) if n <= 1 << 16 else to, kind="stable")
+            counts, strings, ends = counts[order], strings.take(pa.array(order)), np.searchsorted(to[order], np.arange(n + 1))
+            del order, to, key
             for shard in np.flatnonzero(np.diff(ends)).tolist():
                 own = slice(ends[shard], ends[shard + 1])
                 yield shard, packed(strings[own], counts[own])

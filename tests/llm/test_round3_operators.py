@@ -189,6 +189,10 @@ def test_resampling_of_odd_tables(spark):
 def test_a_string_is_hashed_and_packed_whole():
     block = importance.Block([b"a b a", b"", b"A-b c \xc3\xa9"])
     assert [x[0].to_pylist() for x in block.grams()][::2] == [[b"a\n", b"b\n", b"c\n", b"\xc3\xa9\n"], [b"a b a\n", b"a b c\n", b"b c \xc3\xa9\n"]]
+    few = [(s.to_pylist(), k.tolist(), n.tolist()) for s, k, n in block.counted()]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(importance, "BITS", 1)
+        assert [(s.to_pylist(), k.tolist(), n.tolist()) for s, k, n in block.counted()] == few
     got = Counter()
     for _, blob in block.shards(3):
         for s, n in zip(*importance.unpacked(blob)):
