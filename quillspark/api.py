@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -45,7 +46,8 @@ class Engine:
 
     def watch(self, checkpoint: str, every: str = "1 second"):
         """A streaming query that keeps the index fresh: what changes in the tree is committed, and searches read it from then on."""
-        stream = changes(self.spark, str(self.root), self.names, self.prefixes, self.hidden)
+        listing = self.state / "listing" / hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        stream = changes(self.spark, str(self.root), self.names, self.prefixes, self.hidden, str(listing))
         return keep_fresh(self.store, stream, checkpoint, every)
 
     def ingest(self, paths: list[str]) -> dict:

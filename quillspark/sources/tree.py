@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import stat
+import time
+import uuid
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quillspark.sources.config import EXTENSIONS, Config
 
@@ -84,9 +88,6 @@ class TreeSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], _config(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Changes(self.options["path"], _config(self.options))
-
 
 class _Reader(DataSourceReader):
     def __init__(self, root, config):
@@ -104,7 +105,7 @@ class _Reader(DataSourceReader):
 
 
 class ChangeSource(TreeSource):
-    """format('docchanges') as a stream: op (upsert or delete), rel_path, seq."""
+    """format('docchanges') as a stream: op (upsert or delete), rel_path, seq; option('listing') is a folder that driver and tasks share."""
 
     @classmethod
     def name(cls) -> str:
@@ -113,42 +114,129 @@ class ChangeSource(TreeSource):
     def schema(self) -> str:
         return "op string, rel_path string, seq bigint"
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Changes(self.options["path"], self.options["listing"], _config(self.options))
 
-class _Changes(SimpleDataSourceStreamReader):
-    """Offset: the last listing and a running number; a rename is a delete and an upsert."""
 
-    def __init__(self, root, config):
-        self.root, self.config = root, config
+#: Folders of the second level that a task compares; seconds for which a folder's time says too little to rely on it; versions' bits in a running number.
+SUBTREES, GRAIN, SEQ_BITS = 64, 2.0, 32
+
+
+def write_json(path: Path, what: dict) -> None:
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(f"{path.name}.{uuid.uuid4().hex[:8]}.tmp")
+    part.write_text(json.dumps(what))
+    part.replace(path)
+
+
+def read_json(path: Path) -> dict | None:
+    try:
+        return json.loads(path.read_text())
+    except FileNotFoundError:
+        return None
+
+
+def subtree_listing(root: str, subtree: str, deep: bool, old: dict, config: Config) -> dict:
+    """{dirs: rel -> time, files: rel -> [time, size, number]} below a folder, or just in it. A folder whose time is the old one isn't listed: its known files are looked at."""
+    dirs, files, stack = {}, {}, [subtree]
+    inside: dict[str, tuple[list, list]] = {}
+    for kind, rels in ((0, old["files"]), (1, old["dirs"])):
+        for rel in rels:
+            inside.setdefault(rel.rpartition("/")[0], ([], []))[kind].append(rel)
+    while stack:
+        d = stack.pop()
+        try:
+            st = os.stat(os.path.join(root, d))
+            known = d in old["dirs"] and old["dirs"][d] == st.st_mtime_ns
+            own, below = inside.get(d, ([], [])) if known else ([], [])
+            if not known:
+                with os.scandir(os.path.join(root, d)) as entries:
+                    for x in entries:
+                        rel = f"{d}/{x.name}" if d else x.name
+                        if x.is_dir(follow_symlinks=False):
+                            below.append(rel) if config.wanted_dir(rel) else None
+                        elif x.is_file(follow_symlinks=False) and config.wanted(rel):
+                            own.append(rel)
+        except OSError:  # it went, or can't be read
+            continue
+        fresh = time.time() - st.st_mtime < GRAIN  # another entry may still come within the clock's grain
+        dirs[d] = -1 if fresh else st.st_mtime_ns
+        for rel in own:
+            try:
+                f = os.stat(os.path.join(root, rel), follow_symlinks=False)
+            except OSError:
+                continue
+            if stat.S_ISREG(f.st_mode):
+                files[rel] = [f.st_mtime_ns, f.st_size, f.st_ino]
+        stack += [x for x in below if x != d] if deep else []
+    return {"dirs": dirs, "files": files}
+
+
+class _Subtrees(InputPartition):
+    def __init__(self, start: int, end: int, trees: list[tuple[str, bool]]):
+        self.start, self.end, self.trees = start, end, trees
+
+
+class _Changes(DataSourceStreamReader):
+    """Offset: the number of a listing. The listing is a table in a shared folder, a file for each subtree and version, written by the task that compares
+    it; a repeated task finds its version there and gives the same rows. The driver lists two levels of folders. A rename is a delete and an upsert."""
+
+    def __init__(self, root: str, listing: str, config: Config):
+        self.root, self.listing, self.config = root, Path(listing), config
+        self.now: int | None = None
 
     def initialOffset(self) -> dict:
-        return {"seq": 0, "files": {}}
-
-    def read(self, start: dict):
-        now = {k: list(v) for k, v in listing(self.root, self.config).items()}
-        old, seq, rows = start["files"], start["seq"], []
-        for rel in sorted(old.keys() - now.keys()):
-            seq += 1
-            rows.append(("delete", rel, seq))
-        for rel in sorted(now):
-            if old.get(rel) != now[rel]:
-                seq += 1
-                rows.append(("upsert", rel, seq))
-        return iter(rows), {"seq": seq, "files": now}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        """After a failure: the same rows from the two listings."""
-        old, now, seq, rows = start["files"], end["files"], start["seq"], []
-        for rel in sorted(old.keys() - now.keys()):
-            seq += 1
-            rows.append(("delete", rel, seq))
-        for rel in sorted(now):
-            if old.get(rel) != now[rel]:
-                seq += 1
-                rows.append(("upsert", rel, seq))
-        return iter(rows)
+        return {"version": 0}
+
+    def latestOffset(self) -> dict:
+        """One version after the newest that a batch has begun."""
+        begun = [int(p.name.split(".")[0]) for p in (self.listing / "versions").glob("*.json")] if self.listing.exists() else []
+        self.now = max(begun, default=0) + 1
+        return {"version": self.now}
+
+    def _subfolders(self, rel: str) -> list[str]:
+        try:
+            with os.scandir(os.path.join(self.root, rel)) as entries:
+                found = [f"{rel}/{x.name}" if rel else x.name for x in entries if x.is_dir(follow_symlinks=False)]
+        except OSError:
+            return []
+        return sorted(x for x in found if self.config.wanted_dir(x))
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """The subtrees there are now, and those that there were: the root and its folders by themselves, and all below them."""
+        at = self.listing / "versions" / f"{end['version']}.json"
+        plan = read_json(at)
+        if plan is None:
+            before = (read_json(self.listing / "versions" / f"{start['version']}.json") or {"trees": []})["trees"]
+            tops = self._subfolders("")
+            trees = {("", False), *((x, False) for x in tops), *((y, True) for x in tops for y in self._subfolders(x))}
+            plan = {"trees": sorted(trees), "gone": sorted({(t, d) for t, d in before} - trees)}
+            write_json(at, plan)
+        trees = [(t, d) for t, d in (*plan["trees"], *plan["gone"])]
+        return [_Subtrees(start["version"], end["version"], trees[i : i + SUBTREES]) for i in range(0, len(trees), SUBTREES)]
+
+    def _file(self, subtree: str, deep: bool, version: int) -> Path:
+        return self.listing / hashlib.sha256(f"{int(deep)}{subtree}".encode()).hexdigest()[:24] / f"{version}.json"
+
+    def read(self, partition: _Subtrees):
+        for t, deep in partition.trees:
+            old = read_json(self._file(t, deep, partition.start)) or {"dirs": {}, "files": {}}
+            now = read_json(self._file(t, deep, partition.end))
+            if now is None:
+                now = subtree_listing(self.root, t, deep, old, self.config)
+                write_json(self._file(t, deep, partition.end), now)
+            n = partition.end << SEQ_BITS
+            for rel in sorted(old["files"].keys() - now["files"].keys()):
+                yield "delete", rel, n
+            for rel in sorted(now["files"]):
+                if old["files"].get(rel) != now["files"][rel]:
+                    yield "upsert", rel, n
 
     def commit(self, end: dict) -> None:
-        pass
+        """Listings before `end` aren't asked for again."""
+        for p in self.listing.glob("*/*.json"):
+            if int(p.name.split(".")[0]) < end["version"]:
+                p.unlink(missing_ok=True)
 
 
 def scan(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str = ".quillspark") -> DataFrame:
@@ -156,10 +244,13 @@ def scan(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str =
     return spark.read.format("doctree").option("path", root).option("names", json.dumps(list(names))).option("prefixes", json.dumps(list(prefixes))).option("stateDir", state_dir).load()
 
 
-def changes(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str = ".quillspark") -> DataFrame:
-    """The stream op, rel_path, content, seq; contents are read by the tasks, and a file that is gone by then is left to the deletion that follows."""
-    spark.dataSource.register(ChangeSource)
-    found = spark.readStream.format("docchanges").option("path", root).option("names", json.dumps(list(names))).option("prefixes", json.dumps(list(prefixes))).option("stateDir", state_dir).load()
+def changes(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str = ".quillspark", listing: str | None = None) -> DataFrame:
+    """The stream op, rel_path, content, seq; contents are read by the tasks, and a file that is gone by then is left to the deletion that follows.
 
+    listing: the folder of the listings, one for each query; below state_dir if none is given. A query that goes on from its checkpoint needs the folder that it had.
+    """
+    spark.dataSource.register(ChangeSource)
+    at = listing or str(Path(root) / state_dir / "listing" / uuid.uuid4().hex)
+    found = spark.readStream.format("docchanges").option("path", root).option("listing", at).option("names", json.dumps(list(names))).option("prefixes", json.dumps(list(prefixes))).option("stateDir", state_dir).load()
     read = contents(found, root).withColumn("content", F.when(F.col("op") == "upsert", F.col("content")))
     return read.where("op = 'delete' or content is not null").select("op", "rel_path", "content", "seq")

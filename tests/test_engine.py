@@ -1,5 +1,7 @@
 import json
 import math
+import os
+import shutil
 import time
 
 import pytest
@@ -397,3 +399,35 @@ def test_a_file_that_is_gone(spark, tmp_path):
     (tmp_path / "a.md").write_text("here")
     got = contents(spark.createDataFrame([("a.md",), ("gone.md",)], "rel_path string"), str(tmp_path)).collect()
     assert {r.rel_path: r.content for r in got} == {"a.md": bytearray(b"here"), "gone.md": None}
+
+
+def test_listing_by_versions(tmp_path):
+    """Small offsets, the same rows again after a failure, unchanged folders not listed, edits of equal size found."""
+    from quillspark.sources import tree as T
+
+    root, listing = tmp_path / "r", tmp_path / "l"
+    for rel in ("a.md", "x/b.md", "x/y/c.md", "x/y/z/d.md", "x/skip.rs", "vendor/no.md"):
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_text(rel)
+    for d in (root, root / "x", root / "x/y", root / "x/y/z"):
+        os.utime(d, (1, 1))  # long ago
+    reader = lambda: T._Changes(str(root), str(listing), Config.of())
+    rows = lambda r, a, b: sorted((op, rel) for p in r.partitions({"version": a}, {"version": b}) for op, rel, _ in r.read(p))
+    r = reader()
+    assert r.initialOffset() == {"version": 0} and r.latestOffset() == {"version": 1}
+    first = rows(r, 0, 1)
+    assert first == [("upsert", x) for x in ("a.md", "x/b.md", "x/y/c.md", "x/y/z/d.md")]
+    assert rows(reader(), 0, 1) == first and reader().latestOffset() == {"version": 2}
+    listed, plain = [], os.scandir
+    T.os.scandir = lambda p: listed.append(os.path.relpath(p, root)) or plain(p)
+    try:
+        (root / "x/y/z/d.md").write_text("X/y/z/d.m"[: len("x/y/z/d.md")].ljust(len("x/y/z/d.md")))  # as long as before
+        assert rows(r, 1, 2) == [("upsert", "x/y/z/d.md")] and not any("y" in x for x in listed)
+        (root / "x/b.md").rename(root / "x/y/e.md")
+        assert rows(r, 2, 3) == [("delete", "x/b.md"), ("upsert", "x/y/e.md")] and "x/y" in listed and "x/y/z" not in listed
+    finally:
+        T.os.scandir = plain
+    shutil.rmtree(root / "x/y")
+    assert rows(r, 3, 4) == [("delete", x) for x in ("x/y/c.md", "x/y/e.md", "x/y/z/d.md")]
+    r.commit({"version": 4})
+    assert rows(r, 4, 5) == [] and {p.name for p in listing.glob("*/*.json")} == {"4.json", "5.json"}
