@@ -20,6 +20,7 @@ from quillspark.llm.sentencepieces import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's threshold, all columns kept. Null and empty texts, nulls elsewhere, repeated rows and empty tables: as kept() says."""
     return kept(docs, table(spark, sf_dir, "labels"))
 
 
@@ -41,18 +42,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (one_of_each). Documents without near copies all stay."""
     return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same rows with what the scan finds masked (masked); rows without findings are unchanged."""
     return masked(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source weights: rows as often as it takes them, the last one of a source in part (mixed_rows)."""
     return mixed_rows(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text; the last stage, so it returns its own columns (encode)."""
     return encode(docs, with_ids=True)
 
 
