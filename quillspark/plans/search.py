@@ -28,8 +28,7 @@ ROUNDING = 1e-9
 class Corpus:
     """Documents and, derived from them or read from a store, postings (field, term, doc_id, tf, dl, positions) and field statistics.
 
-    hits: postings without positions. A store has a dictionary, terms (field, term, df, cf), and blocks, from which postings are made, too;
-    ranges (seg, range), if given, are those whose documents still count.
+    hits: postings without positions; size: how many documents the segments hold. A store has a dictionary, terms (field, term, df, cf), and blocks, from which postings are made, too.
     """
 
     docs: DataFrame
@@ -40,6 +39,7 @@ class Corpus:
     blocks: DataFrame | None = None
     live: Callable[[DataFrame], DataFrame] | None = None
     version: int | None = None
+    size: int | None = None
 
     def __post_init__(self):
         self.hits = self.postings.drop("positions") if self.hits is None else self.hits
@@ -50,18 +50,18 @@ class Corpus:
         return cls(docs, index.postings(docs, fields), index.field_stats(docs, fields))
 
     @classmethod
-    def of_blocks(cls, docs: DataFrame, blocks: DataFrame, terms: DataFrame, stats: DataFrame, live: Callable[[DataFrame], DataFrame], version: int | None = None) -> Corpus:
+    def of_blocks(cls, docs: DataFrame, blocks: DataFrame, terms: DataFrame, stats: DataFrame, live: Callable[[DataFrame], DataFrame], version: int | None = None, size: int | None = None) -> Corpus:
         """blocks: as operators.index makes them, with seg; live: drops rows (seg, doc_id, ...) of documents that were replaced or deleted."""
 
         def rows(*more: str) -> DataFrame:
             e = blocks.select("seg", "field", "term", F.explode(F.arrays_zip("ids", "tfs", "dls", *more)).alias("e"))
             return live(e.select("seg", "field", "term", F.col("e.ids").alias("doc_id"), F.col("e.tfs").alias("tf"), F.col("e.dls").alias("dl"), *(F.col(f"e.{x}").alias(x) for x in more))).drop("seg")
 
-        return cls(docs, rows("positions"), stats, rows(), terms, blocks, live, version)
+        return cls(docs, rows("positions"), stats, rows(), terms, blocks, live, version, size)
 
     def only(self, ranges: DataFrame) -> Corpus:
         """The same statistics, but only the documents of these ranges (seg, range)."""
-        return self.of_blocks(self.docs, self.blocks.join(ranges, ["seg", "range"], "left_semi"), self.terms, self.stats, self.live, self.version)
+        return self.of_blocks(self.docs, self.blocks.join(ranges, ["seg", "range"], "left_semi"), self.terms, self.stats, self.live, self.version, self.size)
 
     def frequencies(self, field: str, words: list[str]) -> dict[str, int]:
         """Documents that hold each word; a row a word reaches the driver."""
@@ -165,7 +165,7 @@ def reaching(c: Corpus, tree, k: int) -> DataFrame | None:
     scores can be reached too, so ties come out the same. At most FEW_RANGES rows and k scores reach the driver.
     """
     terms = _leaves(tree)
-    if c.blocks is None or not terms or not _asked(terms):
+    if c.blocks is None or not terms or not _asked(terms) or c.size is not None and c.size < FEW_RANGES << index.RANGE_BITS - 1:
         return None
     per_range = bounds(c, terms)
     best = per_range.orderBy(F.desc("bound"), "seg", "range").limit(FEW_RANGES).collect()

@@ -380,7 +380,7 @@ class Store:
         rows = [(f, n, t, t / n if n else None) for f, (n, t) in sorted(m["stats"].items())]
         stats = self.spark.createDataFrame(rows, "field string, n_docs long, total_tokens long, avgdl double")
         terms = self._rows(m, "terms").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
-        return Corpus.of_blocks(self._open(m, "docs"), self._rows(m, "postings"), terms, stats, partial(self._live, m), m["version"])
+        return Corpus.of_blocks(self._open(m, "docs"), self._rows(m, "postings"), terms, stats, partial(self._live, m), m["version"], sum(s["docs"] for s in m["segments"]))
 
     def stats(self) -> dict:
         m = self.manifest()

@@ -173,26 +173,24 @@ def subtree_listing(root: str, subtree: str, deep: bool, old: dict, config: Conf
 
 
 class _Subtrees(InputPartition):
-    def __init__(self, start: int, end: int, trees: list[tuple[str, bool]]):
-        self.start, self.end, self.trees = start, end, trees
+    def __init__(self, start: int, end: int, number: int, trees: list[tuple[str, bool]]):
+        self.start, self.end, self.number, self.trees = start, end, number, trees
 
 
 class _Changes(DataSourceStreamReader):
-    """Offset: the number of a listing. The listing is a table in a shared folder, a file for each subtree and version, written by the task that compares
-    it; a repeated task finds its version there and gives the same rows. The driver lists two levels of folders. A rename is a delete and an upsert."""
+    """Offset: the number of a listing. The listing is a table in a shared folder: a file for each subtree and each version in which it changed, written by the
+    task that compares it, and one for each partition that says which did. A repeated task finds these and gives the same rows. The driver lists two levels of
+    folders. A rename is a delete and an upsert."""
 
     def __init__(self, root: str, listing: str, config: Config):
         self.root, self.listing, self.config = root, Path(listing), config
-        self.now: int | None = None
 
     def initialOffset(self) -> dict:
         return {"version": 0}
 
     def latestOffset(self) -> dict:
         """One version after the newest that a batch has begun."""
-        begun = [int(p.name.split(".")[0]) for p in (self.listing / "versions").glob("*.json")] if self.listing.exists() else []
-        self.now = max(begun, default=0) + 1
-        return {"version": self.now}
+        return {"version": max(map(version_of, (self.listing / "versions").glob("*.json")), default=0) + 1}
 
     def _subfolders(self, rel: str) -> list[str]:
         try:
@@ -213,32 +211,50 @@ class _Changes(DataSourceStreamReader):
             plan = {"trees": sorted(trees), "gone": sorted({(t, d) for t, d in before} - trees)}
             write_json(at, plan)
         trees = [(t, d) for t, d in (*plan["trees"], *plan["gone"])]
-        return [_Subtrees(start["version"], end["version"], trees[i : i + SUBTREES]) for i in range(0, len(trees), SUBTREES)]
+        return [_Subtrees(start["version"], end["version"], i, trees[i : i + SUBTREES]) for i in range(0, len(trees), SUBTREES)]
 
-    def _file(self, subtree: str, deep: bool, version: int) -> Path:
-        return self.listing / hashlib.sha256(f"{int(deep)}{subtree}".encode()).hexdigest()[:24] / f"{version}.json"
+    def _folder(self, subtree: str, deep: bool) -> Path:
+        return self.listing / "subtrees" / hashlib.sha256(f"{int(deep)}{subtree}".encode()).hexdigest()[:24]
 
     def read(self, partition: _Subtrees):
+        n, mark = partition.end << SEQ_BITS, self.listing / "done" / f"{partition.end}-{partition.number}.json"
+        done, changed = read_json(mark), []
         for t, deep in partition.trees:
-            old = read_json(self._file(t, deep, partition.start)) or {"dirs": {}, "files": {}}
-            now = read_json(self._file(t, deep, partition.end))
+            if done is not None and [t, deep] not in done:
+                continue
+            at = self._folder(t, deep)
+            held = sorted(map(version_of, at.glob("*.json")))
+            last = max((v for v in held if v <= partition.start), default=None)
+            old = {"dirs": {}, "files": {}} if last is None else read_json(at / f"{last}.json")
+            now = read_json(at / f"{partition.end}.json")
             if now is None:
                 now = subtree_listing(self.root, t, deep, old, self.config)
-                write_json(self._file(t, deep, partition.end), now)
-            n = partition.end << SEQ_BITS
+                if now == old:
+                    continue
+                write_json(at / f"{partition.end}.json", now)
+            changed.append((t, deep))
+            for v in held:
+                if last is not None and v < last:
+                    (at / f"{v}.json").unlink(missing_ok=True)
             for rel in sorted(old["files"].keys() - now["files"].keys()):
                 yield "delete", rel, n
             for rel in sorted(now["files"]):
                 if old["files"].get(rel) != now["files"][rel]:
                     yield "upsert", rel, n
+        if done is None:
+            write_json(mark, changed)
 
     def commit(self, end: dict) -> None:
-        """Listings before `end` aren't asked for again."""
-        for p in self.listing.glob("*/*.json"):
-            if int(p.name.split(".")[0]) < end["version"]:
+        """Plans and marks of batches before `end` aren't asked for again; subtrees' listings go as newer ones follow."""
+        for p in (*(self.listing / "versions").glob("*.json"), *(self.listing / "done").glob("*.json")):
+            if version_of(p) < end["version"]:
                 p.unlink(missing_ok=True)
 
 
+def version_of(p: Path) -> int:
+    return int(p.name.partition(".")[0].partition("-")[0])
+
+
 def scan(spark: SparkSession, root: str, names=(), prefixes=(), state_dir: str = ".quillspark") -> DataFrame:
     spark.dataSource.register(TreeSource)
     return spark.read.format("doctree").option("path", root).option("names", json.dumps(list(names))).option("prefixes", json.dumps(list(prefixes))).option("stateDir", state_dir).load()

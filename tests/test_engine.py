@@ -430,4 +430,7 @@ def test_listing_by_versions(tmp_path):
     shutil.rmtree(root / "x/y")
     assert rows(r, 3, 4) == [("delete", x) for x in ("x/y/c.md", "x/y/e.md", "x/y/z/d.md")]
     r.commit({"version": 4})
-    assert rows(r, 4, 5) == [] and {p.name for p in listing.glob("*/*.json")} == {"4.json", "5.json"}
+    assert rows(r, 4, 5) == [] == rows(reader(), 4, 5) and {p.name for p in (listing / "versions").glob("*")} == {"4.json", "5.json"}
+    (root / "a.md").write_text("later")
+    assert rows(reader(), 4, 5) == []  # that batch is done: what comes later is the next one's
+    assert rows(reader(), 5, 6) == [("upsert", "a.md")] and not list(listing.glob("subtrees/*/5.json"))
