@@ -137,8 +137,7 @@ class Engine:
     def files(self, limit: int = C.FILES_DEFAULT, offset: int = 0) -> dict:
         limit, offset = max(1, min(C.FILES_MOST, limit)), max(0, min(C.OFFSET_MOST, offset))
         c = self.store.corpus()
-        docs = c.docs.select("doc_id", "rel_path", "summary", "token_estimate")
-        page = [r.asDict() for r in docs.orderBy("doc_id").offset(offset).limit(limit).collect()]
+        page = [r.asDict() for r in self.store.page(offset, limit, c.version).select("doc_id", "rel_path", "summary", "token_estimate").collect()]
         return {"results": page, "total": self.store.manifest(c.version)["num_docs"], "limit": limit, "offset": offset, "repo_root": str(self.root)}
 
     def open(self, path: str, start: int | None = None, end: int | None = None) -> dict:

@@ -442,3 +442,8 @@ def stored_blocks(spark, d):
     c = stored(spark, d).corpus()
     b = c.live(c.blocks.where("field = 'body' and term in ('the', 'license')").select("seg", "term", F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))))
     return b.groupBy("term").agg(F.sum("tf").alias("tf"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.count("*").alias("n"))
+
+
+@register(f"WITH {DOCS} SELECT doc_id, length(body) AS n FROM docs ORDER BY doc_id LIMIT 50 OFFSET 100")
+def stored_page(spark, d):
+    return stored(spark, d).page(100, 50).select("doc_id", F.length("body").alias("n"))

@@ -15,9 +15,11 @@ import re
 import threading
 import time
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import partial, reduce
+from itertools import accumulate
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
@@ -290,8 +292,8 @@ class Store:
         with self.writing():
             seq = (self._manifests() or [0])[-1] + 1
             name = self._segment(docs, seq)
-            totals, n = self._dictionary(name, []), self._read(name, "docs").count()
-            return self._commit(seq, [{"name": name, "seq": seq, "docs": n, "dead": 0}], {f: [n, totals.get(f, 0)] for f in query.FIELDS}, marks or {})
+            totals, own = self._dictionary(name, []), self._entry(name, seq, False)
+            return self._commit(seq, [own], {f: [own["docs"], totals.get(f, 0)] for f in query.FIELDS}, marks or {})
 
     def reindex(self, files: DataFrame) -> dict:
         return self.write(index.docs_table(files, summarize("body")))
@@ -323,11 +325,10 @@ class Store:
             old = self._replaced(m, self.spark.read.schema(TABLES["dead"]).parquet(f"{self.dir}/{name}/changed"))
             self._write_ids(name, "dead", old.select("doc_id"))
             less = index.term_stats(old, query.FIELDS).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
-            n, dead = own.count(), self._read(name, "dead").count()
-            totals = self._dictionary(name, [less] if dead else [])
-            stats = {f: [m["stats"].get(f, [0, 0])[0] + n - dead, m["stats"].get(f, [0, 0])[1] + totals.get(f, 0)] for f in query.FIELDS}
-            segments = [*m["segments"], {"name": name, "seq": seq, "docs": n, "dead": dead}]
-            out = self._commit(seq, segments, stats, {**m.get("marks", {}), **(marks or {})})
+            entry = self._entry(name, seq)
+            totals = self._dictionary(name, [less] if entry["dead"] else [])
+            stats = {f: [m["stats"].get(f, [0, 0])[0] + entry["docs"] - entry["dead"], m["stats"].get(f, [0, 0])[1] + totals.get(f, 0)] for f in query.FIELDS}
+            out = self._commit(seq, [*m["segments"], entry], stats, {**m.get("marks", {}), **(marks or {})})
             while (start := tail_to_merge(out["segments"])) is not None:
                 out = self._merge(out, start)
             return out
@@ -339,17 +340,55 @@ class Store:
         """One segment of the live documents of those from `start` on, with all that they made dead in older ones."""
         seq, tail = m["version"] + 1, m["segments"][start:]
         name = self._segment(self._open({**m, "segments": tail}, "docs"), seq)
-        n, dead = self._read(name, "docs").count(), 0
         if start:
             ids = reduce(DataFrame.unionByName, [self._read(s["name"], "dead") for s in tail if s["dead"]] or [self.spark.createDataFrame([], "doc_id string")]).distinct()
             older = self._replaced({**m, "segments": m["segments"][:start]}, ids)
             self._write_ids(name, "dead", older.select("doc_id"))
-            dead = self._read(name, "dead").count()
             rows = reduce(DataFrame.unionByName, [self._read(s["name"], "terms") for s in tail])
             self._put_terms(name, rows.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 or cf <> 0"))
         else:
             self._dictionary(name, [])
-        return self._commit(seq, [*m["segments"][:start], {"name": name, "seq": seq, "docs": n, "dead": dead}], m["stats"], m.get("marks", {}))
+        return self._commit(seq, [*m["segments"][:start], self._entry(name, seq, start > 0)], m["stats"], m.get("marks", {}))
+
+    def _entry(self, name: str, seq: int, with_dead: bool = True) -> dict:
+        """A segment in a manifest: how many documents and dead ids it has, and the first id and the rows of each of their files."""
+        files = {}
+        for what, of in (("docs", F.shiftright("range", 33 - index.RANGE_BITS)), ("dead", F.input_file_name())):
+            rows = self._read(name, what).groupBy(of.alias("f")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).collect() if what == "docs" or with_dead else []
+            files[what] = sorted([r["first"], r["n"]] for r in rows)  # a row a file
+        return {"name": name, "seq": seq, "docs": sum(n for _, n in files["docs"]), "dead": sum(n for _, n in files["dead"]), "files": files}
+
+    def page(self, offset: int, limit: int, version: int | None = None) -> DataFrame:
+        """Documents offset + 1 to offset + limit in the order of doc_id. Only files that may hold some of them are read, and one more a table for what lies before.
+
+        The documents below an id are the segments' documents below it less their dead ids below it, which the files' first ids and
+        counts in the manifest bound: the page lies between the last id with certainly no more than `offset` before it and the first with certainly
+        enough.
+        """
+        m = self.manifest(version)
+        tables = []  # (segment, table, sign, first ids, rows before each file and in all)
+        for s in m["segments"]:
+            for what, sign in (("docs", 1), ("dead", -1)):
+                if s["files"][what]:
+                    tables.append((s, what, sign, [f for f, _ in s["files"][what]], [0, *accumulate(n for _, n in s["files"][what])]))
+
+        def below(x: str, upper: bool) -> int:
+            """No fewer (upper) or no more documents than are below x."""
+            return sum(sign * cum[bisect_left(firsts, x) if upper == (sign > 0) else max(0, bisect_right(firsts, x) - 1)] for *_, sign, firsts, cum in tables)
+
+        cuts = sorted({f for _, what, _, firsts, _ in tables if what == "docs" for f in firsts})
+        low = max((x for x in cuts if below(x, True) <= offset), default="")
+        high = min((x for x in cuts if x > low and below(x, False) >= offset + limit), default=None)
+        before, unsure = 0, []
+        for s, what, sign, firsts, cum in tables:
+            k = max(0, bisect_right(firsts, low) - 1)
+            before += sign * cum[k]
+            if cum[k] != cum[bisect_left(firsts, low)]:  # in the middle of a file
+                unsure.append(self._read(s["name"], what).where((F.col("doc_id") >= firsts[k]) & (F.col("doc_id") < low)).select(F.lit(sign).alias("sign")))
+        if unsure:
+            before += reduce(DataFrame.unionByName, unsure).agg(F.sum("sign")).first()[0] or 0
+        inside = lambda df: df.where(F.col("doc_id") >= low) if high is None else df.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))
+        return self._open(m, "docs", inside).orderBy("doc_id").offset(max(0, offset - before)).limit(limit)
 
     def _read(self, segment: str, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.dir}/{segment}/{name}")

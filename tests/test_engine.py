@@ -434,3 +434,26 @@ def test_listing_by_versions(tmp_path):
     (root / "a.md").write_text("later")
     assert rows(reader(), 4, 5) == []  # that batch is done: what comes later is the next one's
     assert rows(reader(), 5, 6) == [("upsert", "a.md")] and not list(listing.glob("subtrees/*/5.json"))
+
+
+def test_pages_read_few_files(spark, tmp_path):
+    s = S.Store(spark, str(tmp_path / "s"))
+    made = lambda df: df.selectExpr("lpad(id, 5, '0') doc_id", "lpad(id, 5, '0') rel_path", "'b' body", "'' summary", "1L token_estimate")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that tables have several files
+    try:
+        s.write(made(spark.range(0, 4000, 2)))
+        s.change(made(spark.range(0, 900, 3)), spark.range(100, 3000, 4).selectExpr("lpad(id, 5, '0') doc_id"))
+        s.change(made(spark.range(3999, 4010)), None)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    m = s.manifest()
+    assert len(m["segments"]) == 3 and len(m["segments"][0]["files"]["docs"]) == 4
+    want = sorted(({*range(0, 4000, 2)} - {*range(100, 3000, 4)}) | {*range(0, 900, 3)} | {*range(3999, 4010)})
+    assert m["num_docs"] == len(want)
+    for offset, limit in ((0, 5), (300, 40), (700, 3), (len(want) - 4, 10), (len(want), 5), (10_000, 5), (0, 10_000)):
+        assert [int(r.doc_id) for r in s.page(offset, limit).collect()] == want[offset : offset + limit], (offset, limit)
+    scanned = s.page(len(want) - 20, 5)
+    assert "GreaterThanOrEqual(doc_id," in scanned._jdf.queryExecution().executedPlan().toString()
+    empty = S.Store(spark, str(tmp_path / "e"))
+    empty.write(made(spark.range(0)))
+    assert empty.page(0, 5).collect() == [] == empty.page(3, 5).collect()
