@@ -17,7 +17,7 @@ from quillspark.functions import text as X
 from quillspark.operators import index, query
 from quillspark.operators.audit import verify
 from quillspark.operators.snippets import best_fragments, preview
-from quillspark.plans.percolate import percolate, trees
+from quillspark.plans.percolate import fits, trees
 from quillspark.plans.search import Corpus, matches, search
 from quillspark.plans.store import Store
 from quillspark.sources.config import Config
@@ -376,7 +376,8 @@ def percolation(spark, d):
     rule = words.where(F.size("l") > 5).select("item_id", "l", F.explode(F.sequence(F.lit(1), F.size("l") - 5)).alias("i"))
     w = lambda k: F.get("l", F.col("i") + (k - 1))
     asked = rule.select(F.concat_ws("/", "item_id", "i").alias("query"), F.concat(F.lit("+"), w(0), F.lit(' +("'), w(1), F.lit(" "), w(2), F.lit('" OR '), w(4), F.lit(") -"), w(5)).alias("text"))
-    return percolate(corpus(spark, d), trees(asked, ("body",))).groupBy("query").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    part = fits(corpus(spark, d), trees(asked, ("body",))).select("query", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first_doc"), F.array_max("ids").alias("last_doc"))
+    return part.groupBy("query").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
 
 
 _stored: dict[tuple, Store] = {}

@@ -40,6 +40,7 @@ class Corpus:
     live: Callable[[DataFrame], DataFrame] | None = None
     version: int | None = None
     size: int | None = None
+    fields: tuple[str, ...] = query.FIELDS
 
     def __post_init__(self):
         self.hits = self.postings.drop("positions") if self.hits is None else self.hits
@@ -47,7 +48,7 @@ class Corpus:
     @classmethod
     def of(cls, docs: DataFrame, fields: tuple[str, ...] = query.FIELDS) -> Corpus:
         """Everything from the documents at hand. Term filters reach below the postings' aggregation."""
-        return cls(docs, index.postings(docs, fields), index.field_stats(docs, fields))
+        return cls(docs, index.postings(docs, fields), index.field_stats(docs, fields), fields=fields)
 
     @classmethod
     def of_blocks(cls, docs: DataFrame, blocks: DataFrame, terms: DataFrame, stats: DataFrame, live: Callable[[DataFrame], DataFrame], version: int | None = None, size: int | None = None) -> Corpus:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import query as Q
+from quillspark.plans import percolate as percolation
 from quillspark.plans.percolate import nodes_of, percolate, trees
 from quillspark.plans.search import Corpus, matches
 
@@ -30,3 +31,20 @@ def test_what_cannot_be_stored():
     for text in ("*", "body:[a TO b]", '"a b"~2'):
         with pytest.raises(Q.QueryError):
             nodes_of(Q.parse(text))
+
+
+def test_batches_of_documents(spark, monkeypatch):
+    """Several batches of documents and passes of queries, phrases of three words, words of 40 bytes and more; nothing is shuffled but what the result is grouped by."""
+    letters = "abcdx"
+    body = lambda i: " ".join(letters[(i * 7 + j * j * (1 + i % 3)) % 5] for j in range(i % 9))
+    rows = [(str(i), str(i), body(i) + " " + "y" * (38 + i % 4), "") for i in range(150)] + [("none", "none", None, "")]
+    c = Corpus.of(spark.createDataFrame(rows, "doc_id string, rel_path string, body string, summary string").repartition(2))
+    texts = [*ASKED, '"a b c"', '"a b a" OR "x a"', '+"b a c" -d', "y" * 39, "y" * 40, "a OR " + "y" * 41, "-a"]
+    asked = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts)], "query string, text string")
+    want = sorted((f"q{i}", r.doc_id) for i, t in enumerate(texts) for r in matches(c, Q.understand(t)).collect())
+    for nodes in (percolation.MOST_NODES, 20):
+        monkeypatch.setattr(percolation, "MOST_NODES", nodes)
+        got = percolate(c, trees(asked))
+        assert sorted(tuple(r) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and "Join" not in plan
