@@ -2,8 +2,8 @@
 
 Symbols are all code points, and n-grams are told apart by 64-bit hashes, so no script is
 folded into one symbol. Counting is a distributed aggregation; discounts, continuation counts
-and the interpolation come from joins of the shards of counts. The model has an entry for
-each n-gram of the trusted sample, at most ORDER * SAMPLE_CHARS whatever the corpus, so the document
+and the interpolation come from joins of the shards of counts. All trusted text is counted; the model has an
+entry for each of its distinct n-grams, which grow far slower than the text, so the document
 side of the join with the counts is a look-up by hash in the task that reads the text.
 """
 
@@ -21,8 +21,8 @@ from quillspark.llm.common import map_rows, prepare, save, table, texts
 from quillspark.llm.shingles import mixed
 
 ORDER = 4
-#: Bounds of the trusted sample: rows labelled good, in order of a hash of their ids, and their code points altogether.
-SAMPLE_ROWS, SAMPLE_CHARS = 20_000, 16_000_000
+#: Trusted ids that are broadcast to the texts, at most (some 30 MB); more are joined by a shuffle.
+MOST_IDS = 1_000_000
 #: Quantile of the trusted documents' perplexities in each language above which a document is rejected.
 QUANTILE = 0.99
 #: Characters at the model's own average that each text is taken to have besides its own, so that a few words can't decide.
@@ -66,7 +66,7 @@ def held_out() -> F.Column:
 class Model:
     """at, logp: hashes of n-grams of all orders, sorted, and natural logarithms of p(last symbol | those before);
     back_at, back: hashes of contexts and the logarithm of what they leave to the next lower order; unseen: log p of a
-    symbol that isn't in the sample, alone; nats: the sample's average a character."""
+    symbol that isn't in the trusted text, alone; nats: that text's average a character."""
 
     at: np.ndarray
     logp: np.ndarray
@@ -104,35 +104,19 @@ class Model:
         return total
 
 
-def trusted_ids(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> list[int]:
-    """Ids labelled good, least hashes first: at most `rows`, whose texts have at most `chars` code points altogether."""
-    few = trusted(labels).where(~held_out()).orderBy(F.xxhash64("tid"), "tid").limit(rows)
-    ids = [(r.tid,) for r in few.collect()]
-    if not ids:
-        return []
-    few = F.broadcast(docs.sparkSession.createDataFrame(ids, "tid long"))  # `rows` ids at most
-    size = F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n")
-    sizes = {r.tid: r.n for r in docs.select(F.col("doc_id").cast("long").alias("tid"), "text").join(few, "tid").groupBy("tid").agg(size).collect()}
-    out = []
-    for (i,) in ids:
-        if sizes.get(i, chars + 1) <= chars:
-            chars -= sizes[i]
-            out.append(i)
-    return out
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """The model of the trusted sample; None without trusted text.
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of all trusted text that sets no thresholds; None without any.
 
     Rows with a trusted id count, repeats too; null and empty texts add nothing.
     """
     spark = docs.sparkSession
     prepare(spark)
-    ids = trusted_ids(docs, labels, rows, chars)
-    if not ids:
+    ids = save(trusted(labels).where(~held_out()), "quality-trusted")
+    n = ids.count()
+    if not n:
         return None
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "tid long"))
-    text = docs.select(F.col("doc_id").cast("long").alias("tid"), "text").join(chosen, "tid").select("text")
+    of = F.broadcast(ids) if n <= MOST_IDS else ids
+    text = docs.select(F.col("doc_id").cast("long").alias("tid"), "text").join(of, "tid", "left_semi").select("text")
     names = [f"{c}{k}" for k in range(ORDER, 0, -1) for c in ("g", "h")][:-1]  # an n-gram of k and its context, from the longest
 
     def count(batches):
@@ -163,7 +147,7 @@ def kneser_ney(counted: DataFrame) -> Model | None:
 
     Lower orders count distinct continuations. For each order the shards of counts are joined
     with their contexts' totals and discounted mass, and with the probabilities of the next
-    lower order; what reaches the driver is an entry for each n-gram and context of the bounded sample.
+    lower order; what reaches the driver is an entry for each distinct n-gram and context.
     """
     orders, seen = {ORDER: counted.withColumnsRenamed({f"g{ORDER}": "g", f"h{ORDER}": "h", f"g{ORDER - 1}": "lower"})}, counted
     for k in range(ORDER - 1, 0, -1):
@@ -212,7 +196,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     if model is None:
         return docs.select(*keep, F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_scored"), F.lit(None).cast("double").alias("perplexity"))
     if model.shared is None:
-        model.shared = docs.sparkSession.sparkContext.broadcast((model.at, model.logp, model.back_at, model.back, model.unseen, model.nats))  # 12 bytes for each n-gram of the sample
+        model.shared = docs.sparkSession.sparkContext.broadcast((model.at, model.logp, model.back_at, model.back, model.unseen, model.nats))  # 12 bytes for each distinct n-gram
     shared = model.shared
 
     def start():

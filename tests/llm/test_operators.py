@@ -523,6 +523,18 @@ def test_odd_characters_in_token_files():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_all_trusted_text_is_counted(spark, monkeypatch):
+    """More rows than the 20,000 that were once a bound, each with a character of its own; the ids joined by either way."""
+    d = spark.range(26_000).select(F.col("id").alias("doc_id"), F.decode(F.unhex(F.lpad(F.hex(F.col("id") + 0x3400), 4, "0")), "UTF-16BE").alias("text"))
+    labels = d.select("doc_id", F.lit(1).alias("quality"))
+    n = quality.trusted(labels).where(~quality.held_out()).count()
+    m = quality.train(d, labels)
+    assert n > 20_000 and len(m.at) == 4 * n
+    monkeypatch.setattr(quality, "MOST_IDS", 0)
+    again = quality.train(d, labels)
+    assert np.array_equal(again.at, m.at) and np.allclose(again.logp, m.logp)
+
+
 def test_very_long_texts(spark):
     """Whole texts, not prefixes: what stands at the end of a long one counts."""
     long = " ".join(VOCAB[i % 300] for i in range(60_000))
