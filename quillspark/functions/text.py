@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 SUMMARY_CHARS, SUMMARY_SEGMENTS, SUMMARY_WORDS, SNIPPET_CHARS = 360, 4, 60, 420
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), where x is worked out once however often f names it; an expression that is only repeated is worked out each time."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def collapse_whitespace(s: Column) -> Column:
     """Each run of Unicode white space to one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), "^ | $", "")
@@ -59,16 +64,15 @@ def is_code_fence(s: Column) -> Column:
 
 def normalize_line(s: Column) -> Column:
     """A Markdown line as plain text; null if nothing is left."""
-    x = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
-    x = F.when(x.startswith("#"), F.regexp_replace(x, r"^#+\s*", "")).otherwise(strip_list_prefix(F.regexp_replace(x, r"^(?:>\s*)+", "")))
-    x = collapse_whitespace(F.replace(strip_tags(strip_code(strip_links(x))), F.lit("`"), F.lit("")))
-    return F.when(x != "", x)
+    plain = lambda x: F.when(x.startswith("#"), F.regexp_replace(x, r"^#+\s*", "")).otherwise(bound(F.regexp_replace(x, r"^(?:>\s*)+", ""), strip_list_prefix))
+    x = bound(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), plain)
+    return bound(collapse_whitespace(F.replace(strip_tags(strip_code(strip_links(x))), F.lit("`"), F.lit(""))), lambda y: F.when(y != "", y))
 
 
 def lines(body: Column) -> Column:
     """Lines without their ends; no empty one after a last line end."""
     parts = F.split(body, "\r?\n")
-    trimmed = F.when(body.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    trimmed = F.when(body.endswith("\n"), bound(parts, lambda p: F.slice(p, 1, F.size(p) - 1))).otherwise(parts)
     return F.when(body == "", F.array().cast("array<string>")).otherwise(trimmed)
 
 

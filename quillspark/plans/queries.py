@@ -202,13 +202,15 @@ bare AS (SELECT doc_id, n, t, CASE WHEN starts_with(t, '#') THEN regexp_replace(
 plain AS (SELECT doc_id, n, t, nullif(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(b, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '<[^>]+>', '', 'g'), '`', ''), '\s+', ' ', 'g')), '') AS p FROM bare)"""
 
 
-def text_lines(spark, d) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("n"), "line")
+def text_lines(spark, d, of=None) -> DataFrame:
+    """(doc_id, n, line), each line as `of` makes it: before the lines become rows, so that a filter on them doesn't work it out again."""
+    ls = X.lines(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.posexplode(ls if of is None else F.transform(ls, of)).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("n"), "line")
 
 
 @register(f"WITH {PLAIN} SELECT doc_id, n, p AS line FROM plain WHERE p IS NOT NULL")
 def md_line_normalize(spark, d):
-    return text_lines(spark, d).select("doc_id", "n", X.normalize_line(F.col("line")).alias("line")).where("line is not null")
+    return text_lines(spark, d, X.normalize_line).where("line is not null")
 
 
 @register(r"SELECT doc_id, md5(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g')) AS digest FROM documents")
