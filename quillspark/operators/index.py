@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import estimate_tokens
+from quillspark.shipping import ship
 
 #: Tokens of this many bytes or more are left out.
 LONGEST = 40
@@ -86,10 +93,77 @@ def doc_lengths(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return out
 
 
-def term_stats(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(field, term, df, cf)."""
-    per = occurrences(docs, fields).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
-    return per.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_stats(docs: DataFrame, fields: tuple[str, ...], unique: bool = False) -> DataFrame:
+    """(field, term, df, cf); unique: no two rows share an id. Words are counted by batches of documents where the texts are read; what is shuffled is a row for each word of a batch."""
+    ship(docs.sparkSession)
+    once, again = _by_repeats(docs, unique)
+    parts = []
+    for f in fields:
+        read = once.select(F.array_compact(F.array(f)).alias("w") if f == "rel_path" else tokens(F.col(f)).alias("w"))
+        parts.append(read.mapInArrow(_count_words(f == "rel_path"), "term string, df bigint, cf bigint").select(F.lit(f).alias("field"), "term", "df", "cf"))
+    if again is not None:
+        per = occurrences(again, fields).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
+        parts.append(per.select("field", "term", F.lit(1).cast("long").alias("df"), F.col("tf").alias("cf")))
+    return reduce(DataFrame.unionByName, parts).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def term_counts(docs: DataFrame, field: str) -> DataFrame:
+    """(term, doc_id, tf) of a field of words, made where the texts are read: words aren't shuffled."""
+    ship(docs.sparkSession)
+    once, again = _by_repeats(docs)
+    rows = once.select("doc_id", tokens(F.col(field)).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, code, row, tf = _counted(b.column(1), False)
+            for k in range(0, len(tf), _ROWS):
+                part = [words.take(pa.array(code[k : k + _ROWS])), b.column(0).take(pa.array(row[k : k + _ROWS])), pa.array(tf[k : k + _ROWS], pa.int64())]
+                yield pa.RecordBatch.from_arrays(part, names=["term", "doc_id", "tf"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"term string, doc_id {id_type}, tf bigint")
+    return out if again is None else out.unionByName(occurrences(again, (field,)).groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
+
+
+#: Rows of a batch of results.
+_ROWS = 1 << 16
+
+
+#: Ids of several rows that are broadcast, at most; more are joined by a shuffle.
+MANY_REPEATS = 500_000
+
+
+def _by_repeats(docs: DataFrame, unique: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """docs whose id is one row's, and those with an id that several rows have, whose words count together; None if there are none, which a pass over the ids tells."""
+    twice = docs.groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice")
+    n = 0 if unique else twice.count()
+    if not n:
+        return docs, None
+    twice = F.broadcast(twice) if n <= MANY_REPEATS else twice
+    same = F.col("doc_id").eqNullSafe(F.col("twice"))
+    return docs.join(twice, same, "left_anti"), docs.join(twice, same, "left_semi")
+
+
+def _counted(lists: pa.Array, any_length: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of words -> the distinct words, and for each pair of word and list: the word's place, the list's, how often."""
+    d = lists.flatten().dictionary_encode()
+    code, row = d.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy()
+    if not any_length:
+        short = pc.less(pc.binary_length(d.dictionary), LONGEST).to_numpy(zero_copy_only=False)[code]
+        code, row = code[short], row[short]
+    key, tf = np.unique(code * len(lists) + row, return_counts=True)
+    return d.dictionary, key // max(1, len(lists)), key % max(1, len(lists)), tf
+
+
+def _count_words(any_length: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, code, _, tf = _counted(b.column(0), any_length)
+            at, begin, df = np.unique(code, return_index=True, return_counts=True)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(df, pa.int64()), pa.array(np.add.reduceat(tf, begin), pa.int64())], names=["term", "df", "cf"])
+
+    return run
 
 
 def field_stats(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -165,7 +165,7 @@ def field_stats(spark, d):
 @register(r"WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) SELECT term, doc_id, count(*) AS tf FROM p WHERE octet_length(encode(term)) < 40 GROUP BY term, doc_id")
 def postings(spark, d):
     x = t(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
-    return index.postings(x, ("body",)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+    return index.term_counts(x, "body").select("term", "doc_id", "tf")
 
 
 @register("SELECT count(*) AS num_docs, CAST(sum(octet_length(encode(text))) // count(*) AS BIGINT) AS avg_bytes_per_doc FROM documents")

@@ -324,7 +324,7 @@ class Store:
             self._write_ids(name, "changed", own if gone is None else own.unionByName(gone.select("doc_id")).distinct())
             old = self._replaced(m, self.spark.read.schema(TABLES["dead"]).parquet(f"{self.dir}/{name}/changed"))
             self._write_ids(name, "dead", old.select("doc_id"))
-            less = index.term_stats(old, query.FIELDS).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+            less = index.term_stats(old, query.FIELDS, unique=True).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
             entry = self._entry(name, seq)
             totals = self._dictionary(name, [less] if entry["dead"] else [])
             stats = {f: [m["stats"].get(f, [0, 0])[0] + entry["docs"] - entry["dead"], m["stats"].get(f, [0, 0])[1] + totals.get(f, 0)] for f in query.FIELDS}

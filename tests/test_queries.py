@@ -4,8 +4,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quillspark.operators import index
 from quillspark.plans import queries as engine
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +36,15 @@ def test_lines_are_normalized_once(spark):
     """No expression stands in the plan more often than it is needed: 92 regular expressions before, with those of the filter."""
     plan = engine.md_line_normalize(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") + plan.lower().count("rlike") < 40
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    """As occurrences give them, rows that share an id together, long words left out; words of other rows make no row of a shuffle each."""
+    rows = [(1, "a b a"), (2, "b " + "y" * 39), (2, "b c"), (3, ""), (4, None), (None, "a c"), (None, "a"), (5, "z" * 40 + " a é")]
+    d = spark.createDataFrame(rows, "doc_id long, body string").repartition(3)
+    per = index.postings(d, ("body",)).select("term", "doc_id", F.col("tf").cast("long"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(index.term_counts(d, "body")) == key(per)
+    assert key(index.term_stats(d, ("body",)).select("term", "df", "cf")) == key(per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    plan = index.term_counts(d.where("doc_id > 2"), "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
