@@ -69,13 +69,18 @@ def blocks(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Postings in blocks, one for each term and range: (field, term, range, n, cf, sky, ids, tfs, dls, positions), sorted, the arrays by document.
 
     sky: the pairs of tf and dl that no other of the block is better than in both, from which the block's largest
-    weight follows whatever the mean length is. Words move in one shuffle by range of (field, term, range).
+    weight follows whatever the mean length is. Entries are made where the texts are read, a row for each word and range of a
+    batch, and these move in one shuffle by range of (field, term, range). One row a doc_id is expected.
     """
-    laid = occurrences(docs, fields, ("range",)).repartitionByRange("field", "term", "range")
-    per = _by_document(laid, ("field", "term", "range", "doc_id"))
-    e = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl", "positions")))
-    whole = per.groupBy("field", "term", "range").agg(e.alias("e"))
-    best = F.array_sort(F.transform("e", lambda x: F.struct((-x["tf"]).alias("t"), x["dl"].alias("dl"))))
+    ship(docs.sparkSession)
+    entry = "array<struct<doc_id:string,tf:int,dl:bigint,positions:array<int>>>"
+    parts = []
+    for f in fields:
+        read = docs.select("doc_id", "range", F.array_compact(F.array(f)).alias("w") if f == "rel_path" else tokens(F.col(f)).alias("w"))
+        parts.append(read.mapInArrow(_entries(f == "rel_path"), f"term string, range bigint, e {entry}").select(F.lit(f).alias("field"), "term", "range", "e"))
+    laid = reduce(DataFrame.unionByName, parts).repartitionByRange("field", "term", "range")
+    whole = laid.groupBy("field", "term", "range").agg(F.sort_array(F.flatten(F.collect_list("e"))).alias("e"))
+    best = F.sort_array(F.transform("e", lambda x: F.struct((-x["tf"]).alias("t"), x["dl"].alias("dl"))))
     last = lambda acc: F.get(acc, F.size(acc) - 1)["dl"]
     sky = F.aggregate(best, F.array().cast("array<struct<tf:int,dl:bigint>>"), lambda acc, x: F.when((F.size(acc) == 0) | (x["dl"] < last(acc)), F.concat(acc, F.array(F.struct((-x["t"]).alias("tf"), x["dl"].alias("dl"))))).otherwise(acc))
     part = lambda k: F.transform("e", lambda x: x[k])
@@ -155,6 +160,46 @@ def _counted(lists: pa.Array, any_length: bool) -> tuple[pa.Array, np.ndarray, n
     return d.dictionary, key // max(1, len(lists)), key % max(1, len(lists)), tf
 
 
+def _entries(any_length: bool):
+    """Batches of (doc_id, range, words) -> (term, range, entries by document) for each word and range of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, ranges, lists = b.column(0), b.column(1).to_numpy(), b.column(2)
+            n = len(b)
+            d = lists.flatten().dictionary_encode()
+            code, row = d.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy()
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            if not any_length:
+                short = pc.less(pc.binary_length(d.dictionary), LONGEST).to_numpy(zero_copy_only=False)[code]
+                code, row, place = code[short], row[short], place[short]
+            if not len(code):
+                continue
+            dl = np.bincount(row, minlength=n)
+            near = np.argsort(ranges, kind="stable")  # rows by range; they come so unless a task reads several files
+            rank = np.empty(n, np.int64)
+            rank[near] = np.arange(n)
+            key = code * n + rank[row]
+            order = np.argsort(key, kind="stable")
+            key, begin, tf = np.unique(key[order], return_index=True, return_counts=True)
+            code, row, place = key // n, near[key % n], place[order]
+            new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (ranges[row][1:] != ranges[row][:-1])])
+            for k in range(0, len(new), _BLOCKS):
+                at = new[k : k + _BLOCKS]
+                i, j = at[0], new[k + _BLOCKS] if k + _BLOCKS < len(new) else len(key)
+                lo, hi = begin[i], begin[j - 1] + tf[j - 1]
+                positions = pa.ListArray.from_arrays(pa.array(np.r_[begin[i:j], hi] - lo, pa.int32()), pa.array(place[lo:hi], pa.int32()))
+                e = pa.StructArray.from_arrays([ids.take(pa.array(row[i:j])), pa.array(tf[i:j], pa.int32()), pa.array(dl[row[i:j]], pa.int64()), positions], names=["doc_id", "tf", "dl", "positions"])
+                e = pa.ListArray.from_arrays(pa.array(np.r_[at, j] - i, pa.int32()), e)
+                yield pa.RecordBatch.from_arrays([d.dictionary.take(pa.array(code[at])), pa.array(ranges[row[at]], pa.int64()), e], names=["term", "range", "e"])
+
+    return run
+
+
+#: Blocks of a batch of results.
+_BLOCKS = 1 << 14
+
+
 def _count_words(any_length: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

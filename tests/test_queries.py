@@ -48,3 +48,16 @@ def test_words_are_counted_where_they_are_read(spark):
     assert key(index.term_stats(d, ("body",)).select("term", "df", "cf")) == key(per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
     plan = index.term_counts(d.where("doc_id > 2"), "body")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan
+
+
+def test_blocks_without_a_row_for_each_word(spark):
+    """Entries as postings give them; a word and range of a batch is a row, so the plan has no row for each word."""
+    rows = [(f"{i:03d}", f"p{i:03d}", " ".join("abcd"[(i * j) % 4] for j in range(i % 7)) + " " + "y" * (38 + i % 4), "") for i in range(300)]
+    d = index.ranged(spark.createDataFrame(rows, "doc_id string, rel_path string, body string, summary string")).localCheckpoint()
+    fields = ("body", "summary", "rel_path")
+    b = index.blocks(d, fields)
+    flat = b.select("field", "term", F.inline(F.arrays_zip("ids", "tfs", "dls", "positions"))).toDF("field", "term", "doc_id", "tf", "dl", "positions")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(flat) == key(index.postings(d, fields).select(*flat.columns))
+    assert b.groupBy("field", "term", "range").count().where("count > 1").isEmpty()
+    assert "posexplode" not in b._jdf.queryExecution().optimizedPlan().toString()
